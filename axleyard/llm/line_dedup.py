@@ -13,28 +13,49 @@ table gives no rows. Columns besides id and text pass through untouched in ``ded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_or_empty
+from .common import text_key, text_or_empty, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NOT_STARTS = bytes(range(0x80, 0xC0))
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), UPPER, LOWER)
+def line_key(line: bytes) -> bytes:
+    """Bytes strip and lower only touch ASCII: white space at both ends, A-Z."""
+    return line.strip().lower()
+
+
+def code_points(key: bytes) -> int:
+    return len(key.translate(None, _NOT_STARTS))
+
+
+def _hashed_lines(min_chars: int):
+    """(id, text fingerprint, text) -> a row for each line whose key is long enough: its position and its key's hash."""
+
+    def run(batches):
+        for batch in batches:
+            rows, pos, hashes = [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                for i, line in enumerate(text.split(b"\n")):
+                    if len(line) >= min_chars:
+                        key = line_key(line)
+                        if len(key) >= min_chars and code_points(key) >= min_chars:
+                            rows.append(row), pos.append(i), hashes.append(xxhash.xxh3_128_digest(key))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(hashes, pa.binary())], names=["_ax_id", "_ax_text", "pos", "hash"])
+
+    return run
 
 
 def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_ax_id, _ax_text, dropped array<int>): sorted positions of the lines to drop, for texts that lose any."""
-    lines = (
-        docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars))
-        .select(F.col(id_col).alias("_ax_id"), text_key(text_col).alias("_ax_text"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-        .filter(F.length("line") >= min_chars)
-        .withColumn("key", line_key(F.col("line")))
-        .filter(F.length("key") >= min_chars)
-        .select("_ax_id", "_ax_text", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
-    )
+    kind = docs.schema[id_col].dataType.simpleString()
+    some = docs.filter(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars)).select(F.col(id_col).alias("_ax_id"), text_key(text_col).alias("_ax_text"), F.col(text_col).cast("binary").alias("text"))
+    lines = written(some.mapInArrow(_hashed_lines(min_chars), f"_ax_id {kind}, _ax_text long, pos int, hash binary"))
     shared = (
         lines.select("hash", "_ax_id").distinct().groupBy("hash").agg(F.count("*").alias("n"), F.max("_ax_id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("hash", "keeper")
