@@ -6,8 +6,8 @@ to hold the longest item whole; each passage is a query and all items at or abov
 retrieved. A hit is verified on the words themselves: the share of the item's 5-word shingles in the
 passage, and the share of its answer's words (the item's last sentence).
 
-Before the cursors of a passage move, the sum of its terms' greatest impacts is held against the
-threshold for all passages of a slice at once: a passage under it has no pivot, whatever the cursors do.
+Before the cursors of a passage move, the sums of its terms' block maxima are held against the threshold
+for all passages of a text at once: where no block reaches it there is no pivot, whatever the cursors do.
 
 Items are indexed in blocks of bounded bytes, one pass over the texts for each block; a benchmark that fits
 one block takes one pass. Document frequencies are of all items.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+#: Items in a block of the index.
+BLOCK = 8
 _PUNCT = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -76,76 +78,92 @@ class ItemIndex:
                 postings[self.terms[w]].append((at, x))
         self.docs = [[at for at, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
-        self.maxima = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.upper = np.array([max(x) for x in self.impacts] + [0.0])
+        # block maxima: for each term the blocks of items it occurs in and its greatest impact there
+        self.blocks, self.maxima = [], []
+        for docs, impacts in zip(self.docs, self.impacts):
+            best: dict[int, float] = {}
+            for at, x in zip(docs, impacts):
+                best[at // BLOCK] = max(x, best.get(at // BLOCK, 0.0))
+            self.blocks.append(np.fromiter(best, np.int64)), self.maxima.append(np.fromiter(best.values(), np.float64))
+        self.n_blocks = len(self.ids) // BLOCK + 1
+        # the same as rows of a table, with one column for each of up to 64 runs of blocks; the last row is a word of no item
+        self.run = -(-self.n_blocks // 64)
+        self.table = np.zeros((len(self.docs) + 1, -(-self.n_blocks // self.run)))
+        for t, (blocks, maxima) in enumerate(zip(self.blocks, self.maxima)):
+            np.maximum.at(self.table[t], blocks // self.run, maxima)
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item position, score) with a score of at least ``threshold``: block-max WAND over the distinct ``terms``."""
+        """All (item position, score) with a score of at least ``threshold``: block-max WAND over the distinct ``terms``.
+
+        Blocks whose maxima do not add up to the threshold are skipped whole; in the others the cursors move
+        by the maxima of that block.
+        """
         slack = threshold - 1e-9
-        cursors = [[self.docs[t][0], 0, t] for t in terms]
-        upper, found = self.upper, []
+        if not terms:
+            return []
+        bounds = np.bincount(np.concatenate([self.blocks[t] for t in terms]), np.concatenate([self.maxima[t] for t in terms]), self.n_blocks)
+        found: list[tuple[int, float]] = []
+        for block in np.flatnonzero(bounds >= slack).tolist():
+            self._in_block(block, terms, slack, found)
+        return found
+
+    def _in_block(self, block: int, terms: list[int], slack: float, found: list) -> None:
+        first, end = block * BLOCK, (block + 1) * BLOCK
+        cursors = []  # [item, position in the term's postings, term, greatest impact in the block]
+        for t in terms:
+            docs = self.docs[t]
+            at = bisect_left(docs, first)
+            if at < len(docs) and docs[at] < end:
+                cursors.append([docs[at], at, t, float(self.maxima[t][np.searchsorted(self.blocks[t], block)])])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                bound += upper[c[2]]
+                bound += c[3]
                 if bound >= slack:
                     pivot = i
                     break
             if pivot < 0:
-                break
-            doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            # block maxima at the pivot's item, and the first item after any of those blocks
-            bound, beyond = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60
-            for _, at, t in cursors[: pivot + 1]:
-                docs = self.docs[t]
-                block = at // BLOCK
-                while (block + 1) * BLOCK < len(docs) and docs[(block + 1) * BLOCK - 1] < doc:
-                    block += 1
-                end = min((block + 1) * BLOCK, len(docs)) - 1
-                if docs[end] >= doc:
-                    bound += self.maxima[t][block]
-                    beyond = min(beyond, docs[end] + 1)
-            if bound >= slack:
-                if cursors[0][0] == doc:
-                    score = sum(self.impacts[t][at] for _, at, t in cursors[: pivot + 1])
-                    if score >= slack:
-                        found.append((doc, score))
-                    target = doc + 1
-                else:
-                    target = doc
-            else:
-                target = max(beyond, doc + 1)
+                return
+            item = cursors[pivot][0]
+            if cursors[0][0] == item:
+                score = sum(self.impacts[c[2]][c[1]] for c in cursors if c[0] == item)
+                if score >= slack:
+                    found.append((item, score))
+                item += 1
             live = []
-            for k, c in enumerate(cursors):
-                if k <= pivot and c[0] < target:
-                    docs, at = self.docs[c[2]], c[1]
-                    while at < len(docs) and docs[at] < target:
-                        at += 1
-                    if at == len(docs):
-                        continue
+            for c in cursors:
+                docs, at = self.docs[c[2]], c[1]
+                while at < len(docs) and docs[at] < item:
+                    at += 1
+                if at < len(docs) and docs[at] < end:
                     c[0], c[1] = docs[at], at
-                live.append(c)
+                    live.append(c)
             cursors = live
-        return found
 
     def leaks(self, data: bytes, threshold: float, item_share: float, answer_share: float) -> dict[int, float]:
         """item id -> greatest share of its shingles in one passage, of the items that are verified."""
         words = words_of(data)
         if not words or not self.ids:
             return {}
-        codes = np.fromiter(map(self.terms.get, words, repeat(len(self.terms))), np.int64, len(words))
-        stride, size = self.longest, 2 * self.longest
-        sums = np.concatenate([[0.0], np.cumsum(self.upper[codes])])
-        starts = np.arange(0, max(1, len(words) - size + stride), stride)
-        ends = np.minimum(starts + size, len(words))
+        width, stride = len(self.terms), self.longest
+        codes = np.fromiter(map(self.terms.get, words, repeat(width)), np.int64, len(words))
+        # passage k holds the words from k * stride on, two strides long; one number for each passage and distinct term
+        last = max(0, -(-len(words) // stride) - 2)
+        at = np.flatnonzero(codes < width)
+        if not len(at):
+            return {}
+        own, code = at // stride, codes[at]
+        both = np.unique(np.r_[np.minimum(own, last) * width + code, (own[own > 0] - 1) * width + code[own > 0]])
+        passages, terms_of = both // width, both % width
+        cuts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
+        bounds = np.add.reduceat(self.table[terms_of], cuts).max(1)
+        cuts = np.r_[cuts, len(both)]
         out: dict[int, float] = {}
-        for p in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-6).tolist():
-            a, b = int(starts[p]), int(ends[p])
-            terms = np.unique(codes[a:b])
-            terms = terms[terms < len(self.terms)].tolist()
+        for p in np.flatnonzero(bounds >= threshold - 1e-6).tolist():
+            a = int(passages[cuts[p]]) * stride
+            b = a + 2 * stride
+            terms = terms_of[cuts[p] : cuts[p + 1]].tolist()
             passage = None
             for at, _ in self.retrieve(terms, threshold):
                 passage = passage or shingles(words[a:b])
@@ -177,7 +195,7 @@ def item_blocks(items: DataFrame, block_bytes: int, id_col: str, text_col: str):
         yield ItemIndex([(r.id, bytes(r.data)) for r in own.orderBy("id", "data").collect()], {r.w.encode(): r.df for r in terms.collect()}, total, average or 1.0)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, item_share: float = 0.7, answer_share: float = 0.7, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, item_share: float = 0.7, answer_share: float = 0.7, block_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` with ``_ax_items`` array<long> (sorted) and ``_ax_share`` double, all their columns kept. A narrow map for each block of items."""
     out = docs.withColumn("_ax_items", F.array().cast("array<bigint>")).withColumn("_ax_share", F.lit(0.0))
     for index in item_blocks(items, block_bytes, item_id_col, item_text_col):

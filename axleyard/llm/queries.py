@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, line_dedup, quality_model, quality_rules, token_counts
+from . import bpe, decontaminate, language_model, licenses, line_dedup, near_dedup, quality_model, quality_rules, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_result(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_result(table(spark, sf_dir, "documents"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_result(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts_result(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_codec, op3_license_scan, op4_line_dedup, op5_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_codec, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_near_dedup, op7_language_model, op8_toxicity, op9_token_counts, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
