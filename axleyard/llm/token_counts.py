@@ -38,7 +38,10 @@ def _exists(df_session, path: str) -> bool:
 def _count(tokenizer_path: str, slice_bytes: int = 2_000_000):
     def run(batches):
         bpe = encoder(tokenizer_path)
+        seen: set[bytes] = set()  # rows that repeat both id and text meet in one task
         for batch in batches:
+            digests = batch.column(0).to_pylist()
+            batch = batch.filter(pa.array([d not in seen and not seen.add(d) for d in digests], pa.bool_()))
             texts = batch.column(1).to_pylist()
             n = np.zeros(len(texts), np.int64)
             for a, b in slices([len(t) for t in texts], slice_bytes):
