@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: UTC days, repeated map keys keep the last value (repeated header names), adaptive plans.
@@ -19,3 +21,13 @@ def session(master: str | None = None, extra: dict[str, str] | None = None) -> S
     """A session with the settings above; ``master`` only where no cluster manager gives one."""
     b = SparkSession.builder.appName("axleyard").config(map=SETTINGS | (extra or {}))
     return (b.master(master) if master else b).getOrCreate()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import this package from where the driver has it (a cluster ships its own copy)."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+    return spark
