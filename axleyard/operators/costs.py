@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import scalars as X
 
-_NONE = F.lit(None)
-
 
 def on_road() -> Column:
     return X.is_on_road(F.col("is_on_road"), F.col("asset_type"))

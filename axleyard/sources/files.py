@@ -60,7 +60,7 @@ def split_lines(files: DataFrame, raw: str = "raw_csv") -> DataFrame:
 
 def header_position(raw: Column, signature: list[str], limit: int) -> Column:
     """The first of ``limit`` lines that holds all of ``signature``; null where none does."""
-    first = F.slice(lines_of(raw), 1, limit)
+    first = F.slice(F.split(raw, "\r?\n", limit + 1), 1, limit)
     want = F.array(*map(F.lit, signature))
     at = F.transform(first, lambda l, i: F.when(F.size(F.array_except(want, normalize_header(parse_csv_line(l)))) == 0, i))
     return F.array_min(at)
@@ -106,9 +106,13 @@ def rows_to_record(files: DataFrame, raw: str = "raw_csv") -> DataFrame:
     Needs spark.sql.mapKeyDedupPolicy=LAST_WIN (see session.SETTINGS).
     """
     header = normalize_header(parse_csv_line(F.get(lines_of(F.col(raw)), F.col("header_pos"))))
-    body = split_lines(files.filter(F.col("header_pos").isNotNull()).withColumn("header", header), raw).filter(F.col("pos") > F.col("header_pos"))
-    pairs = F.transform("header", lambda h, i: F.struct(h.alias("k"), X.js_trim(F.coalesce(F.get(F.col("fields"), i), F.lit(""))).alias("v")))
-    return body.withColumn("rec", F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))).drop("header", "fields", "line")
+    # coalesce: a plain comparison makes the optimiser test header_pos for null first, which detects the format twice
+    below = F.col("pos") > F.coalesce("header_pos", F.lit(2**31 - 1))
+    body = split_lines(files.withColumn("header", header), raw).filter(below)
+    short = F.greatest(F.size("header") - F.size("fields"), F.lit(0))
+    values = F.slice(F.concat("fields", F.array_repeat(F.lit(""), short)), F.lit(1), F.size("header"))
+    rec = F.map_filter(F.map_from_arrays("header", F.transform(values, X.js_trim)), lambda k, v: k != "")
+    return body.withColumn("rec", rec).drop("header", "fields", "line")
 
 
 def field(name: str) -> Column:
