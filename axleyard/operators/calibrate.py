@@ -102,10 +102,9 @@ def pooled_fit(intervals: DataFrame, rounds: int = S.POOLED_ROUNDS, tolerance: f
     rates held. An account whose classes all moved less than ``tolerance`` stays as it is from then on. Classes
     are summed over assets, not over intervals, so a class with most of the rows is no hot group.
     """
-    spark = intervals.sparkSession
     iv = cut(intervals.select("user_id", "asset_id", "idle_class", "distance_km", "litres", "idle_hours"))
-    priors = spark.createDataFrame([(k, *map(float, v)) for k, v in S.IDLE_CLASSES.items()], "idle_class string, class_rate double, low double, high double")
-    rates = iv.select("user_id").distinct().join(F.broadcast(priors)).withColumn("done", F.lit(False))  # three rows a side of the product
+    priors = F.array(*(F.struct(F.lit(k).alias("idle_class"), F.lit(prior).alias("class_rate"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, (prior, low, high) in S.IDLE_CLASSES.items()))
+    rates = iv.select("user_id").distinct().select("user_id", F.inline(priors)).withColumn("done", F.lit(False))
     stats = cut(iv.groupBy("user_id", "asset_id", "idle_class").agg(F.sum(F.col("distance_km") * F.col("distance_km")).alias("sxx"), F.sum(F.col("idle_hours") * F.col("litres")).alias("siy"), F.sum(F.col("idle_hours") * F.col("distance_km")).alias("six"), F.sum(F.col("idle_hours") * F.col("idle_hours")).alias("sii")))
     travel = None
     for _ in range(rounds):

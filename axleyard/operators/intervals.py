@@ -63,10 +63,10 @@ def longest_runs(days: DataFrame, missing: Column, name: str) -> DataFrame:
 
 
 def working_day(holidays: DataFrame):
-    """A function that keeps Monday to Friday days which are no holiday (a short list, sent to all tasks)."""
+    """A function that keeps Monday to Friday days which are no holiday."""
 
     def keep(days: DataFrame) -> DataFrame:
-        return days.filter(F.weekday("record_date") < 5).join(F.broadcast(holidays.select(F.col("holiday_date").alias("record_date")).distinct().limit(100_000)), "record_date", "left_anti")
+        return days.filter(F.weekday("record_date") < 5).join(holidays.select(F.col("holiday_date").alias("record_date")).distinct(), "record_date", "left_anti")
 
     return keep
 

@@ -12,6 +12,8 @@ from .emissions import emissions_daily
 from .intervals import asof_odometers
 from .telematics import avg_cost_per_litre, latest_engine_hours
 
+MOST_BANDS = 1_000
+
 
 def _per(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / F.nullif(bottom, F.lit(0.0)))
@@ -41,8 +43,10 @@ def fill_to_fill_fuel(merged: DataFrame, purchases: DataFrame, period: str = "mo
 
 
 def ruc_rate(assets: DataFrame, rates: DataFrame) -> DataFrame:
-    """Road charge per km by weight band. The rate table is a short published list; its bands do not overlap."""
-    bands = F.broadcast(rates.limit(1_000))  # bounded: a published table of some dozen bands
+    """Road charge per km by weight band. The rate table is a short published list, whose bands do not overlap; a long one is refused."""
+    if rates.limit(MOST_BANDS + 1).count() > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} weight bands")
+    bands = F.broadcast(rates)
     return assets.join(bands, (assets["gvm_tonnes"] >= bands["gvm_lo"]) & (assets["gvm_tonnes"] < bands["gvm_hi"]), "left").select(*(assets[c] for c in assets.columns), F.col("rate_per_km").alias("ruc_per_km"))
 
 

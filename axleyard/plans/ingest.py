@@ -269,8 +269,8 @@ def _(f: Fleet):
   p AS (SELECT import_id, count(*) FILTER (reject_reason IS NULL) AS valid FROM c3 GROUP BY import_id)
   SELECT import_id, format, CASE WHEN format = 'unknown' THEN 'unrecognized' WHEN coalesce(valid, 0) = 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN format = 'unknown' THEN NULL WHEN valid IS NULL THEN 'No rows found' WHEN valid = 0 THEN 'No valid records to import' END AS error_message FROM i LEFT JOIN p USING (import_id)""")
 def _(f: Fleet):
-    kinds = f.spark.range(3).select(F.col("id").alias("k"))
-    imports = f.table("lineitem").select("l_suppkey").distinct().join(F.broadcast(kinds)).select((F.col("l_suppkey") + 1_000_000 * F.col("k")).alias("import_id"), F.when(F.col("k") == 2, "unknown").otherwise("bp_transaction").alias("format"))
+    kinds = F.explode(F.array(*map(F.lit, range(3))))
+    imports = f.table("lineitem").select("l_suppkey").distinct().select("l_suppkey", kinds.alias("k")).select((F.col("l_suppkey") + 1_000_000 * F.col("k")).alias("import_id"), F.when(F.col("k") == 2, "unknown").otherwise("bp_transaction").alias("format"))
     return U.import_status(imports, _cleaned(f).select("import_id", "reject_reason"))
 
 
