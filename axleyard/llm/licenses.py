@@ -109,3 +109,24 @@ def scan_licenses(docs: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col
 def license_result(docs: DataFrame) -> DataFrame:
     s = scan_licenses(docs)
     return s.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "whole_text", "n_matches", (F.size("licenses") > 0).alias("has_license"))
+
+
+def sql(known=KNOWN) -> str:
+    """DuckDB SQL for license_result over the view documents."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def clean(c: str) -> str:
+        out = f"translate({c}, '{UPPER}', '{LOWER}')"
+        out = f"regexp_replace({out}, '(?m)^[^a-z0-9\\n]*(copyright\\b|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g')"
+        for pattern, put in EQUIVALENT:
+            out = f"regexp_replace({out}, {quote(pattern)}, {quote(put.replace('$1', chr(92) + '1'))}, 'g')"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
+    return f"""
+WITH known AS (SELECT DISTINCT license, {clean('t')} AS c FROM (VALUES {rows}) v(license, t)),
+units AS (SELECT doc_id, 'text' AS unit, text AS body FROM documents UNION ALL SELECT doc_id, 'paragraph', unnest(string_split_regex(text, '\\n[\\x20\\x09-\\x0D]*\\n')) FROM documents UNION ALL SELECT doc_id, 'line', unnest(string_split(text, chr(10))) FROM documents),
+hits AS (SELECT DISTINCT doc_id, unit, license FROM units JOIN known ON c = {clean('body')})
+SELECT d.doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, coalesce(bool_or(unit = 'text'), false) AS whole_text, count(license) AS n_matches, count(license) > 0 AS has_license
+FROM documents d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id
+"""
