@@ -95,12 +95,14 @@ def evidence(docs: DataFrame, model, host: Column, path: Column, id_col: str = "
     return sel.mapInArrow(run, f"`{id_col}` {kind}, _ax_text long, _ax_host string, _ax_path string, p double")
 
 
-def _strength(groups: DataFrame, mean: Column) -> Column:
-    """Beta prior strength (pseudo rows) from the spread of group means about ``mean``: moments, weighted by rows."""
+def _strength(groups: DataFrame, mean: Column) -> float:
+    """Beta prior strength (pseudo rows) from the spread of group means about ``mean``: moments, weighted by rows. One number."""
     spread = F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2)) / F.sum("n")
     noise = F.sum(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / F.col("n")) / F.sum("n")
-    between = F.greatest(spread - noise, F.lit(1e-6))
-    return F.least(F.greatest(F.avg(mean) * (1 - F.avg(mean)) / between - 1, F.lit(1.0)), F.lit(1e4))
+    r = groups.agg(spread.alias("spread"), noise.alias("noise"), F.avg(mean).alias("mean")).first()
+    if r.spread is None:
+        return 1.0
+    return min(max(r.mean * (1 - r.mean) / max(r.spread - r.noise, 1e-6) - 1, 1.0), 1e4)
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
@@ -108,13 +110,11 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     sums = [F.count("*").cast("double").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")]
     paths = scored.groupBy("_ax_host", "_ax_path").agg(*sums)
     hosts = paths.groupBy("_ax_host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")))
-    world = hosts.agg((F.sum("s") / F.sum("n")).alias("mu"))
-    hosts = hosts.crossJoin(F.broadcast(world))  # one row
-    host_strength = hosts.agg(_strength(hosts, F.col("mu")).alias("k"))
-    hosts = hosts.crossJoin(F.broadcast(host_strength)).select("_ax_host", "mu", ((F.col("s") + F.col("k") * F.col("mu")) / (F.col("n") + F.col("k"))).alias("parent"))
+    mu = scored.agg(F.avg("p").alias("mu")).first().mu or 0.0
+    k = _strength(hosts, F.lit(mu))
+    hosts = hosts.select("_ax_host", ((F.col("s") + k * mu) / (F.col("n") + k)).alias("parent"))
     joined = paths.join(hosts, "_ax_host")
-    path_strength = joined.agg(_strength(joined, F.col("parent")).alias("strength"))
-    return joined.crossJoin(F.broadcast(path_strength)).drop("ss")
+    return joined.select("_ax_host", "_ax_path", "n", "s", "parent", F.lit(_strength(joined, F.col("parent"))).alias("strength"), F.lit(mu).alias("mu"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_train_rows: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
