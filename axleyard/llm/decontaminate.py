@@ -29,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
 
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
