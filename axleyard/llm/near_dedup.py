@@ -6,12 +6,14 @@
    share the longest prefixes: in crowded regions neighbours agree to a greater depth, in sparse ones the
    first ``depth`` values decide. Orders are range-partitioned, so a region of any size spreads over tasks;
    rows at the ends of tasks are compared in a further, much smaller order.
-3. Candidates are neighbours within some places (and the first of a region) that share at least ``depth``
-   leading minhashes, whose set sizes allow the similarity and whose signatures agree in enough
-   places. First each class names its best partner in each tree; the best of these are verified on the full
-   sets and drawn together, twice. Then all candidates that are not yet in one component are verified. A
-   group of thousands of near copies so costs some pairs per member, not all its pairs, and no candidate is
-   left out.
+3. In a first search each class names its best partner in each tree, among neighbours within some places
+   (and the first of a region) that share at least ``depth`` leading minhashes, whose set sizes allow the
+   similarity and whose signatures agree in enough places. The best of these are verified on the full sets,
+   twice, and their links form components.
+4. A second search takes every region (equal ``depth`` leading minhashes in a tree) that holds more than one
+   component and compares all its pairs of different components, at any distance; large regions are cut
+   into blocks, and each pair of blocks is work of its own. All pairs that sizes and signatures allow are
+   verified. Windows thus only decide how much of a large group the first search joins cheaply.
 
 Defined results: texts that are null, empty or only white space have no shingles, are linked with nothing
 and are their own component. Fewer words than the width make one shingle. Rows that repeat an id, or have
@@ -183,6 +185,78 @@ def candidates(rows: DataFrame, trees: list[int], total: int, depth: int, window
     return found.groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def _regions(trees: int, total: int, depth: int):
+    """Rows (node, n, label, sig) -> one row per tree: its region (a hash of tree and leading minhashes) and a byte of each minhash."""
+
+    def run(batches):
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(m, total)
+            low = (sig & 255).astype(np.uint8).tobytes()
+            low = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * total).astype(np.int32).tobytes()), pa.py_buffer(low)])
+            for t in range(trees):
+                region = np.full(m, t + 1, np.uint64)
+                for j in range(t * depth, (t + 1) * depth):
+                    region = mixed(region * MIX_A + sig[:, j].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0), batch.column(1), batch.column(2), low], names=["region", "node", "n", "label", "low"])
+
+    return run
+
+
+def _crossing(agree: int, similarity: tuple[int, int], most: int = 50_000):
+    """Rows (region, lo, hi, node, n, label, low, own), one partition sorted by the first four -> all pairs of different labels that may be similar.
+
+    ``lo`` and ``hi`` are two blocks of a region and ``own`` is the row's: of two blocks, pairs across them.
+    """
+    num, den = similarity
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        region, lo, hi, n, own = (t.column(c).to_numpy() for c in ("region", "lo", "hi", "n", "own"))
+        node = t.column("node").combine_chunks()
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(x, len(codes)) for x in t.column("label").to_pylist()])
+        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(n), -1)
+        n = n.astype(np.int64)
+        new = np.r_[True, (region[1:] != region[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        end = np.r_[np.flatnonzero(new)[1:], len(n)][np.cumsum(new) - 1]
+        i, o = np.arange(len(n)), 0
+        while len(i):
+            o += 1
+            i = i[i + o < end[i]]
+            j = i + o
+            ok = (label[i] != label[j]) & ((own[i] != own[j]) | (lo[i] == hi[i])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            x, y = i[ok], j[ok]
+            for a in range(0, len(x), most):
+                u, v = x[a : a + most], y[a : a + most]
+                est = (low[u] == low[v]).sum(1)
+                near = est >= agree
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(u[near])), node.take(pa.array(v[near])), pa.array(est[near], pa.int32())], names=["a", "b", "est"])
+
+    return run
+
+
+def across(rows: DataFrame, trees: int, total: int, depth: int, agree: int, similarity, block: int = 2_000, task_rows: int = 40_000, small_rows: int = 200_000) -> DataFrame:
+    """Distinct (a, b, est), a < b: every pair of different labels in one region whose sizes and signatures (``agree``) allow the similarity."""
+    placed = rows.select("node", "n", "label", "sig").mapInArrow(_regions(trees, total, depth), "region long, node binary, n int, label binary, low binary")
+    which = F.xxhash64("label")
+    mixed_ = placed.groupBy("region").agg(F.count("*").alias("rows"), F.min(which).alias("least"), F.max(which).alias("most")).filter("least < most")
+    mixed_ = written(mixed_.select("region", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), "rows"))
+    count, copies = mixed_.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") * F.col("blocks")), F.lit(0))).first()
+    # up to small_rows rows of 24 bytes are sent to every task; beyond, both sides are shuffled
+    members = placed.join(F.broadcast(mixed_) if count <= small_rows else mixed_, "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "n", "label", "low", "own")
+    spread = members.repartition(max(1, math.ceil(copies / task_rows)), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "node")
+    return spread.mapInArrow(_crossing(agree, similarity), "a binary, b binary, est int").distinct()
+
+
 def _verified(width: int, similarity):
     num, den = similarity
 
@@ -256,12 +330,13 @@ def _best_joined(pairs: DataFrame, verify, rounds: int = 2) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8, 10), trees: int = 20, depth: int = 4, windows: tuple[tuple[int, int], ...] = ((32, 52), (128, 64)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8, 10), trees: int = 20, depth: int = 4, windows: tuple[tuple[int, int], ...] = ((32, 52), (128, 64)), agree: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: _ax_id, _ax_text (fingerprint of the text), ``n_shingles``, ``component_id``, ``kept``.
 
     ``similarity`` is a fraction of whole numbers. ``windows``: (places apart, equal minhashes of ``trees *
-    depth`` from which a pair is verified), nearest first. 52 of 80 misses a pair of similarity 0.8 about once
-    in ten thousand; neighbours further apart, which only crowded regions have, must look more alike.
+    depth`` from which a pair may be a best partner), nearest first; they serve the first search alone. ``agree``:
+    equal minhashes from which the second search verifies a pair, whatever its distance: 48 of 80 misses a
+    pair of similarity 0.8 about twice in a hundred thousand.
     """
     total = trees * depth
     kind = docs.schema[id_col].dataType.simpleString()
@@ -273,9 +348,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     every, verify = list(range(trees)), lambda pairs: verified(pairs, classes, texts, repeats, width, similarity)
     first = written(candidates(unlabelled, every, total, depth, windows, similarity, True))
     edges = _best_joined(first, verify)
-    labels = lowest_neighbours(edges)
+    labels = written(connected_components(edges))
     labelled = written(classes.join(labels.withColumnRenamed("node", "_ax_node"), F.col("node") == F.col("_ax_node"), "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sig"))
-    labels = connected_components(edges.unionByName(verify(written(candidates(labelled, every, total, depth, windows, similarity, False)))))
+    links = verify(written(across(labelled, trees, total, depth, agree, similarity)))
+    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
     small = signed.select("_ax_id", "_ax_text", "n", "node")
     rows = small.join(labels.withColumnRenamed("node", "_ax_node"), small["node"] == F.col("_ax_node"), "left").select("_ax_id", "_ax_text", "n", F.coalesce("label", small["node"]).alias("label"))
     rows = written(rows)

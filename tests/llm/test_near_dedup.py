@@ -78,3 +78,40 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components.connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_links_beyond_the_windows(spark):
+    rng = random.Random(8)
+    base = [f"z{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for k in rng.sample(range(150), 8):
+            copy[k] = f"y{i}_{k}"
+        rows.append((i, " ".join(copy)))
+        if i % 3 == 0:
+            copy[rng.randrange(150)] = f"v{i}"
+            rows.append((1000 + i, " ".join(copy)))
+    docs = frame(spark, rows)
+    # windows that find next to nothing leave all links to the second search
+    got = near_dedup.near_duplicates(docs, width=2, windows=((1, 80),)).collect()
+    assert sorted((r._ax_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+
+
+def test_regions_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, 80, dtype=np.uint32)
+    sigs = []
+    for _ in range(300):
+        s = base.copy()
+        s[rng.choice(np.arange(4, 80), 16, replace=False)] = rng.integers(0, 2**32, 16, dtype=np.uint32)
+        sigs.append(s)
+    rows = [(i.to_bytes(16, "big"), 100, (i % 7).to_bytes(16, "big"), s.astype(">u4").tobytes()) for i, s in enumerate(sigs)]
+    low = np.array([s & 255 for s in sigs])
+    want = {(rows[i][0], rows[j][0], e) for i in range(300) for j in range(i + 1, 300) if i % 7 != j % 7 and (e := int((low[i] == low[j]).sum())) >= 50}
+    labelled = spark.createDataFrame(rows, "node binary, n int, label binary, sig binary")
+    for block in (2_000, 40):
+        got = near_dedup.across(labelled, 20, 80, 4, 50, (8, 10), block=block, task_rows=500).collect()
+        assert {(bytes(r.a), bytes(r.b), r.est) for r in got} == want and len(got) == len(want)
