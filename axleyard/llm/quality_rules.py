@@ -11,6 +11,7 @@ comes out for each row in, whatever its id; other columns are not read.
 from __future__ import annotations
 
 import functools
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: (bytes from, lowest ratio, highest ratio) of whole texts: short ones hardly compress, long ones repeat more.
-WHOLE_BANDS = ((0, 0.0, 4.0), (512, 1.15, 5.0), (2048, 1.3, 7.0), (16384, 1.4, 9.0), (131072, 1.5, 12.0))
-#: Limits for chunks of CHUNK_BYTES, and the share of chunks that may be outside them.
-CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 4096, (1.2, 8.0), 0.5
+#: (bytes from, lowest ratio, highest ratio): the lowest lie under the 0.1 percentile of labelled clean prose of sf0.1 and
+#: rise with the logarithm of the length from one row to the next; texts under the second row's length have none.
+WHOLE_BANDS = ((0, 0.0, 4.0), (256, 1.33, 4.0), (512, 1.43, 5.0), (1024, 1.67, 5.0), (2048, 1.87, 7.0), (4096, 2.03, 7.0), (8192, 2.12, 7.0), (16384, 2.2, 9.0), (131072, 2.2, 12.0))
+#: Chunks have CHUNK_BYTES; a last one under CHUNK_LEAST joins the one before it. The lowest ratio is the one of a text of the
+#: chunk's length. CHUNK_SHARE is the share of chunks that may be outside.
+CHUNK_BYTES, CHUNK_LEAST, CHUNK_HIGH, CHUNK_SHARE = 4096, 512, 8.0, 0.2
 SYMBOLS = b"#*$%&|<>"
 _NOT_CONTINUED = bytes(range(0x80, 0xC0))
 
@@ -38,9 +41,27 @@ def ratio(data: bytes) -> float:
     return len(data) / len(_zstd().compress(data)) if data else 1.0
 
 
-def in_bands(data: bytes, whole: float, chunks: list[float], whole_bands=WHOLE_BANDS, chunk_band=CHUNK_BAND, chunk_share=CHUNK_SHARE) -> bool:
-    _, low, high = next(b for b in reversed(whole_bands) if len(data) >= b[0])
-    outside = sum(not chunk_band[0] <= c <= chunk_band[1] for c in chunks)
+def limits(size: int, bands=WHOLE_BANDS) -> tuple[float, float]:
+    """(lowest, highest) ratio of a text of ``size`` bytes."""
+    at = next(k for k in reversed(range(len(bands))) if size >= bands[k][0])
+    start, low, high = bands[at]
+    if start and at + 1 < len(bands):
+        end, then, _ = bands[at + 1]
+        low += (then - low) * math.log(size / start) / math.log(end / start)
+    return low, high
+
+
+def chunk_ends(size: int, chunk_bytes: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of a text: they cover all of it."""
+    starts = list(range(0, size, chunk_bytes))
+    if len(starts) > 1 and size - starts[-1] < CHUNK_LEAST:
+        starts.pop()
+    return list(zip(starts, [*starts[1:], size]))
+
+
+def in_bands(data: bytes, whole: float, chunks: list[float], whole_bands=WHOLE_BANDS, chunk_high=CHUNK_HIGH, chunk_share=CHUNK_SHARE, chunk_bytes=CHUNK_BYTES) -> bool:
+    low, high = limits(len(data), whole_bands)
+    outside = sum(not limits(b - a, whole_bands)[0] <= c <= chunk_high for (a, b), c in zip(chunk_ends(len(data), chunk_bytes), chunks))
     return low <= whole <= high and outside <= chunk_share * len(chunks)
 
 
@@ -55,7 +76,7 @@ def measured(data: bytes, chunk_bytes: int = CHUNK_BYTES) -> dict:
                 repeated += i + 2 - max(last, i - 1)
                 last = i + 2
     lines = [x for x in data.split(b"\n") if x.split()]
-    chunks = [ratio(data[i : i + chunk_bytes]) for i in range(0, len(data) - chunk_bytes + 1, chunk_bytes)]
+    chunks = [ratio(data[a:b]) for a, b in chunk_ends(len(data), chunk_bytes)]
     whole = ratio(data)
     joined = b"".join(words)
     n = len(words)
@@ -70,7 +91,7 @@ def measured(data: bytes, chunk_bytes: int = CHUNK_BYTES) -> dict:
         "zstd_ratio": whole,
         "chunk_ratio_min": min(chunks, default=whole),
         "chunk_ratio_max": max(chunks, default=whole),
-        "kept": not failed and in_bands(data, whole, chunks),
+        "kept": not failed and in_bands(data, whole, chunks, chunk_bytes=chunk_bytes),
     }
 
 

@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -63,6 +65,28 @@ def test_bands():
     assert not quality_rules.in_bands(b"ab " * 9000, quality_rules.ratio(b"ab " * 9000), [])
 
 
+def test_noise_is_not_kept():
+    rng = random.Random(1)
+    noise = {
+        "base64": lambda: base64.b64encode(rng.randbytes(6)), "letters and digits": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=7)).encode(),
+        "letters": lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))).encode(), "hex": lambda: rng.randbytes(4).hex().encode(),
+    }
+    for name, word in noise.items():
+        for size in (1024, 3072, 16_000, 20_000, 140_000):
+            m = quality_rules.measured(b" ".join(word() for _ in range(size))[:size])
+            # hex of 1 KB compresses like prose of that length
+            assert not m["base_failed"] and (m["kept"] == (name == "hex" and size == 1024)), (name, size)
+
+
+def test_chunks_cover_the_text(sample):
+    prose = next(r.text.encode() for r in sample.collect() if r.text and len(r.text) > 9000 and quality_rules.measured(r.text.encode())["kept"])[:6000]
+    noise = base64.b64encode(random.Random(2).randbytes(1500))
+    assert quality_rules.measured(prose)["kept"] and not quality_rules.measured(prose + b" " + noise)["kept"]
+    for size in (0, 1, 511, 4096, 4600, 4608, 20_000):
+        ends = quality_rules.chunk_ends(size)
+        assert b"".join(bytes(b - a) for a, b in ends) == bytes(size) and all(b - a >= min(512, size) for a, b in ends)
+
+
 def test_licenses(spark, awkward, nothing):
     mit = licenses._MIT
     docs = spark.createDataFrame([
