@@ -12,6 +12,7 @@ repeat an id and a text are each returned, with the same matches. Other columns
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,71 @@ _GPL3 = """This program is free software: you can redistribute it and/or modify
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def _gnu(name: str, version: str, subject: str = "program") -> str:
+    """The short notice of a GNU licence."""
+    return _GPL3.replace("This program", f"This {subject}").replace("this program", f"this {subject}").replace("GNU General Public License", f"GNU {name}").replace("version 3 of the License", f"version {version} of the License")
+
+
+def _bsd(name: str, count: int) -> list[tuple[str, str]]:
+    """The texts of a BSD licence: clauses in one paragraph or several, numbered or not."""
+    out = []
+    for numbered in (True, False):
+        clauses = [f"{k}. {c}" if numbered else f"* {c}" for k, c in enumerate(_BSD_CLAUSES[:count], 1)]
+        terms = "\n".join([_BSD_START, *clauses])
+        # alone, the terms of two clauses in several paragraphs are also the start of three
+        out += [(name, terms), (name, terms + "\n\n" + _BSD_END), ("BSD", _BSD_START)]
+        out += [(name, c) for c in clauses[2:]]
+    return out
+
+
+def _full(name: str) -> str:
+    return (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _families() -> tuple[tuple[str, str], ...]:
+    """Full texts, short notices and statements, each with the paragraph that identifies it among other text."""
+    bodies = [("MIT", _MIT), ("ISC", _ISC), ("Apache-2.0", _APACHE), ("GPL-3.0", _GPL3), ("BSL-1.0", _BOOST), ("Unlicense", _UNLICENSE), ("MPL-2.0", _MPL)]
+    bodies += [("GPL-2.0", _gnu("General Public License", "2")), ("AGPL-3.0", _gnu("Affero General Public License", "3"))]
+    bodies += [(f"LGPL-{v}", _gnu("Lesser General Public License", n, subject)) for v, n in (("2.1", "2.1"), ("3.0", "3")) for subject in ("program", "library")]
+    full = [("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("Apache-2.0", "Apache-2.0")]
+    bodies += [(name, _full(file)) for name, file in full]
+    out = [x for name, text in bodies for x in ((name, text), (name, re.split(r"\n[\x20\x09-\x0D]*\n", text.strip())[0]))]
+    out += [("Unlicense", "For more information, please refer to <https://unlicense.org>"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007")]
+    out += _bsd("BSD-2-Clause", 2) + _bsd("BSD-3-Clause", 3)
+    titles = {
+        "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "BSL-1.0": ["Boost Software License, Version 1.0"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"], "Unlicense": ["Unlicense"],
+        "GPL-2.0": ["GNU General Public License, version 2"], "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["GNU Lesser General Public License, version 3"], "AGPL-3.0": ["GNU Affero General Public License, version 3"],
+    }
+    for name, known in titles.items():
+        out += [(name, f"{start} the {t}.") for t in known for start in ("Licensed under", "Released under", "This work is licensed under")]
+        out += [(name, f"SPDX-License-Identifier: {x}") for x in ([f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name])]
+    return tuple(out)
+
+
 #: (licence, text): licence texts and the usual statements that name a licence.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -47,11 +113,12 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    *_families(),
 )
 #: Spellings that mean the same, as (pattern, replacement), after lower-casing. In this order.
 EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("non-?infringement", "noninfringement"), ("copyright holders?", "copyright holder"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("https://", "http://"), (r"version (\d)", "v$1"), (r"\bv\.? ?(\d)", "v$1"))
 #: Words of which each known text holds one, whatever its spelling: units without any are no licence.
-MARKERS = r"(?i)licen[sc]e|permission|redistribut|free software|warrant|spdx"
+MARKERS = r"(?i)licen[sc]e|permission|redistribut|free software|warrant|spdx|unencumbered"
 
 
 def canonical(text: Column) -> Column:

@@ -97,3 +97,27 @@ def test_licenses(spark, awkward, nothing):
     assert got == {1: ("MIT", True), 2: ("MIT", True), 3: ("MIT", False), 4: ("", False), 5: ("", False), 6: ("", False), 7: ("Apache-2.0,CC-BY-NC-4.0", False)} | {5: got[5]}
     assert licenses.license_result(awkward).count() == awkward.count()
     assert licenses.license_result(nothing).count() == 0
+
+
+def test_licenses_among_other_text(spark):
+    names = {}
+    for k, (name, body) in enumerate(licenses.KNOWN):
+        if "\n\n" in body:
+            names[k] = (name, f"Some notes about this file.\n\n{body.strip()}\n\nMore of them.")
+    assert {"MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Unlicense"} == {n for n, _ in names.values()}
+    spaced = "\n\n".join([licenses._BSD_START, *(f"{k}. {c}" for k, c in enumerate(licenses._BSD_CLAUSES, 1)), licenses._BSD_END])
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in names.items()] + [(1000, "Notes\n\n" + spaced), (1001, "Notes\n\nSPDX-License-Identifier: AGPL-3.0-only")], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.whole_text) for r in licenses.license_result(docs).collect()}
+    # the first line of BSD terms names the family alone
+    assert got == {k: (("BSD," if n.startswith("BSD") else "") + n, False) for k, (n, _) in names.items()} | {1000: ("BSD,BSD-3-Clause", False), 1001: ("AGPL-3.0", False)}
+
+
+def test_license_sql_on_whole_families(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [b for _, b in licenses.KNOWN] + [f"Notes\n\n{b}\n\nMore" for _, b in licenses.KNOWN]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = sorted(duckdb.sql(licenses.sql()).fetchall())
+    assert len(documents) == len(want)
+    assert sorted(map(tuple, licenses.license_result(spark.createDataFrame(documents)).collect())) == want
