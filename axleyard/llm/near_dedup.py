@@ -17,7 +17,8 @@
 
 Defined results: texts that are null, empty or only white space have no shingles, are linked with nothing
 and are their own component. Fewer words than the width make one shingle. Rows that repeat an id, or have
-a null id, are rows of their own; a component's id is the smallest id that is not null in it.
+a null id, are rows of their own; a component's id is the smallest id that is not null in it. The row kept has the smallest (id, text fingerprint),
+null ids last.
 """
 
 from __future__ import annotations
@@ -355,10 +356,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     small = signed.select("_ax_id", "_ax_text", "n", "node")
     rows = small.join(labels.withColumnRenamed("node", "_ax_node"), small["node"] == F.col("_ax_node"), "left").select("_ax_id", "_ax_text", "n", F.coalesce("label", small["node"]).alias("label"))
     rows = written(rows)
-    lowest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("_ax_id").alias("component_id"))
+    lowest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("_ax_id").alias("component_id"), F.min(F.struct(F.col("_ax_id").isNull().alias("none"), "_ax_id", "_ax_text")).alias("first"))
     out = rows.join(lowest, "label", "left")
     component = F.coalesce("component_id", "_ax_id")
-    return out.select("_ax_id", "_ax_text", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_ax_id").eqNullSafe(component).alias("kept"))
+    # one text of each component stays, also where ids are null or repeat
+    kept = F.col("label").isNull() | (F.col("_ax_id").eqNullSafe(F.col("first._ax_id")) & (F.col("_ax_text") == F.col("first._ax_text")))
+    return out.select("_ax_id", "_ax_text", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def near_result(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,9 @@ def test_regions_in_blocks(spark):
     for block in (2_000, 40):
         got = near_dedup.across(labelled, 20, 80, 4, 50, (8, 10), block=block, task_rows=500).collect()
         assert {(bytes(r.a), bytes(r.b), r.est) for r in got} == want and len(got) == len(want)
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    base = [f"q{i}" for i in range(60)]
+    docs = frame(spark, [(None, " ".join(base)), (None, " ".join([*base, "end"])), (5, " ".join(x + "z" for x in base)), (5, " ".join([*(x + "z" for x in base), "end"])), (None, None)])
+    assert sorted(str(r.doc_id) for r in near_dedup.keep_one_of_each(docs).collect()) == ["5", "None", "None"]
