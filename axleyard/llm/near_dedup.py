@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     ``similarity`` is a fraction of whole numbers. ``windows``: (places apart, equal minhashes of ``trees *
     depth`` from which a pair may be a best partner), nearest first; they serve the first search alone. ``agree``:
     equal minhashes from which the second search verifies a pair, whatever its distance: 48 of 80 misses a
-    pair of similarity 0.8 about twice in a hundred thousand.
+    pair of similarity 0.8 about once in a hundred thousand.
     """
     total = trees * depth
     kind = docs.schema[id_col].dataType.simpleString()
