@@ -36,6 +36,29 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one job: ``clear`` deletes them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, but: DataFrame | None = None) -> None:
+        """Deletes all tables written so far, but the one that ``but`` reads."""
+        kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in but.inputFiles()} if but is not None else set()
+        jvm = self.spark._jvm
+        for path in self.paths:
+            if path.rsplit("/", 1)[-1] not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = [p for p in self.paths if p.rsplit("/", 1)[-1] in kept]
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -2,23 +2,27 @@
 
 1. Each text becomes its set of word shingles, a 128-bit digest of that set and ``trees * depth`` minhashes.
    Texts with equal sets are one class from here on, so exact copies cost one row however many they are.
-2. Each tree orders the classes by their minhashes, starting at that tree's own. Neighbours in that order
-   share the longest prefixes: in crowded regions neighbours agree to a greater depth, in sparse ones the
-   first ``depth`` values decide. Orders are range-partitioned, so a region of any size spreads over tasks;
-   rows at the ends of tasks are compared in a further, much smaller order.
-3. In a first search each class names its best partner in each tree, among neighbours within some places
-   (and the first of a region) that share at least ``depth`` leading minhashes, whose set sizes allow the
-   similarity and whose signatures agree in enough places. The best of these are verified on the full sets,
-   twice, and their links form components.
-4. A second search takes every region (equal ``depth`` leading minhashes in a tree) that holds more than one
-   component and compares all its pairs of different components, at any distance; large regions are cut
-   into blocks, and each pair of blocks is work of its own. All pairs that sizes and signatures allow are
-   verified. Windows thus only decide how much of a large group the first search joins cheaply.
+2. Each tree orders the classes by their minhashes, starting at that tree's own, so that neighbours share the
+   longest common prefixes. A class meets its ``window`` nearest places whose common prefix is ``depth`` long
+   at least: where a region is crowded these agree to a greater depth, where it is sparse ``depth`` decides.
+   Orders are range-partitioned, so a region of any size spreads over tasks; rows at the ends of tasks are
+   compared in a further, much smaller order. Each class's best partner of all trees is verified on the full
+   sets, and these links form components. This joins most of a large group of copies cheaply; it decides no link alone.
+3. Every region (equal ``depth`` leading minhashes in a tree) that still holds more than one component is then
+   searched whole: its classes come with their full sets, and each pair of different components is verified
+   where it stands, so no candidate pairs are written; only links that join two components come out. Regions
+   beyond ``block`` shingles are cut into blocks, and each pair of blocks is work of its own; pairs within the
+   region's largest component need none.
+
+All pairs that share a region in some tree are decided exactly: of pairs of similarity 0.8, 20 trees of depth 4
+miss one in 38,000, of 0.9 one in 10**9, and a link is lost only if no chain of other links joins its ends.
 
 Defined results: texts that are null, empty or only white space have no shingles, are linked with nothing
 and are their own component. Fewer words than the width make one shingle. Rows that repeat an id, or have
-a null id, are rows of their own; a component's id is the smallest id that is not null in it. The row kept has the smallest (id, text fingerprint),
-null ids last.
+a null id, are rows of their own; a component's id is the smallest id that is not null in it. The row kept has
+the smallest (id, text fingerprint), null ids last; of rows that repeat both, ``keep_one_of_each`` keeps one. Very long
+texts are read whole, some at a time. Other columns are not read, so their names may clash with any used here;
+``keep_one_of_each`` passes them through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, drawn_together, lowest_neighbours
-from .common import MIX_A, WordHasher, mixed, shingle_hashes, slices, text_key, text_or_empty, written
+from .common import MIX_A, Scratch, WordHasher, mixed, shingle_hashes, slices, text_key, text_or_empty
+from .components import connected_components
 
 _WORDS = WordHasher()
-PAIRS = "kind int, pid int, a binary, b binary, est int, key binary, n int, label binary"
+PAIRS = "kind int, pid int, a binary, b binary, est int, key binary, n int"
 
 
 def _perms(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +76,14 @@ def _signed(trees: int, depth: int, width: int, slice_bytes: int = 1_000_000):
 
 
 def _ordered(trees: list[int], total: int, depth: int):
-    """Rows (node, n, label, sig) -> one row per tree: its key is tree, the tree's minhashes, then a byte of each minhash from there on."""
+    """Rows (node, n, sig) -> one row per tree: its key is tree, the tree's minhashes, then a byte of each minhash from there on."""
 
     def run(batches):
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(m, total, 4)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(m, total, 4)
             keys = []
             for t in trees:
                 own = sig[:, t * depth : (t + 1) * depth].reshape(m, -1)
@@ -89,17 +93,16 @@ def _ordered(trees: list[int], total: int, depth: int):
             buf = pa.py_buffer(np.concatenate(keys).tobytes())
             key = pa.Array.from_buffers(pa.binary(), m * len(trees), [None, pa.py_buffer((np.arange(m * len(trees) + 1) * size).astype(np.int32).tobytes()), buf])
             again = lambda c: pa.concat_arrays([batch.column(c)] * len(trees))
-            yield pa.RecordBatch.from_arrays([again(0), again(1), again(2), key], names=["node", "n", "label", "key"])
+            yield pa.RecordBatch.from_arrays([again(0), again(1), key], names=["node", "n", "key"])
 
     return run
 
 
-def _neighbours(depth: int, windows: tuple[tuple[int, int], ...], similarity: tuple[int, int], best: bool):
-    """Rows (node, n, label, key) in order, one partition -> candidates (kind 0) and the rows at its ends (kind 1).
+def _neighbours(depth: int, window: int, agree: int, similarity: tuple[int, int]):
+    """Rows (node, n, label, key) in order, one partition -> each row's best partner (kind 0) and the rows at its ends (kind 1).
 
-    A partition is a range of bounded size, held as arrays. ``best``: each row names one partner.
+    A partition is a range of bounded size, held as arrays.
     """
-    window, agree = windows[0]
     head = 2 + 4 * depth
     num, den = similarity
 
@@ -108,86 +111,78 @@ def _neighbours(depth: int, windows: tuple[tuple[int, int], ...], similarity: tu
         if not batches:
             return
         t = pa.Table.from_batches(batches)
-        nodes, keys, labels = (t.column(c).to_pylist() for c in ("node", "key", "label"))
+        nodes, keys = (t.column(c).to_pylist() for c in ("node", "key"))
         n = np.array(t.column("n").to_pylist(), np.int64)
         grid = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
-        codes = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-        label = np.array([codes[x] if x is not None else -1 - i for i, x in enumerate(labels)])
         names = {x: i for i, x in enumerate(dict.fromkeys(nodes))}
         node = np.array([names[x] for x in nodes])
-        run_id = np.cumsum(np.r_[True, (grid[1:, :head] != grid[:-1, :head]).any(1)])
-        first = np.flatnonzero(np.r_[True, run_id[1:] != run_id[:-1]])[run_id - 1]
+        # bytes of the prefix that each row shares with the next one, of the bytes that tell regions apart
+        apart = grid[1:, :head] != grid[:-1, :head]
+        shared = np.where(apart.any(1), apart.argmax(1), head)
         left, right, ests = [], [], []
-
-        def keep(i, j, agree):
-            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (label[i] != label[j]) & (node[i] != node[j])
-            i, j = i[ok], j[ok]
-            for a in range(0, len(i), 50_000):
-                x, y = i[a : a + 50_000], j[a : a + 50_000]
-                est = (grid[x, head:] == grid[y, head:]).sum(1)
-                ok = est >= agree
-                left.append(x[ok]), right.append(y[ok]), ests.append(est[ok])
-
-        at = np.arange(len(n))
-        for o in range(1, windows[-1][0] + 1):
-            i = at[: len(at) - o]
-            i = i[run_id[i] == run_id[i + o]]
+        at, common = np.arange(len(n)), np.full(len(n), head)
+        for o in range(1, min(window, len(n) - 1) + 1):
+            common = np.minimum(common[: len(n) - o], shared[o - 1 :])
+            i = at[: len(n) - o][common == head]
             if not len(i):
                 break
-            keep(i, i + o, next(g for w, g in windows if o <= w))
-        far = at[at - first > window]
-        keep(first[far], far, agree)
+            j = i + o
+            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (node[i] != node[j])
+            for x, y in ((i[ok][a : a + 50_000], j[ok][a : a + 50_000]) for a in range(0, int(ok.sum()), 50_000)):
+                est = (grid[x, head:] == grid[y, head:]).sum(1)
+                ok_ = est >= agree
+                left.append(x[ok_]), right.append(y[ok_]), ests.append(est[ok_])
         i, j, est = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right, ests))
-        if best and len(i):
+        if len(i):
             mine, other, e = np.r_[i, j], np.r_[j, i], np.r_[est, est]
-            order = np.lexsort((other, -e, mine))
-            chosen = order[np.r_[True, np.diff(mine[order]) != 0]]
+            order = np.lexsort((other, -e, node[mine]))
+            chosen = order[np.r_[True, np.diff(node[mine][order]) != 0]]
             i, j, est = mine[chosen], other[chosen], e[chosen]
         pid = TaskContext.get().partitionId()
-        pairs = {}
-        for x, y, e in zip(i.tolist(), j.tolist(), est.tolist()):
-            pair = (nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x])
-            pairs[pair] = max(e, pairs.get(pair, 0))
         ends = sorted({*range(min(window, len(n))), *range(max(0, len(n) - window), len(n))})
-        k, m = len(pairs), len(ends)
+        k, m = len(i), len(ends)
         none = [None] * k
         yield pa.RecordBatch.from_arrays([
             pa.array([0] * k + [1] * m, pa.int32()), pa.array([pid] * (k + m), pa.int32()),
-            pa.array([p[0] for p in pairs] + [nodes[x] for x in ends], pa.binary()), pa.array([p[1] for p in pairs] + [None] * m, pa.binary()), pa.array([*pairs.values(), *[None] * m], pa.int32()),
-            pa.array(none + [keys[x] for x in ends], pa.binary()), pa.array(none + [int(n[x]) for x in ends], pa.int32()), pa.array(none + [labels[x] for x in ends], pa.binary()),
-        ], names=["kind", "pid", "a", "b", "est", "key", "n", "label"])
+            pa.array([nodes[x] for x in i.tolist()] + [nodes[x] for x in ends], pa.binary()), pa.array([nodes[x] for x in j.tolist()] + [None] * m, pa.binary()), pa.array([*est.tolist(), *[None] * m], pa.int32()),
+            pa.array(none + [keys[x] for x in ends], pa.binary()), pa.array(none + [int(n[x]) for x in ends], pa.int32()),
+        ], names=["kind", "pid", "a", "b", "est", "key", "n"])
 
     return run
 
 
-def candidates(rows: DataFrame, trees: list[int], total: int, depth: int, windows, similarity, best: bool, task_rows: int = 40_000) -> DataFrame:
-    """Distinct (a, b, est), a < b, of neighbours in the orders of ``trees``. ``rows``: (node, n, label, sig), one per class."""
+def candidates(rows: DataFrame, trees: list[int], total: int, depth: int, window: int, agree: int, similarity, keep: Scratch, task_rows: int = 40_000) -> DataFrame:
+    """(a, b, est) of neighbours in the orders of ``trees``: partners that classes named. ``rows``: (node, n, sig), one per class."""
     spark = rows.sparkSession
-    scan = _neighbours(depth, windows, similarity, best)
-    order = rows.select("node", "n", "label", "sig").mapInArrow(_ordered(trees, total, depth), "node binary, n int, label binary, key binary")
+    scan = _neighbours(depth, window, agree, similarity)
+    order = rows.select("node", "n", "sig").mapInArrow(_ordered(trees, total, depth), "node binary, n int, key binary")
     left = rows.count() * len(trees)
     found = None
     while left:
         parts = math.ceil(left / task_rows)
         # rows at the ends of ranges come round again until all of them fit one task's share
         spread = order.repartitionByRange(parts, "key", "node") if parts > 1 else order.coalesce(1)
-        out = written(spread.sortWithinPartitions("key", "node").mapInArrow(scan, PAIRS))
+        out = keep.written(spread.sortWithinPartitions("key", "node").mapInArrow(scan, PAIRS))
         pairs = out.filter("kind = 0").select("a", "b", "est")
         found = pairs if found is None else found.unionByName(pairs)
         if parts == 1:
             break
         ends = out.filter("kind = 1")
-        order = ends.select(F.col("a").alias("node"), "n", "label", "key")
+        order = ends.select(F.col("a").alias("node"), "n", "key")
         left = ends.count()
         if ends.select("pid").distinct().count() < 2:
             break
-    if found is None:
-        return spark.createDataFrame([], "a binary, b binary, est int")
-    return found.groupBy("a", "b").agg(F.max("est").alias("est"))
+    return spark.createDataFrame([], "a binary, b binary, est int") if found is None else found
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: the partner with which each class of ``pairs`` (a, b, est) agrees most."""
+    best = pairs.groupBy("a").agg(F.max(F.struct("est", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _regions(trees: int, total: int, depth: int):
-    """Rows (node, n, label, sig) -> one row per tree: its region (a hash of tree and leading minhashes) and a byte of each minhash."""
+    """Rows (node, n, label, sig) -> one row per tree: its region, a hash of tree and leading minhashes."""
 
     def run(batches):
         for batch in batches:
@@ -195,167 +190,190 @@ def _regions(trees: int, total: int, depth: int):
             if not m:
                 continue
             sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(m, total)
-            low = (sig & 255).astype(np.uint8).tobytes()
-            low = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * total).astype(np.int32).tobytes()), pa.py_buffer(low)])
             for t in range(trees):
                 region = np.full(m, t + 1, np.uint64)
                 for j in range(t * depth, (t + 1) * depth):
                     region = mixed(region * MIX_A + sig[:, j].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0), batch.column(1), batch.column(2), low], names=["region", "node", "n", "label", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), batch.column(0), batch.column(1), batch.column(2)], names=["region", "node", "n", "label"])
 
     return run
 
 
-def _crossing(agree: int, similarity: tuple[int, int], most: int = 50_000):
-    """Rows (region, lo, hi, node, n, label, low, own), one partition sorted by the first four -> all pairs of different labels that may be similar.
+def _members(rows: DataFrame, trees: int, total: int, depth: int, block: int, small_rows: int, keep: Scratch) -> DataFrame:
+    """(region, lo, hi, own, node, label): the classes of regions that hold more than one label, once for each pair of blocks they have part in.
 
-    ``lo`` and ``hi`` are two blocks of a region and ``own`` is the row's: of two blocks, pairs across them.
+    Blocks hold about ``block`` shingles. Those of the region's largest label come last and meet all others, but not one another.
     """
+    placed = rows.select("node", "n", "label", "sig").mapInArrow(_regions(trees, total, depth), "region long, node binary, n int, label binary")
+    per = placed.groupBy("region", "label").agg(F.sum("n").alias("size"))
+    mixed_ = per.groupBy("region").agg(F.count("*").alias("labels"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by(F.xxhash64("label"), F.col("size")).alias("major")).filter("labels > 1")
+    whole = F.col("all") <= block
+    blocks = lambda size: F.ceil(size / block).cast("int")
+    mixed_ = keep.written(mixed_.select("region", F.when(~whole, F.col("major")).alias("major"), F.when(whole, 1).otherwise(blocks(F.col("all") - F.col("most"))).alias("others"), F.when(whole, 0).otherwise(blocks(F.col("most"))).alias("majors")))
+    # up to small_rows rows of 24 bytes are sent to every task; beyond, both sides are shuffled
+    at = placed.join(F.broadcast(mixed_) if mixed_.count() <= small_rows else mixed_, "region")
+    part, last = F.xxhash64("node"), F.coalesce(F.xxhash64("label") == F.col("major"), F.lit(False))
+    at = at.withColumn("last", last).withColumn("own", F.when(F.col("last"), F.col("others") + F.pmod(part, F.col("majors"))).otherwise(F.pmod(part, F.col("others"))).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("last"), 0).otherwise(F.col("majors")) - 1)))
+    return keep.written(at.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n"))
+
+
+def joining(label: np.ndarray, own: np.ndarray, starts: np.ndarray, flat: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links (i, j) that join the labels of the rows whose sets lie in ``flat`` from ``starts`` on, as a tree: of two blocks, pairs across them."""
     num, den = similarity
+    ends = np.r_[starts[1:], len(flat)]
+    n = ends - starts
+    codes = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, bool)
+    two = own[0] != own[-1]
+    # the largest label comes last (rows are sorted so), or the second block does: pairs start from the rows before
+    until = np.searchsorted(own, own[-1]) if two else int(np.searchsorted(label, label[-1]))
+    label, links = label.copy(), []
+    for i in range(until):
+        a = until if two else i + 1
+        j = a + np.flatnonzero((label[a:] != label[i]) & (den * np.minimum(n[a:], n[i]) >= num * np.maximum(n[a:], n[i])))
+        if not len(j):
+            continue
+        mine = codes[starts[i] : ends[i]]
+        mark[mine] = True
+        if 4 * len(j) < len(label) - a:
+            both = np.array([np.count_nonzero(mark[codes[starts[k] : ends[k]]]) for k in j.tolist()])
+        else:
+            both = np.add.reduceat(mark[codes[starts[a] :]], starts[a:] - starts[a], dtype=np.int64)[j - a]
+        mark[mine] = False
+        for k in j[den * both >= num * (n[i] + n[j] - both)].tolist():
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                links.append((i, k))
+    return links
+
+
+def _crossing(similarity: tuple[int, int]):
+    """Rows (region, lo, hi, own, node, label, shingles), one partition sorted by the first three -> pairs (a, b) of labels that a link joins, within each group of the three."""
+
+    def links(group: pa.Table):
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(x, len(codes)) for x in group.column("label").to_pylist()])
+        if len(codes) < 2:
+            return
+        own, lo, hi = (group.column(c).to_numpy() for c in ("own", "lo", "hi"))
+        if lo[0] != hi[0] and (own == own[0]).all():
+            return
+        # a block of its own: the rows of its largest label last
+        rank = np.argsort(np.bincount(label), kind="stable")
+        label = np.argsort(rank)[label]
+        order = np.lexsort((label, own))
+        sets = group.column("shingles").to_pylist()
+        sets = [sets[k] for k in order.tolist()]
+        starts = np.cumsum([0, *(len(x) // 8 for x in sets[:-1])])
+        found = joining(label[order], own[order], starts, np.frombuffer(b"".join(sets), np.uint64), similarity)
+        if found:
+            names = group.column("label").combine_chunks().take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array([x[k] for x in found])) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches).combine_chunks()
-        region, lo, hi, n, own = (t.column(c).to_numpy() for c in ("region", "lo", "hi", "n", "own"))
-        node = t.column("node").combine_chunks()
-        codes: dict[bytes, int] = {}
-        label = np.array([codes.setdefault(x, len(codes)) for x in t.column("label").to_pylist()])
-        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(n), -1)
-        n = n.astype(np.int64)
-        new = np.r_[True, (region[1:] != region[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-        end = np.r_[np.flatnonzero(new)[1:], len(n)][np.cumsum(new) - 1]
-        i, o = np.arange(len(n)), 0
-        while len(i):
-            o += 1
-            i = i[i + o < end[i]]
-            j = i + o
-            ok = (label[i] != label[j]) & ((own[i] != own[j]) | (lo[i] == hi[i])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-            x, y = i[ok], j[ok]
-            for a in range(0, len(x), most):
-                u, v = x[a : a + most], y[a : a + most]
-                est = (low[u] == low[v]).sum(1)
-                near = est >= agree
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(u[near])), node.take(pa.array(v[near])), pa.array(est[near], pa.int32())], names=["a", "b", "est"])
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            cut = np.flatnonzero(np.any([np.diff(rest.column(c).to_numpy()) != 0 for c in ("region", "lo", "hi")], axis=0)) + 1
+            for a, b in zip([0, *cut], cut):
+                yield from links(rest.slice(a, b - a))
+            rest = rest.slice(cut[-1]) if len(cut) else rest
+        if rest is not None:
+            yield from links(rest)
 
     return run
 
 
-def across(rows: DataFrame, trees: int, total: int, depth: int, agree: int, similarity, block: int = 2_000, task_rows: int = 40_000, small_rows: int = 200_000) -> DataFrame:
-    """Distinct (a, b, est), a < b: every pair of different labels in one region whose sizes and signatures (``agree``) allow the similarity."""
-    placed = rows.select("node", "n", "label", "sig").mapInArrow(_regions(trees, total, depth), "region long, node binary, n int, label binary, low binary")
-    which = F.xxhash64("label")
-    mixed_ = placed.groupBy("region").agg(F.count("*").alias("rows"), F.min(which).alias("least"), F.max(which).alias("most")).filter("least < most")
-    mixed_ = written(mixed_.select("region", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), "rows"))
-    count, copies = mixed_.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") * F.col("blocks")), F.lit(0))).first()
-    # up to small_rows rows of 24 bytes are sent to every task; beyond, both sides are shuffled
-    members = placed.join(F.broadcast(mixed_) if count <= small_rows else mixed_, "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "n", "label", "low", "own")
-    spread = members.repartition(max(1, math.ceil(copies / task_rows)), "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "node")
-    return spread.mapInArrow(_crossing(agree, similarity), "a binary, b binary, est int").distinct()
+def across(rows: DataFrame, shingles, trees: int, total: int, depth: int, similarity, keep: Scratch, block: int = 1_000_000, task_shingles: int = 2_000_000, small_rows: int = 200_000) -> DataFrame:
+    """Pairs (a, b) of labels that a link on the full sets joins in some region. ``rows``: (node, n, label, sig); ``shingles``: nodes (node) -> (node, shingles)."""
+    members = _members(rows, trees, total, depth, block, small_rows, keep)
+    sets = shingles(members.select("node").distinct())
+    parts = math.ceil((members.agg(F.sum("n")).first()[0] or 0) / task_shingles) or 1
+    full = members.drop("n").join(sets, "node").select("region", "lo", "hi", "own", "node", "label", "shingles")
+    return keep.written(full.repartition(parts, "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi").mapInArrow(_crossing(similarity), "a binary, b binary"))
 
 
-def _verified(width: int, similarity):
-    num, den = similarity
+def _sets(width: int):
+    """Rows (node, text) -> (node, shingles): the sorted hashes of the text's shingles, 8 bytes each."""
 
     def run(batches):
-        known: dict[bytes, frozenset] = {}
-        size = 0
-
-        def shingles(node, text):
-            nonlocal size
-            got = known.get(node)
-            if got is None:
-                w = text.lower().split()
-                got = frozenset(zip(*(w[i:] for i in range(width)))) if len(w) >= width else frozenset([tuple(w)])
-                if size > 200_000:
-                    known.clear()
-                    size = 0
-                known[node] = got
-                size += len(got)
-            return got
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(t) for t in texts], 1_000_000):
+                sets = [np.unique(shingle_hashes(_WORDS.hashes(t.lower().split()), width)).tobytes() for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
 
+def _verified(similarity):
+    num, den = similarity
+
+    def run(batches):
         for batch in batches:
             ok = []
-            for a, b, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = shingles(a, ta), shingles(b, tb)
-                both = len(x & y)
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                ok.append(den * both >= num * (len(x) // 8 + len(y) // 8 - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, repeats: bool, width: int, similarity, small_rows: int = 200_000) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. ``classes``: (node, k: the id and text fingerprint of one of its rows); ``texts``: (_ax_id, _ax_text, text)."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keepers = written(classes.join(ends, "node").select("node", F.col("k._ax_id").alias("_ax_kid"), F.col("k._ax_text").alias("_ax_ktext")))
-    # up to small_rows rows of 32 bytes are sent to every task; beyond, both sides are shuffled
-    side = F.broadcast(keepers) if keepers.count() <= small_rows else keepers
-    got = texts.join(side, texts["_ax_id"].eqNullSafe(side["_ax_kid"]) & (texts["_ax_text"] == side["_ax_ktext"])).select("node", "text")
-    got = written(got.dropDuplicates(["node"]) if repeats else got)
-    left = pairs.select("a", "b").join(got.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(got.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return written(both.select("a", "b", F.col("ta").cast("binary").alias("ta"), F.col("tb").cast("binary").alias("tb")).mapInArrow(_verified(width, similarity), "a binary, b binary"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity) -> DataFrame:
+    """The pairs (a, b) whose full sets (node, shingles) are similar enough."""
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(similarity), "a binary, b binary")
 
 
 def _repeats(signed: DataFrame) -> bool:
     return bool(signed.groupBy("_ax_id", "_ax_text").count().filter("count > 1").limit(1).count())
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_l{c}"))
-    j = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return j.filter(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b", "est")
-
-
-def _best_joined(pairs: DataFrame, verify, rounds: int = 2) -> DataFrame:
-    """Edges (a, b) of verified links, after verifying each end's best pair of ``pairs`` (a, b, est) in each of ``rounds``.
-
-    Most such links join a large group of near copies, and pairs within a component need no verifying. To
-    tell these, drawing the links together by a few steps is enough: it never joins what no link joins.
-    """
-    edges = None
-    for k in range(rounds):
-        ends = pairs.select("a", "b", "est").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-        best = ends.groupBy("a").agg(F.max(F.struct("est", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
-        picked = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = verify(picked)
-        edges = drawn_together(links if edges is None else edges.unionByName(links))
-        if k + 1 < rounds:
-            pairs = written(_apart(pairs.join(picked, ["a", "b"], "left_anti"), lowest_neighbours(edges)))
-    return edges
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8, 10), trees: int = 20, depth: int = 4, windows: tuple[tuple[int, int], ...] = ((32, 52), (128, 64)), agree: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8, 10), trees: int = 20, depth: int = 4, window: int = 32, agree: int = 52,
+    id_col: str = "doc_id", text_col: str = "text", task_rows: int = 40_000, small_rows: int = 200_000, block: int = 1_000_000, task_shingles: int = 2_000_000,
+) -> DataFrame:
     """One row per row of ``docs``: _ax_id, _ax_text (fingerprint of the text), ``n_shingles``, ``component_id``, ``kept``.
 
-    ``similarity`` is a fraction of whole numbers. ``windows``: (places apart, equal minhashes of ``trees *
-    depth`` from which a pair may be a best partner), nearest first; they serve the first search alone. ``agree``:
-    equal minhashes from which the second search verifies a pair, whatever its distance: 48 of 80 misses a
-    pair of similarity 0.8 about once in a hundred thousand.
+    ``similarity`` is a fraction of whole numbers. ``window``: places apart, and ``agree``: equal minhashes of ``trees *
+    depth`` from which a pair may be a best partner; they serve the first search alone. ``task_rows``, ``block`` and
+    ``task_shingles`` size the tasks, ``small_rows`` bounds what is broadcast; none changes a result.
     """
     total = trees * depth
     kind = docs.schema[id_col].dataType.simpleString()
+    keep = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_ax_id"), text_key(text_col).alias("_ax_text"), text_or_empty(text_col).alias("text"))
-    signed = written(texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_signed(trees, depth, width), f"_ax_id {kind}, _ax_text long, n long, node binary, sig binary"))
-    classes = written(signed.filter("n > 0").groupBy("node").agg(F.min("sig").alias("sig"), F.min("n").cast("int").alias("n"), F.min(F.struct("_ax_id", "_ax_text")).alias("k")))
-    unlabelled = classes.select("node", "n", F.lit(None).cast("binary").alias("label"), "sig")
+    signed = keep.written(texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_signed(trees, depth, width), f"_ax_id {kind}, _ax_text long, n long, node binary, sig binary"))
+    classes = keep.written(signed.filter("n > 0").groupBy("node").agg(F.min("sig").alias("sig"), F.min("n").cast("int").alias("n"), F.min(F.struct("_ax_id", "_ax_text")).alias("k")))
     repeats = _repeats(signed)
-    every, verify = list(range(trees)), lambda pairs: verified(pairs, classes, texts, repeats, width, similarity)
-    first = written(candidates(unlabelled, every, total, depth, windows, similarity, True))
-    edges = _best_joined(first, verify)
-    labels = written(connected_components(edges))
-    labelled = written(classes.join(labels.withColumnRenamed("node", "_ax_node"), F.col("node") == F.col("_ax_node"), "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sig"))
-    links = verify(written(across(labelled, trees, total, depth, agree, similarity)))
-    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+    def shingles(nodes: DataFrame) -> DataFrame:
+        keepers = keep.written(classes.join(nodes, "node").select("node", F.col("k._ax_id").alias("_ax_kid"), F.col("k._ax_text").alias("_ax_ktext")))
+        # up to small_rows rows of 32 bytes are sent to every task; beyond, both sides are shuffled
+        side = F.broadcast(keepers) if keepers.count() <= small_rows else keepers
+        got = texts.join(side, texts["_ax_id"].eqNullSafe(side["_ax_kid"]) & (texts["_ax_text"] == side["_ax_ktext"])).select("node", F.col("text").cast("binary").alias("text"))
+        got = got.mapInArrow(_sets(width), "node binary, shingles binary")
+        return keep.written(got.dropDuplicates(["node"]) if repeats else got)
+
+    best = keep.written(_best(candidates(classes, list(range(trees)), total, depth, window, agree, similarity, keep, task_rows)))
+    ends = best.select(F.col("a").alias("node")).unionByName(best.select(F.col("b").alias("node"))).distinct()
+    # a few labels more than components cost the second search some work, a full run of rounds more
+    labels = keep.written(connected_components(verified(best, shingles(ends), similarity), keep, steps=1))
+    labelled = classes.join(labels.withColumnRenamed("node", "_ax_node"), F.col("node") == F.col("_ax_node"), "left").select("node", "n", F.coalesce("label", "node").alias("label"), "sig")
+    labelled = keep.written(labelled)
+    joined = connected_components(across(labelled, shingles, trees, total, depth, similarity, keep, block, task_shingles, small_rows), keep)
+    joined = joined.select(F.col("node").alias("_ax_from"), F.col("label").alias("_ax_to"))
+    labels = labelled.join(joined, F.col("label") == F.col("_ax_from"), "left").select("node", F.coalesce("_ax_to", "label").alias("label"))
     small = signed.select("_ax_id", "_ax_text", "n", "node")
     rows = small.join(labels.withColumnRenamed("node", "_ax_node"), small["node"] == F.col("_ax_node"), "left").select("_ax_id", "_ax_text", "n", F.coalesce("label", small["node"]).alias("label"))
-    rows = written(rows)
+    rows = keep.written(rows)
+    keep.clear(but=rows)
     lowest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("_ax_id").alias("component_id"), F.min(F.struct(F.col("_ax_id").isNull().alias("none"), "_ax_id", "_ax_text")).alias("first"))
     out = rows.join(lowest, "label", "left")
     component = F.coalesce("component_id", "_ax_id")

@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from axleyard.llm import components, near_dedup
+from axleyard.llm.common import Scratch
 
 from .conftest import frame
 
@@ -35,8 +38,8 @@ def brute(rows, width, num=80, den=100):
     return sorted(out)
 
 
-def result(docs, width):
-    got = near_dedup.near_duplicates(docs, width=width).collect()
+def result(docs, width, **sizes):
+    got = near_dedup.near_duplicates(docs, width=width, **sizes).collect()
     assert all(r.kept == (r._ax_id == r.component_id) for r in got)
     return sorted((r._ax_id if r._ax_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got)
 
@@ -54,6 +57,8 @@ def test_against_brute_force(spark):
             rows.append((len(rows) + 100, " ".join(copy)))
     rows += [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (None, "one"), (None, "lonely words without an id"), (rows[0][0], rows[0][1]), (rows[0][0], "another text under the same id")]
     assert result(frame(spark, rows), 2) == brute(rows, 2)
+    # many tasks with rows at their ends, shuffled joins, regions in blocks
+    assert result(frame(spark, rows), 2, task_rows=500, small_rows=0, block=300, task_shingles=2_000) == brute(rows, 2)
 
 
 def test_large_group_and_nothing(spark, nothing):
@@ -76,12 +81,17 @@ def test_keep_one(spark):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.label for r in components.connected_components(edges).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    want = {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert {r.node: r.label for r in components.connected_components(edges, Scratch(spark)).collect()} == want
+    # edges of many tasks, in no order
+    spread = edges.orderBy((edges.a * 7919) % 61).repartition(9)
+    assert {r.node: r.label for r in components.connected_components(spread, Scratch(spark)).collect()} == want
+    few = {r.node: r.label for r in components.connected_components(spread, Scratch(spark), steps=1).collect()}
+    assert few.keys() == want.keys() and all(want[x] == want[y] and y <= x for x, y in few.items())
 
 
-def test_links_beyond_the_windows(spark):
-    rng = random.Random(8)
+def far_apart(seed):
+    rng = random.Random(seed)
     base = [f"z{i}" for i in range(150)]
     rows = []
     for i in range(300):
@@ -92,29 +102,39 @@ def test_links_beyond_the_windows(spark):
         if i % 3 == 0:
             copy[rng.randrange(150)] = f"v{i}"
             rows.append((1000 + i, " ".join(copy)))
-    docs = frame(spark, rows)
-    # windows that find next to nothing leave all links to the second search
-    got = near_dedup.near_duplicates(docs, width=2, windows=((1, 80),)).collect()
-    assert sorted((r._ax_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
+    return rows
+
 
+def test_links_beyond_the_window(spark):
+    rows = far_apart(8)
+    # a window that finds next to nothing leaves all links to the second search
+    for sizes in ({}, {"block": 10_000, "task_shingles": 20_000, "task_rows": 500}):
+        got = near_dedup.near_duplicates(frame(spark, rows), width=2, window=1, agree=80, **sizes).collect()
+        assert sorted((r._ax_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 2)
 
-def test_regions_in_blocks(spark):
-    import numpy as np
 
+def test_joining_pairs_of_a_block_and_of_two():
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**32, 80, dtype=np.uint32)
-    sigs = []
-    for _ in range(300):
-        s = base.copy()
-        s[rng.choice(np.arange(4, 80), 16, replace=False)] = rng.integers(0, 2**32, 16, dtype=np.uint32)
-        sigs.append(s)
-    rows = [(i.to_bytes(16, "big"), 100, (i % 7).to_bytes(16, "big"), s.astype(">u4").tobytes()) for i, s in enumerate(sigs)]
-    low = np.array([s & 255 for s in sigs])
-    want = {(rows[i][0], rows[j][0], e) for i in range(300) for j in range(i + 1, 300) if i % 7 != j % 7 and (e := int((low[i] == low[j]).sum())) >= 50}
-    labelled = spark.createDataFrame(rows, "node binary, n int, label binary, sig binary")
-    for block in (2_000, 40):
-        got = near_dedup.across(labelled, 20, 80, 4, 50, (8, 10), block=block, task_rows=500).collect()
-        assert {(bytes(r.a), bytes(r.b), r.est) for r in got} == want and len(got) == len(want)
+    sets = [np.unique(rng.choice(60, rng.integers(30, 50), replace=False)).astype(np.uint64) for _ in range(60)]
+    starts, flat = np.cumsum([0, *(len(x) for x in sets[:-1])]), np.concatenate(sets)
+    near = lambda i, j: 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 62 * (len(sets[i]) + len(sets[j]) - both)
+    for own in (np.zeros(60, int), np.repeat([0, 3], 30)):
+        label = np.sort(np.arange(60) % 25) if own[-1] == 0 else np.r_[np.arange(30), np.arange(30)]
+        pairs = [(i, j) for i in range(60) for j in range(i + 1, 60) if label[i] != label[j] and near(i, j) and (own[-1] == 0 or own[i] != own[j])]
+
+        def root(x, parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def classes(links):
+            parent = {x: x for x in label.tolist()}
+            for i, j in links:
+                parent[root(label[i], parent)] = root(label[j], parent)
+            return {frozenset(y for y in parent if root(y, parent) == root(x, parent)) for x in parent}
+
+        got = near_dedup.joining(label, own, starts, flat, (62, 100))
+        assert set(got) <= set(pairs) and classes(got) == classes(pairs) and len(got) == len(set(label.tolist())) - len(classes(pairs)) and pairs
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):
