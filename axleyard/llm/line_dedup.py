@@ -7,8 +7,10 @@ Only hashes and positions are shuffled besides one pass of the texts to meet the
 join by hash is a plain sort-merge join, whose hot hashes (a line in a third of all documents) Spark splits.
 
 Defined results: a null or empty text is one empty line. Rows that repeat an id count as one document and
-each is returned. Rows with a null id are no document: they are returned with nothing dropped. An empty
-table gives no rows. Columns besides id and text pass through untouched in ``dedup_lines``.
+each is returned. Rows with a null id are no document: they are returned with nothing dropped. Lines of one key
+in one document are all kept or all dropped. A very long text is one row throughout: its lines are hashed where
+it stands and its dropped positions come back as one array. An empty table gives no rows. Columns besides id and
+text pass through untouched in ``dedup_lines``, whatever their names (names that begin with ``_ax_`` are the library's own).
 """
 
 from __future__ import annotations
@@ -67,21 +69,21 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, i
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its text replaced by the lines that stay, and ``_ax_lines``, ``_ax_dropped`` (counts)."""
-    drops = dropped_positions(docs, min_chars, min_docs, id_col, text_col)
+    drops = dropped_positions(docs, min_chars, min_docs, id_col, text_col).withColumnRenamed("dropped", "_ax_pos")
     d = docs.withColumn("_ax_key", text_key(text_col))
     joined = d.join(drops, (d[id_col] == drops["_ax_id"]) & (d["_ax_key"] == drops["_ax_text"]), "left")
     lines = F.split(text_or_empty(text_col), "\n", -1)
     # the runs of lines between dropped ones: each line is copied once, however many are dropped
     runs = F.transform(
-        F.sequence(F.lit(0), F.size("dropped")),
+        F.sequence(F.lit(0), F.size("_ax_pos")),
         lambda i: F.slice(
             lines,
-            F.when(i == 0, F.lit(1)).otherwise(F.get(F.col("dropped"), i - 1) + 2),
-            F.coalesce(F.get(F.col("dropped"), i), F.size(lines)) - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("dropped"), i - 1) + 1),
+            F.when(i == 0, F.lit(1)).otherwise(F.get(F.col("_ax_pos"), i - 1) + 2),
+            F.coalesce(F.get(F.col("_ax_pos"), i), F.size(lines)) - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_ax_pos"), i - 1) + 1),
         ),
     )
-    kept = F.when(F.col("dropped").isNull(), text_or_empty(text_col)).otherwise(F.concat_ws("\n", F.flatten(runs)))
-    return joined.withColumn("_ax_lines", F.size(lines).cast("long")).withColumn("_ax_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long")).withColumn(text_col, kept).drop("_ax_key", "_ax_id", "_ax_text", "dropped")
+    kept = F.when(F.col("_ax_pos").isNull(), text_or_empty(text_col)).otherwise(F.concat_ws("\n", F.flatten(runs)))
+    return joined.withColumn("_ax_lines", F.size(lines).cast("long")).withColumn("_ax_dropped", F.coalesce(F.size("_ax_pos"), F.lit(0)).cast("long")).withColumn(text_col, kept).drop("_ax_key", "_ax_id", "_ax_text", "_ax_pos")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
