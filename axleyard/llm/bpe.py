@@ -6,7 +6,9 @@ the word, from left to right; words without a pair left are done. A merge only u
 merges made, so merging all places of the lowest pair at once gives what one merge at a time gives.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to ''. Repeated rows
-and rows with null or repeated ids are encoded one by one. Columns besides id and text are not read.
+and rows with null or repeated ids are encoded one by one. Of equal pairs in a word the leftmost merges first. A very
+long text is encoded whole, some at a time. Columns besides id and text are not read, so their names may clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

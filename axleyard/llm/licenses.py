@@ -6,7 +6,9 @@ licence texts. The known texts are a fixed list in this module, so their side of
 whatever the corpus.
 
 Defined results: a null or empty text, and one that normalises to nothing, match no licence. Rows that
-repeat an id and a text are each returned, with the same matches. Other columns are not read.
+repeat an id and a text are each returned, with the same matches. A very long text is scanned whole: only its units
+that hold a word of ``MARKERS`` are digested. A unit that is several licences' text is reported under each. Other
+columns are not read, so their names may clash. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,11 @@ sums and verdicts cover every row. Sites are grouped with partial sums, so a hos
 rows costs one row per task.
 
 Defined results: a null text is an empty one and is judged by its features like any other; a null host or
-path is a group of its own (''). Each row in gives one row out, whatever its id. Labels that are null or
-belong to no row are not used; with labels of one kind or none, every document is kept with its prior.
+path is a group of its own (''). Each row in gives one row out, whatever its id; repeated rows all count for their
+site. A very long text is read whole, for counts only. Labels that are null or belong to no row are not used; of rows
+that repeat a labelled id one is learned from. With labels of one kind or none every document has its prior. A score
+equal to the threshold is kept. An empty table gives no rows. Columns other than those named are not read, so their
+names may clash; ``keep_quality`` passes them through.
 """
 
 from __future__ import annotations
@@ -77,7 +80,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int, id_
     some = some.orderBy(F.xxhash64("_ax_id"), "_ax_id", "y").limit(max_train_rows)
     # at most max_train_rows rows of two numbers
     picked = docs.select(F.col(id_col).alias("_ax_id"), text_or_empty(text_col).cast("binary").alias("text")).join(F.broadcast(some), "_ax_id")
-    return picked.select("y", "text").mapInArrow(_feature_batches, "y double, x array<double>").limit(2 * max_train_rows)
+    seen = picked.select("_ax_id", "y", "text").mapInArrow(_feature_batches, f"_ax_id {docs.schema[id_col].dataType.simpleString()}, y double, x array<double>")
+    # ids that repeat: the least features of each, so the rows stay bounded and any run picks the same
+    return seen.groupBy("_ax_id", "y").agg(F.min("x").alias("x")).orderBy("_ax_id", "y").select("y", "x")
 
 
 def evidence(docs: DataFrame, model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

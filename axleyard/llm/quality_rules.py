@@ -5,7 +5,8 @@ limits for the text's length: repetitive text compresses too well, noise too bad
 symbols, repeated lines and repeated 3-word windows come with them.
 
 Defined results: a null text is an empty one; an empty text has no words and fails the base rule. One row
-comes out for each row in, whatever its id; other columns are not read.
+comes out for each row in, whatever its id, repeated rows too; other columns are not read, so their names may clash.
+A very long text is measured whole. A ratio equal to a limit is inside it. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with names that the operators use themselves.
 CLASHING = {"n_tokens": "1", "kept": "true", "_ax_extra": "'x'", "label": "0", "hash": "'h'", "pos": "1", "n": "2", "score": "0.5", "key": "'k'", "ids": "3", "digest": "'d'"}
+CLASHING |= {k: "4" for k in "dropped region node sig shingles own lo hi other keeper p x y n_bytes host path items share kind pid a b u v est unit licenses words w df shard block totals keys n_chunks p_path major last item_id".split()}
 
 
 def frame(spark, rows):

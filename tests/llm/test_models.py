@@ -42,6 +42,23 @@ def test_language_model(awkward, nothing, sample):
     assert language_model.score_result(nothing).count() == 0
 
 
+def test_keys_are_packed():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        packed = language_model._packed_keys(keys)
+        assert (language_model._unpacked_keys(packed) == keys).all() and (n < 1000 or len(packed) < 7.5 * n)
+
+
+def test_rows_of_the_exchange(spark):
+    # far more shards than n-grams: rows follow the n-grams, and one repeated row spreads over blocks
+    rows = spark.createDataFrame([(1, "a b c d e f g h")] * 400, "doc_id long, text string").repartition(8)
+    got = language_model.score_texts(rows, 2, block_bytes=16).collect()
+    assert len(got) == 400 and len({round(r.score, 9) for r in got}) == 1 and got[0].train_tokens == 3600
+    blocks = rows.select((F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(200))).alias("b")).distinct().count()
+    assert blocks > 4
+
+
 def test_model_beats_base(sample):
     r = [x for x in language_model.score_result(sample).collect() if x.held_out]
     assert r and sum(x.score for x in r) > sum(x.base_score for x in r)
@@ -66,19 +83,102 @@ def test_sparse_sites_shrink(spark):
     assert abs(got["small/a"].parent - 0.5) < 0.3 and got["small/a"].n == 1  # one row moves a host little
 
 
+def test_posteriors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, f"w{i} " * int(rng.integers(1, 40)), f"h{i % 3 if i % 7 else 9}", f"p{i % 5}") for i in range(200)] + [(None, None, None, None), (7, "again " * 5, "h1", "p2")]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 200, 2)], "doc_id long, quality int")
+    got = quality_model.score_quality(frame_, labels, F.col("host"), F.concat_ws("/", F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")))).collect()
+    scored = quality_model.evidence(frame_, quality_model.fit_logistic(*sample_of(frame_, labels)), F.col("host"), F.concat_ws("/", F.coalesce("host", F.lit("")), F.coalesce("path", F.lit("")))).collect()
+    p = np.array([r.p for r in scored])
+    hosts, paths = ([getattr(r, c) for r in scored] for c in ("_ax_host", "_ax_path"))
+    mu = p.mean()
+
+    def strength(groups, mean):
+        n, s, ss = (np.array([f(p[[i for i, x in enumerate(groups) if x == g]]) for g in sorted(set(groups))]) for f in (len, np.sum, lambda x: (x * x).sum()))
+        centre = np.array([mean[g] for g in sorted(set(groups))])
+        spread, noise, m = (n * (s / n - centre) ** 2).sum() / n.sum(), (np.maximum(ss - s * s / n, 0) / n).sum() / n.sum(), centre.mean()
+        return min(max(m * (1 - m) / max(spread - noise, 1e-6) - 1, 1.0), 1e4)
+
+    of = lambda groups, g: p[[i for i, x in enumerate(groups) if x == g]]
+    k = strength(hosts, dict.fromkeys(hosts, mu))
+    parent = {g: (of(hosts, g).sum() + k * mu) / (len(of(hosts, g)) + k) for g in set(hosts)}
+    k = strength(paths, {b: parent[a] for a, b in zip(hosts, paths)})
+    logit = lambda x: np.log(x / (1 - x))
+    want = []
+    for i in range(len(p)):
+        own = of(paths, paths[i])
+        site = (own.sum() - p[i] + k * parent[hosts[i]]) / (len(own) - 1 + k)
+        site, q = min(max(site, 1e-4), 1 - 1e-4), min(max(p[i], 1e-6), 1 - 1e-6)
+        want.append((p[i], site, 1 / (1 + np.exp(-(logit(q) + logit(site) - logit(mu))))))
+    assert np.allclose(sorted(want), sorted((r.p_document, r.p_path, r.score) for r in got), atol=1e-9)
+
+
+def sample_of(docs, labels):
+    rows = quality_model.labelled_sample(docs, labels, 4000, "doc_id", "text", "quality").collect()
+    assert len(rows) == 100  # an id that repeats counts once
+    return np.array([r.x for r in rows]), np.array([r.y for r in rows])
+
+
+def test_bad_site_changes_verdicts(spark, sample):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alone = quality_model.score_quality(docs, labels, F.lit("one"), F.lit("one")).cache()
+    middling = [r.doc_id for r in alone.filter("p_document between 0.5 and 0.99").collect()]
+    junk = [r.doc_id for r in alone.filter("p_document < 0.1").collect()]
+    assert middling and len(junk) > 20
+    # one host that holds all junk, and with it some middling documents
+    host = F.when(F.col("doc_id").isin(middling + junk), "bad").otherwise("good")
+    got = quality_model.score_quality(docs, labels, host, host).filter(F.col("doc_id").isin(middling)).collect()
+    assert got and all(r.score < r.p_document for r in got) and sum(r.kept for r in got) < len(got)
+
+
+def test_network_against_brute_force():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network({w: i for i, w in enumerate([b"alpha", b"beta", b"gamma"])}, seed=5)
+    words = [b"alpha", b"beta", b"gamma", b"delta", b"other"]
+    texts = [b"", b"alpha", b" ".join(rng.choice(words, 33)), b" ".join(rng.choice(words, 100))]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.STATE
+
+    def gru(side, xs):
+        p, state, out = net.p, np.zeros(h), {}
+        for t in range(len(xs)) if side == "f" else reversed(range(len(xs))):
+            if xs[t] is not None:
+                g, r = xs[t] @ p[f"w{side}"] + p[f"c{side}"], state @ p[f"u{side}"]
+                z, reset = sig(g[:h] + r[:h]), sig(g[h : 2 * h] + r[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(g[2 * h :] + reset * r[2 * h :])
+            out[t] = state
+        return [out[t] for t in range(len(xs))]
+
+    for text, got in zip(texts, net.scores(texts)):
+        ws, top = text.split(), -np.inf
+        for a in range(0, max(1, len(ws) - 16), 16):
+            part = ws[a : a + 32]
+            xs = [net.vectors([w])[0].astype(float) for w in part] + [None] * (32 - len(part))
+            states = np.concatenate([gru("f", xs), gru("b", xs)], 1)
+            e = states @ net.p["att"]
+            keep = np.array([x is not None or not part for x in xs])
+            a_ = np.where(keep, np.exp(e - e[keep].max()), 0)
+            top = max(top, (a_ / a_.sum()) @ states @ net.p["out"] + net.p["bias"][0])
+        assert abs(sig(net.scale * top + net.shift) - got) < 1e-5
+
+
 def test_toxicity_gradients():
     net = toxicity.Network({b"a": 0, b"b": 1})
     net.p = {k: v.astype(float) for k, v in net.p.items()}
     vectors, codes, y = net.vectors([b"a", b"b", b"cc"]).astype(float), np.array([[0, 1], [2, 3], [1, 3]]), np.array([1.0, 0.0])
-    grads, _ = net.gradients(codes, vectors, y)
+    grads, of_vectors = net.gradients(codes, vectors, y)
+    net.p["vectors"], grads["vectors"] = vectors, of_vectors
 
     def loss():
         z = net.forward(codes, vectors)[0]
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    for k in ("wf", "ub", "cf", "att", "out"):
+    # word and character vectors learn through the input vectors
+    for k in ("wf", "wb", "uf", "ub", "cf", "cb", "att", "out", "bias", "vectors"):
         flat = net.p[k].reshape(-1)
-        for j in range(0, flat.size, 5):
+        for j in range(0, flat.size - (k == "vectors") * vectors.shape[1], 5):
             old = flat[j]
             flat[j] = old + 1e-3
             up = loss()
