@@ -99,32 +99,33 @@ def pooled_fit(intervals: DataFrame, rounds: int = S.POOLED_ROUNDS, tolerance: f
     """(asset rates: user_id, asset_id, idle_class, travel_rate; class rates: user_id, idle_class, class_rate).
 
     Each round refits every asset's travel rate with the class rates held, then every class with the travel
-    rates held. An account whose classes all moved less than ``tolerance`` stays as it is from then on. Classes
+    rates held; only the class rates, a few numbers an account, are written between rounds. An account whose classes all moved less than ``tolerance`` stays as it is from then on. Classes
     are summed over assets, not over intervals, so a class with most of the rows is no hot group.
     """
     iv = cut(intervals.select("user_id", "asset_id", "idle_class", "distance_km", "litres", "idle_hours"))
     priors = F.array(*(F.struct(F.lit(k).alias("idle_class"), F.lit(prior).alias("class_rate"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, (prior, low, high) in S.IDLE_CLASSES.items()))
-    rates = iv.select("user_id").distinct().select("user_id", F.inline(priors)).withColumn("done", F.lit(False))
-    stats = cut(iv.groupBy("user_id", "asset_id", "idle_class").agg(F.sum(F.col("distance_km") * F.col("distance_km")).alias("sxx"), F.sum(F.col("idle_hours") * F.col("litres")).alias("siy"), F.sum(F.col("idle_hours") * F.col("distance_km")).alias("six"), F.sum(F.col("idle_hours") * F.col("idle_hours")).alias("sii")))
-    travel = None
+    rates = iv.select("user_id").distinct().select("user_id", F.inline(priors)).withColumn("used", F.col("class_rate")).withColumn("done", F.lit(False))
+    x, idle = F.col("distance_km"), F.col("idle_hours")
+
+    def travel_by(rate: str) -> DataFrame:
+        """Every asset's travel rate with the class rates in ``rate`` held, beside the sums that the class rates need."""
+        known = iv.join(rates.select("user_id", "idle_class", rate), ["user_id", "idle_class"])
+        corrected = F.greatest(F.col("litres") - F.col(rate) * idle, F.lit(0.0))
+        g = known.groupBy("user_id", "asset_id", "idle_class").agg(F.sum(x * corrected).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(idle * F.col("litres")).alias("siy"), F.sum(idle * x).alias("six"), F.sum(idle * idle).alias("sii"))
+        return g.withColumn("travel_rate", F.greatest(slope(F.col("sxy"), F.col("sxx")), F.lit(0.0)))
+
     for _ in range(rounds):
-        known = iv.join(rates.select("user_id", "idle_class", "class_rate"), ["user_id", "idle_class"])
-        corrected = F.greatest(F.col("litres") - F.col("class_rate") * F.col("idle_hours"), F.lit(0.0))
-        sxy = known.groupBy("asset_id").agg(F.sum(F.col("distance_km") * corrected).alias("sxy"))
-        fitted = stats.join(sxy, "asset_id").withColumn("new_rate", F.greatest(slope(F.col("sxy"), F.col("sxx")), F.lit(0.0)))
-        if travel is not None:  # assets of accounts that are done keep their rate
-            open_ = rates.filter(~F.col("done")).select("user_id").distinct().withColumn("_open", F.lit(True))
-            fitted = fitted.join(open_, "user_id", "left").join(travel.select("asset_id", "travel_rate"), "asset_id").withColumn("new_rate", F.when(F.col("_open"), F.col("new_rate")).otherwise(F.col("travel_rate"))).drop("_open", "travel_rate")
-        travel = cut(fitted.withColumnRenamed("new_rate", "travel_rate").drop("sxy"))
-        per_class = travel.groupBy("user_id", "idle_class").agg(F.sum(F.col("siy") - F.col("travel_rate") * F.col("six")).alias("num"), F.sum("sii").alias("den"))
+        # classes that are done keep the rate they have, so what their assets give them is not looked at
+        per_class = travel_by("class_rate").groupBy("user_id", "idle_class").agg(F.sum(F.col("siy") - F.col("travel_rate") * F.col("six")).alias("num"), F.sum("sii").alias("den"))
         j = rates.join(per_class, ["user_id", "idle_class"], "left")
         raw = F.when(F.col("den").isNull(), F.col("class_rate")).otherwise(F.least(F.greatest(slope(F.col("num"), F.col("den")), F.col("low")), F.col("high")))
-        j = j.withColumn("_new", F.when(F.col("done"), F.col("class_rate")).otherwise(raw))
+        j = j.withColumn("_new", F.when(F.col("done"), F.col("class_rate")).otherwise(raw)).withColumn("_used", F.when(F.col("done"), F.col("used")).otherwise(F.col("class_rate")))
         moved = F.max(F.abs(F.col("_new") - F.col("class_rate"))).over(Window.partitionBy("user_id"))
-        rates = cut(j.withColumn("done", F.col("done") | (moved < tolerance)).select("user_id", "idle_class", F.col("_new").alias("class_rate"), "low", "high", "done"))
+        rates = cut(j.withColumn("done", F.col("done") | (moved < tolerance)).select("user_id", "idle_class", F.col("_new").alias("class_rate"), "low", "high", F.col("_used").alias("used"), "done"))
         if not rates.filter(~F.col("done")).limit(1).count():
             break
-    return travel.select("user_id", "asset_id", "idle_class", "travel_rate"), rates.select("user_id", "idle_class", "class_rate")
+    # an asset's rate is the one of its account's last round: with the class rates as they were before it
+    return cut(travel_by("used").select("user_id", "asset_id", "idle_class", "travel_rate")), rates.select("user_id", "idle_class", "class_rate")
 
 
 def compare_models(intervals: DataFrame, merged: DataFrame, assets: DataFrame, fit: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -134,12 +135,13 @@ def compare_models(intervals: DataFrame, merged: DataFrame, assets: DataFrame, f
     old = calibrate_assets(merged, assets).select("asset_id", F.col("travel_rate_lpk").alias("old_travel_rate"), F.col("idle_rate_lph").alias("old_idle_rate"))
     iv = iv.join(old, "asset_id").withColumn("_old", F.col("old_travel_rate") * F.col("distance_km")).withColumn("_new", F.col("travel_rate") * F.col("distance_km") + F.col("class_rate") * F.col("idle_hours"))
     keys = ["user_id", "asset_id"]
-    head = iv.groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("idle_class", "old_travel_rate", "old_idle_rate", "travel_rate", "class_rate")))
-    parts = [
-        centered_r2(iv, keys, "_old").withColumnRenamed("r2_centered", "old_r2"), centered_r2(iv, keys, "_new").withColumnRenamed("r2_centered", "new_r2"),
-        loo_median(iv, keys).withColumnRenamed("loo_error_pct", "old_loo_pct"), loo_median(iv, keys, "class_rate").withColumnRenamed("loo_error_pct", "new_loo_pct"),
-    ]
-    for p in parts:
-        head = head.join(p, keys, "left")
+    # both errors are windows over one partitioning, and one grouping of the same takes all figures
+    iv = loo_error(loo_error(iv, keys).withColumnRenamed("error_pct", "_old_error"), keys, "class_rate").withColumnRenamed("error_pct", "_new_error")
+    spread = F.var_pop("litres") * F.count("litres")
+    r2 = lambda c: F.when(spread > 0, 1 - F.sum(F.pow(F.col("litres") - F.col(c), 2)) / spread)
+    head = iv.groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in ("idle_class", "old_travel_rate", "old_idle_rate", "travel_rate", "class_rate")), r2("_old").alias("old_r2"), r2("_new").alias("new_r2"),
+        F.percentile("_old_error", F.lit(0.5)).alias("old_loo_pct"), F.percentile("_new_error", F.lit(0.5)).alias("new_loo_pct"),
+    )
     fleet = head.groupBy("user_id").agg(F.percentile("old_loo_pct", F.lit(0.5)).alias("account_old_loo_pct"), F.percentile("new_loo_pct", F.lit(0.5)).alias("account_new_loo_pct"))
     return head.join(fleet, "user_id", "left")

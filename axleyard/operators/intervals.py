@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..tables import cut
 
 NPD, MERGED = "non_positive_distance", "non_positive_distance_litres_merged_forward"
 
@@ -112,8 +113,10 @@ def audit_rows(merged: DataFrame) -> DataFrame:
         "asset_id", F.col("start_date").alias("interval_start_date"), F.col("end_date").alias("interval_end_date"), "distance_km", "litres", "idle_hours", "included", "exclusion_reason")
 
 
-def upsert_audit(target: DataFrame, merged: DataFrame) -> DataFrame:
-    """The audit table after an upsert of every evaluated interval."""
+def upsert_audit(target: DataFrame, merged: DataFrame, small_rows: int = 200_000) -> DataFrame:
+    """The audit table after an upsert of every evaluated interval; the table is shuffled only if those are many."""
     key = ["asset_id", "interval_start_date", "interval_end_date"]
-    fresh = audit_rows(merged)
-    return target.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
+    fresh = cut(audit_rows(merged))
+    own = fresh.select(*key)
+    small = own.limit(small_rows + 1).count() <= small_rows
+    return target.join(F.broadcast(own) if small else own, key, "left_anti").unionByName(fresh)

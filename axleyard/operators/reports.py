@@ -12,7 +12,8 @@ from .emissions import emissions_daily
 from .intervals import asof_odometers
 from .telematics import avg_cost_per_litre, latest_engine_hours
 
-MOST_BANDS = 1_000
+#: All weights from here on share one whole tonne.
+TOP_TONNES = 1_000.0
 
 
 def _per(top: Column, bottom: Column) -> Column:
@@ -43,11 +44,11 @@ def fill_to_fill_fuel(merged: DataFrame, purchases: DataFrame, period: str = "mo
 
 
 def ruc_rate(assets: DataFrame, rates: DataFrame) -> DataFrame:
-    """Road charge per km by weight band. The rate table is a short published list, whose bands do not overlap; a long one is refused."""
-    if rates.limit(MOST_BANDS + 1).count() > MOST_BANDS:
-        raise ValueError(f"more than {MOST_BANDS} weight bands")
-    bands = F.broadcast(rates)
-    return assets.join(bands, (assets["gvm_tonnes"] >= bands["gvm_lo"]) & (assets["gvm_tonnes"] < bands["gvm_hi"]), "left").select(*(assets[c] for c in assets.columns), F.col("rate_per_km").alias("ruc_per_km"))
+    """Road charge per km by weight band; bands do not overlap. Bands and assets meet by whole tonnes, so the list may be of any length."""
+    tonne = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(TOP_TONNES))).cast("int")
+    bands = rates.filter("gvm_lo < gvm_hi").select("gvm_lo", "gvm_hi", "rate_per_km", F.explode(F.sequence(tonne(F.col("gvm_lo")), tonne(F.col("gvm_hi")))).alias("_tonne"))
+    here = (F.col("_tonne") == tonne(assets["gvm_tonnes"])) & (assets["gvm_tonnes"] >= F.col("gvm_lo")) & (assets["gvm_tonnes"] < F.col("gvm_hi"))
+    return assets.join(bands, here, "left").select(*(assets[c] for c in assets.columns), F.col("rate_per_km").alias("ruc_per_km"))
 
 
 def cost_per_km_report(assets: DataFrame, fuel: DataFrame, rates: DataFrame) -> DataFrame:

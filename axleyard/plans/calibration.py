@@ -8,6 +8,7 @@ from .. import schemas as S
 from ..functions import scalars as X
 from ..operators import calibrate as K
 from ..operators import intervals as I
+from ..tables import cut
 from .base import query
 from .fixtures import Fleet
 
@@ -177,8 +178,8 @@ _BOTH = f"""{_CAL}, {_POOL.split(_MERGED + ', ')[1]}, iv2 AS (SELECT e.*, t.trav
 
 @query("compare_models", f"WITH {_BOTH} SELECT hd.*, lo.loo AS old_loo_pct, ln.loo AS new_loo_pct, median(lo.loo) OVER (PARTITION BY hd.user_id) AS account_old_loo_pct, median(ln.loo) OVER (PARTITION BY hd.user_id) AS account_new_loo_pct FROM hd JOIN lo USING (asset_id) JOIN ln USING (asset_id)", "old_travel_rate old_idle_rate travel_rate class_rate old_r2 new_r2 old_loo_pct new_loo_pct account_old_loo_pct account_new_loo_pct")
 def _(f: Fleet):
-    m = merged(f)
-    el = K.eligible_intervals(m, f.assets)
+    m = cut(merged(f))  # read by the fit, by both models and by both errors
+    el = cut(K.eligible_intervals(m, f.assets))
     return K.compare_models(el, m, f.assets, K.pooled_fit(el))
 
 

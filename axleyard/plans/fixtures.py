@@ -47,10 +47,10 @@ VIEWS: dict[str, str] = {
     "members": "SELECT DISTINCT user_id % 50 AS account_owner_user_id, user_id AS member_auth_user_id, 'viewer' AS role FROM {events} WHERE user_id >= 50 AND user_id % 3 <> 0",
     "ignored": "SELECT user_id, asset_name FROM assets WHERE asset_id % 25 = 0",
     "jobs": "SELECT DISTINCT asset_id % 12 AS job_id, asset_id, record_date AS work_date, 10e0 + asset_id % 5 AS tonnes FROM telematics WHERE day(record_date) % 3 = 1",
-    "trips": "SELECT row_number() OVER (ORDER BY asset_id, record_date) AS trip_id, asset_id, record_date AS start_date, record_date + 2 AS end_date, 1e0 + asset_id % 9 AS payload_tonnes FROM telematics WHERE (day(record_date) + asset_id) % 9 = 0",
+    "trips": "SELECT cast(asset_id AS bigint) * 1000000 + (year(record_date) - 2000) * 10000 + month(record_date) * 100 + day(record_date) AS trip_id, asset_id, record_date AS start_date, record_date + 2 AS end_date, 1e0 + asset_id % 9 AS payload_tonnes FROM telematics WHERE (day(record_date) + asset_id) % 9 = 0",
     "ruc_rates": "SELECT 0e0 AS gvm_lo, 6e0 AS gvm_hi, 0.076e0 AS rate_per_km UNION ALL SELECT 6e0, 18e0, 0.12e0 UNION ALL SELECT 18e0, 35e0, 0.25e0",
     "card_rows": """
-        SELECT l_suppkey AS import_id, l_suppkey % 7 AS user_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS n,
+        SELECT {file_id} AS import_id, l_suppkey % 7 AS user_id, row_number() OVER (PARTITION BY {file_id} ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS n,
           CASE l_partkey % 23 WHEN 0 THEN '' WHEN 1 THEN 'null' ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 'BP' ELSE 'ZZ' END, cast(l_partkey % 150 AS string)) END AS card,
           cast(l_shipdate AS date) AS purchase_date, l_quantity AS litres, CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE l_extendedprice / 1000e0 END AS cost,
           CASE l_linenumber WHEN 1 THEN 'NZ Diesel' WHEN 2 THEN 'NZ Ultimate' WHEN 3 THEN 'NZ Unleaded' WHEN 4 THEN 'NZ AdBlue' WHEN 5 THEN 'NZ Premium Unleaded' WHEN 6 THEN 'NZ Carwash' ELSE 'NZ Ultimate Diesel' END AS product,
@@ -79,6 +79,9 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS import_id, concat(CASE o_orderkey % 3 WHEN 0 THEN 'Upload <' WHEN 1 THEN '' ELSE ' ' END, CASE o_custkey % 9 WHEN 8 THEN 'NOBODY' WHEN 7 THEN 'other' ELSE concat('Fleet', cast(o_custkey % 7 AS string)) END, '@uploads.example.com', CASE o_orderkey % 3 WHEN 0 THEN '>' ELSE '' END) AS to_email, cast(o_orderdate AS date) AS received
         FROM {orders}""",
 }
+#: A supplier's file: one for each range of order keys.
+FILE_ID = "(cast(l_suppkey AS bigint) * 1000000000 + cast(floor(l_orderkey / 100000e0) AS bigint))"
+VIEWS["card_rows"] = VIEWS["card_rows"].replace("{file_id}", FILE_ID)
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -121,18 +124,50 @@ class Fleet:
             base = f"file://{tempfile.mkdtemp(prefix='axleyard-')}"
         return f"{base.rstrip('/')}/axleyard-{uuid.uuid4().hex}"
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """``rows`` by file, over as many tasks as there are cores at least: parsing a file costs far more than its bytes tell."""
+        n = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartition(n, "import_id")
+
     def card_files(self) -> DataFrame:
-        """Card rows as files (import_id, user_id, raw_csv): preamble, byte order mark, quotes, CRLF, blank lines, a repeated header. About 600 lines each."""
+        """Card rows as files (import_id, user_id, raw_csv): preamble, byte order mark, quotes, CRLF, blank lines, a repeated header. A file holds orders of a bounded range of keys, so a large supplier has many files."""
         q = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
         s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
         line = F.concat_ws(",", F.date_format("purchase_date", "d/M/yyyy"), F.concat(F.lit(" "), s("card")), s("litres"), s("cost"), q("product"), q("description"), s("registration"), s("driver"), s("odometer"), s("tax"), F.lit("extra"))
         head = "﻿Transaction Effective Date,Card Number,Litres,Customer Value ($),Product,\"Vehicle Description\",Vehicle Registration Number,Driver Name,Transaction Odometer Reading,Tax"
-        g = self.card_rows.groupBy("import_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("ls"))
+        g = self._spread(self.card_rows).groupBy("import_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("ls"))
         body = F.concat_ws("\r\n", F.transform("ls", lambda x: x["line"]))
         return g.select("import_id", "user_id", F.concat(F.lit("Card report\r\n\r\n"), F.lit(head), F.lit("\r\n,,,,\r\n   \r\n"), body, F.lit("\r\n")).alias("raw_csv"))
 
+    def _files(self, rows: DataFrame, key: list[str], order: str, header: str, *cells) -> DataFrame:
+        """``rows`` as files: one for each ``key``, a header and a line for each row by ``order``. Keys are fine enough that files stay small."""
+        q = lambda c: F.when(F.contains(c, F.lit(",")) | F.contains(c, F.lit('"')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+        line = F.concat_ws(",", *(q(F.coalesce(c.cast("string"), F.lit(""))) for c in cells))
+        g = self._spread(rows).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("ls"))
+        return g.select(*key, F.concat(F.lit(header + "\n"), F.concat_ws("\n", F.transform("ls", lambda x: x["line"]))).alias("raw_csv"))
+
+    def idle_files(self) -> DataFrame:
+        """Idle events as files of an asset's month."""
+        rows = self.idle_rows.withColumn("import_id", F.col("asset_id") * 100_000 + F.year("record_date") % 1000 * 100 + F.month("record_date"))
+        at = lambda t: F.concat(F.date_format("record_date", "d/MM/yyyy"), F.lit(t))
+        return self._files(rows, ["import_id", "user_id"], "pos", "Vehicle,IdleStart,IdleEnd,Duration,Unit", F.concat(F.lit("V"), F.col("asset_id")), at(" 09:30"), at(" 10:00"), F.col("duration"), F.col("unit"))
+
+    def exec_files(self) -> DataFrame:
+        """Executive summaries as files of a day, an account and a range of assets; the name tells the day."""
+        rows = self.exec_rows.withColumn("import_id", (F.floor(F.col("source_id") / 10_000) * 10 + F.col("user_id")) * 100_000 + F.datediff("record_date", F.lit("2000-01-01")))
+        f = self._files(rows, ["import_id", "user_id", "record_date"], "source_id", "VehicleName,TotalHours,IdleTime,AverageDailyIgnitionTime", F.col("vehicle_name"), F.col("total_minutes"), F.col("idle_minutes"), F.col("distance"))
+        return f.withColumn("filename", F.concat(F.lit("summary_"), F.date_format("record_date", "yyyy_MM_dd"), F.lit(".csv"))).drop("record_date")
+
+    def mobil_files(self, rows: DataFrame) -> DataFrame:
+        return self._files(rows, ["import_id", "user_id"], "pos", "Transaction Date,Card No.,Description,Quantity,Total,GST,Product Description,Odometer", F.date_format("purchase_date", "dd/MM/yyyy"), F.col("card"), F.col("description"), F.col("litres"), F.col("total"), F.col("gst"), F.col("product"), F.col("odometer"))
+
+    def bp_files(self) -> DataFrame:
+        """Card rows as plain exports: no vehicle column, costs with a currency sign."""
+        cost = F.concat(F.lit("$"), F.col("cost").cast("string"))
+        return self._files(self.card_rows, ["import_id", "user_id"], "n", "Transaction Effective Date,Card Number,Litres,Customer Value ($),Product,Driver Name", F.date_format("purchase_date", "d/M/yyyy"), F.col("card"), F.col("litres"), cost, F.col("product"), F.col("driver"))
+
     def mileage_files(self) -> DataFrame:
         """Mileage rows as files (import_id, user_id, raw_csv)."""
         line = F.concat_ws(",", F.concat(F.lit("V"), F.col("asset_id").cast("string")), F.date_format("record_date", "dd/MM/yyyy"), F.coalesce(F.col("distance").cast("string"), F.lit("")))
-        g = self.mileage_rows.withColumn("import_id", F.col("asset_id")).groupBy("import_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("ls"))
+        g = self._spread(self.mileage_rows.withColumn("import_id", F.col("asset_id"))).groupBy("import_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("ls"))
         return g.select("import_id", "user_id", F.concat(F.lit("Vehicle,ActivityDate,ActualDistance\n"), F.concat_ws("\n", F.transform("ls", lambda x: x["line"]))).alias("raw_csv"))

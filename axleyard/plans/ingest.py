@@ -12,7 +12,9 @@ from ..functions import scalars as X
 from ..operators import resolve
 from ..operators import telematics as T
 from ..operators import upsert as U
+from ..operators.ingest import ingest_files
 from ..sources import files as Z
+from ..sources import records as R
 from ..streaming import jobs
 from .base import query
 from .daily import EMISSIONS, MILEAGE, emissions_daily
@@ -105,12 +107,36 @@ def _(f: Fleet):
 
 def _card_records(f: Fleet):
     """Card files parsed back to typed rows."""
-    r = Z.rows_to_record(Z.detect_format(f.card_files()))
-    num = lambda c: X.parse_numeric(Z.field(c))
-    return r.select(
-        "import_id", "user_id", "format", F.col("pos").alias("line_pos"), (F.col("pos") - 4).alias("pos"), X.card(Z.field("Card Number")).alias("card"), X.parse_dmy(Z.field("Transaction Effective Date")).alias("purchase_date"), num("Litres").alias("litres"), num("Customer Value ($)").alias("cost"), num("Tax").alias("gst"),
-        Z.field("Product").alias("product"), Z.field("Vehicle Description").alias("description"), Z.field("Driver Name").alias("driver"), Z.field("Vehicle Registration Number").alias("registration"), num("Transaction Odometer Reading").alias("odometer"), "rec",
-    )
+    r = R.typed(_recorded(f.card_files()), "bp_transaction")
+    return r.withColumn("line_pos", F.col("pos")).withColumn("pos", F.col("pos") - 4)
+
+
+def _recorded(files):
+    """Every row of files that lack a name and a time."""
+    have = {"filename": F.lit("report.csv"), "received_at": F.lit("2024-06-30 12:00:00").cast("timestamp")}
+    return R.recorded(files.withColumns({k: v for k, v in have.items() if k not in files.columns}))
+
+
+@query("read_idle_events", "SELECT concat('V', cast(asset_id AS string)) AS vehicle_name, record_date, duration, trim(unit) AS unit, count(*) AS n FROM idle_rows GROUP BY ALL", "duration")
+def _(f: Fleet):
+    return R.typed(_recorded(f.idle_files()), "idle").groupBy("vehicle_name", "record_date", "duration", "unit").agg(F.count("*").alias("n"))
+
+
+@query("read_exec_summary", "SELECT source_id, vehicle_name, record_date, total_minutes, idle_minutes, distance FROM exec_rows WHERE vehicle_name <> ''", "total_minutes idle_minutes distance")
+def _(f: Fleet):
+    r = R.typed(_recorded(f.exec_files()), "exec_summary").filter("vehicle_name <> ''")
+    return r.select(F.regexp_extract("vehicle_name", r"\d+", 0).cast("long").alias("source_id"), "vehicle_name", "record_date", "total_minutes", "idle_minutes", "distance")
+
+
+@query("read_mileage", "SELECT asset_id, record_date, distance, count(*) AS n FROM mileage_rows GROUP BY ALL", "distance")
+def _(f: Fleet):
+    r = R.typed(_recorded(f.mileage_files()), "mileage")
+    return r.groupBy(F.substring("vehicle_name", 2, 20).cast("long").alias("asset_id"), "record_date", "distance").agg(F.count("*").alias("n"))
+
+
+@query("read_bp", "SELECT import_id, n AS pos, card, purchase_date, litres, cost, product, driver FROM card_rows", "litres cost")
+def _(f: Fleet):
+    return R.typed(_recorded(f.bp_files()), "bp").select("import_id", "pos", "card", "purchase_date", "litres", "cost", "product", "driver")
 
 
 @query("rows_to_record", "SELECT import_id, n AS pos, card, purchase_date, litres, cost, product, trim(description) AS description, driver, registration, odometer FROM card_rows", "litres cost odometer")
@@ -204,6 +230,59 @@ def _(f: Fleet):
     return resolve.clean_mobil(resolve.join_by_card(_mobil(f), f.assets, "mobil_card_number")).select("import_id", "pos", "cost_nzd", "reject_reason")
 
 
+@query("read_mobil", f"SELECT import_id, n AS pos, regexp_replace(card, '^BP', 'MB') AS card, purchase_date, litres, cost AS total, CASE WHEN n % 3 <> 0 THEN tax END AS gst, {_MOBIL} AS product, trim(description) AS description, odometer FROM card_rows", "litres total gst odometer")
+def _(f: Fleet):
+    return R.typed(_recorded(f.mobil_files(_mobil(f))), "mobil").select("import_id", "pos", "card", "purchase_date", "litres", "total", "gst", "product", "description", "odometer")
+
+
+_FOLDER = f"""va AS MATERIALIZED (SELECT * FROM assets WHERE asset_id % 13 <> 0), cr AS MATERIALIZED (SELECT * FROM card_rows),
+  st AS MATERIALIZED (SELECT card, arg_min(user_id, (import_id, n)) AS user_id FROM cr WHERE card NOT IN ('', 'null') AND card NOT IN (SELECT bp_card_number FROM va) GROUP BY card),
+  ka AS MATERIALIZED (SELECT user_id, bp_card_number AS card, cast(max(asset_id) AS varchar) AS k FROM va GROUP BY ALL UNION ALL SELECT user_id, card, concat('new ', card) FROM st),
+  km AS MATERIALIZED (SELECT user_id, mobil_card_number AS card, cast(max(asset_id) AS varchar) AS k FROM va WHERE mobil_card_number IS NOT NULL GROUP BY ALL),
+  mr AS MATERIALIZED (SELECT *, regexp_replace(card, '^BP', 'MB') AS mc, {_MOBIL} AS p, cost - CASE WHEN n % 3 <> 0 THEN tax ELSE 0 END AS c2 FROM cr),
+  j AS (SELECT 1 AS f, c.import_id, n, purchase_date, litres, ka.k, CASE WHEN c.card = '' OR litres <= 0 THEN 'bad_key' WHEN cost IS NULL THEN 'no_cost' WHEN NOT {_FUEL} THEN 'not_fuel' WHEN cost / litres < 0.5e0 OR cost / litres > 6 THEN 'price_out_of_band' WHEN k IS NULL THEN 'no_asset' END AS r FROM cr c LEFT JOIN ka ON ka.user_id = c.user_id AND ka.card = c.card
+    UNION ALL SELECT 2, m.import_id, n, purchase_date, litres, coalesce(km.k, CASE WHEN m.card NOT IN ('', 'null') THEN concat('new ', cast(m.user_id AS varchar), mc) END) AS k2, CASE WHEN m.card = '' OR litres <= 0 THEN 'bad_key' WHEN c2 IS NULL THEN 'no_cost' WHEN p IN ('Shop', 'Car Wash') THEN 'not_fuel' WHEN c2 / litres < 0.5e0 OR c2 / litres > 6 THEN 'price_out_of_band' WHEN k2 IS NULL THEN 'no_asset' END FROM mr m LEFT JOIN km ON km.user_id = m.user_id AND km.card = m.mc),
+  rows_ AS (SELECT f, import_id, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY f, k, purchase_date, litres, r IS NULL ORDER BY import_id, n) > 1 THEN 'duplicate' ELSE r END AS r FROM j
+    UNION ALL SELECT 3, asset_id, CASE WHEN distance IS NULL OR distance <= 0 THEN 'bad_row' WHEN asset_id % 13 = 0 THEN 'no_asset' END FROM mileage_rows
+    UNION ALL SELECT 4, asset_id * 100000 + year(record_date) % 1000 * 100 + month(record_date), CASE WHEN duration IS NULL OR duration <= 0 OR lower(trim(unit)) NOT IN ('', 'min') THEN 'bad_row' WHEN asset_id % 13 = 0 THEN 'no_asset' END FROM idle_rows
+    UNION ALL SELECT 5, (source_id // 10000 * 10 + user_id) * 100000 + date_diff('day', date '2000-01-01', record_date), CASE WHEN vehicle_name = '' OR total_minutes = 0 THEN 'bad_row' END FROM exec_rows),
+  per AS (SELECT f, import_id, count(*) FILTER (r IS NULL) AS ok, count(*) FILTER (r <> 'duplicate') AS bad FROM rows_ GROUP BY ALL)
+  SELECT import_id * 10 + f AS import_id, CASE f WHEN 1 THEN 'bp_transaction' WHEN 2 THEN 'mobil' WHEN 3 THEN 'mileage' WHEN 4 THEN 'idle' ELSE 'exec_summary' END AS format, CASE WHEN ok = 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN ok = 0 THEN 'No valid records to import' END AS error_message, ok AS records_upserted, bad AS rows_skipped FROM per
+  UNION ALL SELECT n_nationkey * 10 + 6, 'unknown', 'unrecognized', NULL, NULL, NULL FROM nation"""
+
+
+def _folder(f: Fleet):
+    """One folder of files of all formats, and what it is taken in over."""
+    parts = [f.card_files(), f.mobil_files(_mobil(f)), f.mileage_files(), f.idle_files(), f.exec_files()]
+    parts.append(f.table("nation").select(F.col("n_nationkey").alias("import_id"), F.lit(0).cast("long").alias("user_id"), F.concat_ws(",", "n_name", F.lit("x")).alias("raw_csv")))
+    files = None
+    for k, p in enumerate(parts, 1):
+        name = F.col("filename") if "filename" in p.columns else F.lit("report.csv")
+        p = p.select((F.col("import_id").cast("long") * 10 + k).alias("import_id"), F.col("user_id").cast("long").alias("user_id"), name.alias("filename"), F.lit("2024-06-30 12:00:00").cast("timestamp").alias("received_at"), "raw_csv")
+        files = p if files is None else files.unionByName(p)
+    assets = f.assets.filter("asset_id % 13 <> 0").select("asset_id", "user_id", F.expr(_FEED).alias("asset_name"), "asset_type", "fuel_type", "bp_card_number", "mobil_card_number", "current_odometer")
+    return files, assets, f.ignored.limit(0), f.sql(_TARGET), f.fuel_purchases.limit(0)
+
+
+@query("ingest_mixed_folder", f"WITH {_FOLDER}")
+def _(f: Fleet):
+    """Status of every file of a folder of all formats, taken in at once; unseen cards become assets first."""
+    return ingest_files(*_folder(f)).status
+
+
+_KEPT_EXEC = "SELECT source_id AS asset_id, record_date, total_minutes, coalesce(idle_minutes, 0) AS idle FROM exec_rows WHERE vehicle_name <> '' AND total_minutes <> 0"
+
+
+@query("ingest_mixed_telematics", f"""WITH ex AS MATERIALIZED ({_KEPT_EXEC}), idl AS MATERIALIZED (SELECT asset_id, record_date, sum(duration) / 60 AS h FROM idle_rows WHERE duration IS NOT NULL AND lower(trim(unit)) IN ('', 'min') AND asset_id % 13 <> 0 GROUP BY ALL HAVING sum(duration) > 0 AND sum(duration) / 60 <= 24),
+  mil AS MATERIALIZED (SELECT DISTINCT asset_id, record_date FROM mileage_rows WHERE distance > 0 AND asset_id % 13 <> 0)
+  SELECT asset_id, record_date, CASE WHEN ex.asset_id IS NOT NULL THEN (total_minutes - idle) / 60 ELSE t.operating_hours END AS operating_hours, CASE WHEN idl.asset_id IS NOT NULL THEN idl.h WHEN ex.asset_id IS NOT NULL THEN idle / 60 ELSE t.idle_hours END AS idle_hours,
+    CASE WHEN mil.asset_id IS NOT NULL OR ex.asset_id IS NOT NULL THEN NULL ELSE t.litres_consumed END AS litres_consumed
+  FROM telematics t FULL JOIN ex USING (asset_id, record_date) FULL JOIN idl USING (asset_id, record_date) FULL JOIN mil USING (asset_id, record_date)""", "operating_hours idle_hours litres_consumed")
+def _(f: Fleet):
+    """The telematics table after the same folder: each format writes its own columns."""
+    return ingest_files(*_folder(f)).telematics.select("asset_id", "record_date", "operating_hours", "idle_hours", "litres_consumed")
+
+
 _NAME = "trim(CASE WHEN description <> '' THEN description WHEN registration <> '' THEN registration WHEN driver <> '' THEN driver ELSE card END)"
 _HINT = f"trim(CASE WHEN description <> '' THEN description WHEN registration <> '' THEN registration WHEN driver <> '' THEN driver ELSE {_NAME} END)"
 _BEST = f"""best AS (SELECT import_id, user_id, card, {_NAME} AS asset_name, {_HINT} AS type_hint, CASE WHEN description <> '' THEN 4 WHEN registration <> '' THEN 3 WHEN driver <> '' THEN 2 ELSE 1 END AS name_rank FROM cr WHERE card <> ''
@@ -221,10 +300,11 @@ def _(f: Fleet):
     return resolve.best_card_detail(_cr(f))
 
 
-_THREE = f"""cr AS ({_CR}), {_BEST}, bn AS (SELECT user_id, lower(trim(asset_name)) AS nm, max(asset_id) AS id FROM assets GROUP BY ALL), ig AS (SELECT DISTINCT user_id, lower(trim(asset_name)) AS nm FROM ignored),
-  bc AS (SELECT user_id, bp_card_number AS card, max(asset_id) AS id FROM assets GROUP BY ALL),
-  three AS (SELECT c.*, CASE WHEN c.card <> '' THEN coalesce(bc.id, CASE WHEN ig.nm IS NULL THEN b1.id END, b2.id) END AS asset_id FROM cr c LEFT JOIN bc ON bc.user_id = c.user_id AND bc.card = c.card LEFT JOIN best ON best.import_id = c.import_id AND best.user_id = c.user_id AND best.card = c.card
-    LEFT JOIN ig ON ig.user_id = c.user_id AND ig.nm = lower(best.asset_name) LEFT JOIN bn b1 ON b1.user_id = c.user_id AND b1.nm = lower(best.asset_name) LEFT JOIN bn b2 ON b2.user_id = c.user_id AND b2.nm = lower({_NAME.replace("description", "c.description").replace("registration", "c.registration").replace("driver", "c.driver").replace("card", "c.card")}))"""
+_THREE = f"""cr AS MATERIALIZED (SELECT *, lower({_NAME}) AS own_nm FROM ({_CR}) c), {_BEST.replace("best AS (", "best AS MATERIALIZED (")}, bn AS MATERIALIZED (SELECT user_id, lower(trim(asset_name)) AS nm, max(asset_id) AS id FROM assets GROUP BY ALL), ig AS MATERIALIZED (SELECT DISTINCT user_id, lower(trim(asset_name)) AS nm FROM ignored),
+  bc AS MATERIALIZED (SELECT user_id, bp_card_number AS card, max(asset_id) AS id FROM assets GROUP BY ALL),
+  best_id AS MATERIALIZED (SELECT b.import_id, b.user_id, b.card, bn.id FROM (SELECT *, lower(asset_name) AS nm FROM best) b JOIN bn ON bn.user_id = b.user_id AND bn.nm = b.nm LEFT JOIN ig ON ig.user_id = b.user_id AND ig.nm = b.nm WHERE ig.nm IS NULL),
+  three AS (SELECT c.*, CASE WHEN c.card <> '' THEN coalesce(bc.id, b1.id, b2.id) END AS asset_id FROM cr c LEFT JOIN bc ON bc.user_id = c.user_id AND bc.card = c.card
+    LEFT JOIN best_id b1 ON b1.import_id = c.import_id AND b1.user_id = c.user_id AND b1.card = c.card LEFT JOIN bn b2 ON b2.user_id = c.user_id AND b2.nm = c.own_nm)"""
 
 
 @query("join_assets_card_then_name", f"WITH {_THREE} SELECT import_id, n AS pos, asset_id FROM three")
@@ -259,18 +339,18 @@ def _(f: Fleet):
 
 
 @query("new_stub_assets_mobil", f"""WITH m AS (SELECT *, regexp_replace(card, '^BP', 'MB') AS mc, {_MOBIL} AS p FROM card_rows WHERE card NOT IN ('', 'null')), o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.user_id = m.user_id AND a.mobil_card_number = m.mc))
-  SELECT user_id, mc AS card, CASE WHEN arg_min(description, import_id * 100000 + n) LIKE 'T%' THEN arg_min(description, import_id * 100000 + n) ELSE concat('Card ••••', right(mc, 4)) END AS asset_name,
-    CASE WHEN arg_min(p, import_id * 100000 + n) FILTER (p NOT IN ('Shop', 'Car Wash')) = 'Unleaded 91' THEN 'Petrol' ELSE 'Diesel' END AS fuel_type FROM o GROUP BY user_id, mc""")
+  SELECT user_id, mc AS card, CASE WHEN arg_min(description, (import_id, n)) LIKE 'T%' THEN arg_min(description, (import_id, n)) ELSE concat('Card ••••', right(mc, 4)) END AS asset_name,
+    CASE WHEN arg_min(p, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) = 'Unleaded 91' THEN 'Petrol' ELSE 'Diesel' END AS fuel_type FROM o GROUP BY user_id, mc""")
 def _(f: Fleet):
     return resolve.new_stub_assets_mobil(_mobil(f), f.assets).select("user_id", F.col("mobil_card_number").alias("card"), "asset_name", "fuel_type")
 
 
-@query("import_status", f"""WITH {_CLEAN}, i AS (SELECT DISTINCT l_suppkey + 1000000 * k AS import_id, CASE WHEN k = 2 THEN 'unknown' ELSE 'bp_transaction' END AS format FROM lineitem, (VALUES (0), (1), (2)) v(k)),
+@query("import_status", f"""WITH {_CLEAN}, i AS (SELECT DISTINCT import_id + 1000000 * k AS import_id, CASE WHEN k = 2 THEN 'unknown' ELSE 'bp_transaction' END AS format FROM card_rows, (VALUES (0), (1), (2)) v(k)),
   p AS (SELECT import_id, count(*) FILTER (reject_reason IS NULL) AS valid FROM c3 GROUP BY import_id)
   SELECT import_id, format, CASE WHEN format = 'unknown' THEN 'unrecognized' WHEN coalesce(valid, 0) = 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN format = 'unknown' THEN NULL WHEN valid IS NULL THEN 'No rows found' WHEN valid = 0 THEN 'No valid records to import' END AS error_message FROM i LEFT JOIN p USING (import_id)""")
 def _(f: Fleet):
     kinds = F.explode(F.array(*map(F.lit, range(3))))
-    imports = f.table("lineitem").select("l_suppkey").distinct().select("l_suppkey", kinds.alias("k")).select((F.col("l_suppkey") + 1_000_000 * F.col("k")).alias("import_id"), F.when(F.col("k") == 2, "unknown").otherwise("bp_transaction").alias("format"))
+    imports = f.card_rows.select(F.col("import_id").alias("own")).distinct().select("own", kinds.alias("k")).select((F.col("own") + 1_000_000 * F.col("k")).alias("import_id"), F.when(F.col("k") == 2, "unknown").otherwise("bp_transaction").alias("format"))
     return U.import_status(imports, _cleaned(f).select("import_id", "reject_reason"))
 
 
@@ -292,7 +372,7 @@ _RUN = f"""SELECT m.asset_id, m.record_date, coalesce(a.current_odometer, 0e0) +
 
 @query("stream_ingest", f"SELECT * FROM ({_RUN}) r", "odometer_km")
 def _(f: Fleet):
-    """Mileage files arrive in a folder and become the telematics table, in one run over what is there."""
+    """Mileage files arrive in a folder and become the telematics table, in two batches, half of the files each."""
     path = f.scratch()
     f.mileage_files().repartition("import_id").select("import_id", "raw_csv").write.option("lineSep", " ").partitionBy("import_id").text(f"{path}/in")
     spark, assets = f.spark, f.sql(_V_ASSETS)
@@ -300,9 +380,10 @@ def _(f: Fleet):
     def account(df):
         return df.join(assets.select("user_id", F.col("asset_name").alias("_v")), F.col("_v") == F.regexp_extract("raw_csv", r"(?m)^(V\d+),", 1)).drop("_v")
 
-    files = jobs.read_file_stream(spark, f"{path}/in/*").withColumn("filename", F.concat("filename", F.md5("raw_csv")))
+    n = f.mileage_rows.select("asset_id").distinct().count()
+    files = jobs.read_file_stream(spark, f"{path}/in/*", -(-n // 2)).withColumn("filename", F.concat("filename", F.md5("raw_csv")))
     jobs.stream_ingest(files, assets, account, f"{path}/table", f"{path}/state").awaitTermination()
-    return spark.read.schema(S.TELEMATICS).parquet(f"{path}/table/v=0").select("asset_id", "record_date", "odometer_km")
+    return jobs.telematics_table(spark, f"{path}/table").select("asset_id", "record_date", "odometer_km")
 
 
 @query("stream_running_odometer", f"SELECT m.asset_id, record_date, coalesce(a.current_odometer, 0e0) + sum(distance) OVER (PARTITION BY m.asset_id ORDER BY import_id, first_pos ROWS UNBOUNDED PRECEDING) AS odometer_km FROM ({MILEAGE}) m LEFT JOIN assets a USING (asset_id)", "odometer_km")

@@ -9,25 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions import scalars as X
+from .. import schemas as S
 from ..operators import telematics as T
 from ..operators import upsert as U
+from ..operators.ingest import ingest_files
 from ..operators.resolve import join_by_name
-from ..sources import files as files_
-from .. import schemas as S
+from ..sources import records
+from ..tables import cut
 
 
-def read_file_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Each new file under ``path`` as a row (filename, received_at, raw_csv)."""
-    s = spark.readStream.format("text").option("wholetext", True).load(path)
+    s = spark.readStream.format("text").option("wholetext", True)
+    s = (s.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else s).load(path)
     return s.select(F.url_decode("_metadata.file_name").alias("filename"), F.col("_metadata.file_modification_time").alias("received_at"), F.col("value").alias("raw_csv"))
 
 
 def mileage_rows(files: DataFrame) -> DataFrame:
     """Parsed rows of mileage files: import_id, received_at, user_id, vehicle_name, record_date, distance, pos."""
-    f = files_.detect_format(files.withColumn("import_id", F.col("filename"))).filter(F.col("format") == "mileage")
-    r = files_.rows_to_record(f)
-    return r.select("import_id", "received_at", "user_id", files_.field("Vehicle").alias("vehicle_name"), X.parse_dmy(files_.field("ActivityDate")).alias("record_date"), X.parse_numeric(files_.field("ActualDistance")).alias("distance"), "pos")
+    r = records.typed(records.recorded(files.withColumn("import_id", F.col("filename"))), "mileage")
+    return r.select("import_id", "received_at", "user_id", "vehicle_name", "record_date", "distance", "pos")
 
 
 def mileage_batch(files: DataFrame, assets: DataFrame, telematics: DataFrame) -> DataFrame:
@@ -38,21 +39,47 @@ def mileage_batch(files: DataFrame, assets: DataFrame, telematics: DataFrame) ->
     return U.upsert_telematics(telematics, odo, ["odometer_km", "litres_consumed"])
 
 
-def stream_ingest(files: DataFrame, assets: DataFrame, account: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str) -> StreamingQuery:
-    """Takes arriving mileage files into a telematics table kept as numbered versions under ``table_path``.
+def telematics_table(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame:
+    """The telematics table kept by stream_ingest under ``table_path``: of each month the last version, or the last below ``before``."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at = jvm.Path(f"{table_path}/month=*/v=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    last: dict[str, int] = {}
+    for status in found:  # a few names a month
+        month, v = status.getPath().getParent().getName().split("=")[1], int(status.getPath().getName().split("=")[1])
+        if before is None or v < before:
+            last[month] = max(v, last.get(month, -1))
+    paths = [f"{table_path}/month={month}/v={v}" for month, v in sorted(last.items())]
+    return spark.read.schema(S.TELEMATICS).parquet(*paths) if paths else spark.createDataFrame([], S.TELEMATICS)
+
 
-    A batch reads the version before its own and writes its own, so a batch that runs again after a failure
-    writes the same rows. ``account`` adds user_id to the files.
+def stream_ingest(files: DataFrame, assets: DataFrame, account: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str, rows: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = mileage_batch) -> StreamingQuery:
+    """Takes arriving files into a telematics table kept by month under ``table_path`` (read it with telematics_table).
+
+    A batch writes a new version of the months that its files touch and of no other, from the versions before its
+    own, so one that runs again after a failure writes the same rows. ``account`` adds user_id to the files; ``rows``
+    gives the table after a batch: of mileage files, or of all formats (report_batch).
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         session = df.sparkSession
-        old = session.read.schema(S.TELEMATICS).parquet(f"{table_path}/v={batch_id - 1}") if batch_id else session.createDataFrame([], S.TELEMATICS)
-        mileage_batch(account(df), assets, old).write.mode("overwrite").parquet(f"{table_path}/v={batch_id}")
+        old = telematics_table(session, table_path, batch_id)
+        new = cut(rows(account(df), assets, old).withColumn("month", F.coalesce(F.date_format("record_date", "yyyy-MM"), F.lit("none"))))
+        plain = [c.split()[0] for c in S.TELEMATICS.split(", ")]
+        # months with a row that the table did not have as it is now
+        touched = new.select(*plain).exceptAll(old.select(*plain)).select(F.coalesce(F.date_format("record_date", "yyyy-MM"), F.lit("none")).alias("month")).distinct()
+        out = new.join(F.broadcast(touched), "month", "left_semi").withColumn("v", F.lit(batch_id))
+        out.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "v").parquet(table_path)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def report_batch(files: DataFrame, assets: DataFrame, telematics: DataFrame) -> DataFrame:
+    """The telematics table after one batch of files of all formats (fuel rows and pending assets are ingest_files' other results)."""
+    none = files.sparkSession.createDataFrame([], S.FUEL_PURCHASES)
+    return ingest_files(files.withColumn("import_id", F.col("filename")), assets, assets.select("user_id", "asset_name").limit(0), telematics, none).telematics
+
+
 class OdometerState(StatefulProcessor):
     """The running odometer of an asset: each new day's distance is added to what is held."""
 

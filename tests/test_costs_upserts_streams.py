@@ -85,7 +85,22 @@ def test_stream_equals_batch(spark, tmp_path):
     run = lambda: jobs.stream_ingest(jobs.read_file_stream(spark, f"file://{tmp_path}/in"), assets, account, f"file://{tmp_path}/table", f"file://{tmp_path}/state").awaitTermination()
     (tmp_path / "in/a.csv").write_text("Vehicle,ActivityDate,ActualDistance\nV5,01/01/2024,10\nV5,02/01/2024,5\nV5,01/01/2024,8\nnobody,01/01/2024,3\n")
     run()
-    (tmp_path / "in/b.csv").write_text("note\nVehicle,ActivityDate,ActualDistance\nV5,03/01/2024,7\nV6,03/01/2024,4\n")
+    (tmp_path / "in/b.csv").write_text("note\nVehicle,ActivityDate,ActualDistance\nV5,03/01/2024,7\nV6,03/01/2024,4\nV6,01/02/2024,2\n")
     run()
-    got = {(r.asset_id, r.record_date.day): r.odometer_km for r in spark.read.schema(S.TELEMATICS).parquet(f"file://{tmp_path}/table/v=1").collect()}
-    assert got == {(5, 1): 110.0, (5, 2): 115.0, (5, 3): 122.0, (6, 3): 4.0}
+    got = {(r.asset_id, r.record_date.month * 100 + r.record_date.day if r.record_date.month > 1 else r.record_date.day): r.odometer_km for r in jobs.telematics_table(spark, f"file://{tmp_path}/table").collect()}
+    assert got == {(5, 1): 110.0, (5, 2): 115.0, (5, 3): 122.0, (6, 3): 4.0, (6, 201): 6.0}
+    (tmp_path / "in/c.csv").write_text("Vehicle,ActivityDate,ActualDistance\nV5,02/02/2024,1\n")
+    run()
+    assert {p.name: {q.name for q in p.iterdir()} for p in (tmp_path / "table").glob("month=*")} == {"month=2024-01": {"v=0", "v=1"}, "month=2024-02": {"v=1", "v=2"}}
+    assert jobs.telematics_table(spark, f"file://{tmp_path}/table").count() == 6
+
+
+def test_upserts_without_shuffling_the_target(spark):
+    old = spark.createDataFrame([(1, a, D(d), 1.0, 2.0, 3.0, 4.0, 5.0) for a in range(5) for d in range(4)], S.TELEMATICS)
+    new = spark.createDataFrame([(1, 2, D(1), 9.0, 1), (1, 9, D(1), 8.0, 1)], "user_id long, asset_id long, record_date date, odometer_km double, pos int")
+    few, many = (upsert.upsert_telematics(old, new, ["odometer_km"], small_rows=n) for n in (10, 0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == 21
+    fuel = spark.createDataFrame([(1, v, D(0), 10.0, 20.0, None, "x") for v in range(6)], S.FUEL_PURCHASES)
+    again = fuel.filter("vehicle_id < 3").withColumn("cost_nzd", F.lit(7.0)).withColumn("batch_seq", F.lit(1))
+    few, many = (upsert.upsert_fuel(fuel, again, small_rows=n) for n in (10, 0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.filter("cost_nzd = 7").count() == 3
