@@ -4,15 +4,17 @@ The model interpolates n-grams with Dirichlet weights: p(w|h) = (c(hw) + m p(w|h
 the unigram (c(w) + 0.1) / (N + 0.1 (V + 1)). Seen n-grams are arcs, and the failure arc of a state h
 weighs m / (c(h) + m), so one left-to-right traversal that follows failure arcs adds up the exact model.
 
-Texts are dealt to blocks of bounded bytes by a hash. A block sends its distinct n-grams with its training
-counts to shards of the n-gram space; a shard adds the counts of all blocks up and answers each block with
-the totals of what it sent. The block builds the automaton of the n-grams that its own texts can meet and
-traverses them all in step. So no task, and not the driver, holds the corpus' model, and what is shuffled
-grows with the distinct n-grams per block.
+Texts are dealt to blocks of bounded bytes by a hash of id, text and input partition, so that repeated rows spread
+too. A block sends its distinct n-grams with its training counts to shards of the n-gram space, one row for each
+shard that it has n-grams of, so rows never outnumber n-grams; a shard adds the counts of all blocks up and answers
+each block with the totals of what it sent. The block builds the automaton of the n-grams that its own texts can meet
+and traverses them all in step. So no task, and not the driver, holds the corpus' model, and what is shuffled grows
+with the distinct n-grams per block. Two numbers alone, N and V, are counted before, by a plain grouping of words.
 
 Defined results: a null text is an empty one: it holds the end token only. Null ids hash as ''. Each row in
 gives one row out, repeated rows too (and each counts as training text). With no training text at all
-every token has the weight of an unseen one; an empty table gives no rows.
+every token has the weight of an unseen one; an empty table gives no rows. A very long text is a row of its block
+and traversed in segments. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -76,6 +78,17 @@ class BlockTokens:
         return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place of each key among them, a position of each)."""
+    at = np.argsort(keys)
+    ordered = keys[at]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return ordered[new], inverse, at[new]
+
+
 def _packed(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -84,6 +97,17 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte of all: high bytes are zeros."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    planes = _unpacked(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def _read(table: pa.Table):
     ids, held, texts = (table.column(c).to_pylist() for c in ("_ax_id", "_ax_held", "text"))
     order = sorted(range(len(texts)), key=lambda i: (texts[i], held[i], str(ids[i])))  # any order of arrival gives the same block
@@ -91,8 +115,17 @@ def _read(table: pa.Table):
     return pick(ids), np.array(pick(held), bool), pick(texts)
 
 
+def _word_counts(batches):
+    """Texts -> (hash, count) of their words and end marks, summed over up to 8 MB of text."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a, b in slices([len(t) for t in texts], 8_000_000):
+            words, n = np.unique(np.concatenate([np.r_[_WORDS.hashes(t.lower().split()), END] for t in texts[a:b]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
 def _asked(order: int, shards: int):
-    """A block -> one row for each shard: the sorted distinct keys of its n-grams and their counts in its training texts."""
+    """A block -> one row for each shard it has n-grams of: their sorted distinct keys and their counts in its training texts."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("_ax_block")[0].as_py()
@@ -101,14 +134,14 @@ def _asked(order: int, shards: int):
         train = np.repeat(~held, tokens.lengths)
         keys, counts = [], []
         for key in tokens.grams(order):
-            uniq, inverse = np.unique(key, return_inverse=True)
+            uniq, inverse, _ = distinct(key)
             n = np.bincount(inverse[train], minlength=len(uniq))
             keys.append(uniq[uniq > 0]), counts.append(n[uniq > 0])
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         at = np.argsort(keys)
         keys, counts = keys[at], counts[at].astype(np.uint32)
         cuts = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
-        rows = [(s, block, _packed(keys[a:b]), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        rows = [(s, block, _packed_keys(keys[a:b]), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         return pa.table(dict(zip(("shard", "_ax_block", "keys", "counts"), zip(*rows))), pa.schema([("shard", pa.int32()), ("_ax_block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
@@ -119,31 +152,27 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """A shard -> one row for each block: totals in the order of the keys it sent, and the shard's share of V and N."""
-    keys = [_unpacked(x, np.uint64) for x in table.column("keys").to_pylist()]
+    """A shard -> one row for each block: totals in the order of the keys it sent."""
+    keys = [_unpacked_keys(x) for x in table.column("keys").to_pylist()]
     counts = [_unpacked(x, np.uint32) for x in table.column("counts").to_pylist()]
     uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
-    words = (uniq & np.uint64(3)) == 1
-    v, n = int((totals[words] > 0).sum()), int(totals[words].sum())
     cuts = np.cumsum([0, *map(len, keys)])
-    m = len(keys)
     return pa.table({
         "_ax_block": table.column("_ax_block"), "shard": table.column("shard"), "totals": pa.array([_packed(totals[inverse[a:b]].astype(np.uint64)) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-        "v": pa.array([v] * m, pa.int64()), "n": pa.array([n] * m, pa.int64()),
     })
 
 
 class Automaton:
     """States are contexts; arcs are sorted (state, word) numbers; state 0 is the empty context."""
 
-    def __init__(self, tokens: BlockTokens, order: int, count_of, n: int, v: int, mass: tuple[float, ...]):
+    def __init__(self, tokens: BlockTokens, order: int, grams: list, totals: list[np.ndarray], n: int, v: int, mass: tuple[float, ...]):
+        """``grams``: what ``distinct`` gives for the k-grams at each position, k = 1 to ``order``; ``totals``: the counts of the distinct ones."""
         self.width = len(tokens.words)
         log = np.log10
-        grams = tokens.grams(order)
         w = tokens.flat
         c1 = np.zeros(self.width)
-        c1[w] = count_of(grams[0])
+        c1[w[grams[0][2]]] = totals[0]
         p = (c1 + ALPHA) / (n + ALPHA * (v + 1))
         self.unigram, self.count = log(p), c1
         # a word's own state is its code + 1; the begin mark has one too
@@ -163,14 +192,12 @@ class Automaton:
         below = p[w]  # the model's probability one order down, at each position
         held = np.r_[0.0, context]
         for k in range(2, order + 1):
-            got = grams[k - 1] > 0
-            total = np.zeros(len(w))
-            total[got] = count_of(grams[k - 1][got])
-            m = mass[k - 2]
-            seen = total > 0
+            _, place, first = grams[k - 1]
+            total, m = totals[k - 1][place], mass[k - 2]
+            seen = totals[k - 1] > 0
             mine = (total + m * below) / (held[state] + m)
-            key, first = np.unique(state[seen] * self.width + w[seen], return_index=True)
-            at = np.flatnonzero(seen)[first]
+            at = first[seen]
+            key = state[at] * self.width + w[at]
             self.keys, self.weights = np.r_[self.keys, key], np.r_[self.weights, log(mine[at])]
             if k < order:
                 # each seen k-gram is a state; after the end mark no text goes on
@@ -179,9 +206,7 @@ class Automaton:
                 self.fail = np.r_[self.fail, w[at] + 1]
                 self.fail_weight = np.r_[self.fail_weight, log(mass[k - 1] / (total[at] + mass[k - 1]))]
                 held = np.r_[held, total[at]]
-                found = np.searchsorted(key, state * self.width + w)
-                found = np.minimum(found, max(0, len(key) - 1))
-                after = np.where(seen, base + found, w + 1)
+                after = np.where(seen[place], base + (np.cumsum(seen) - 1)[place], w + 1)
                 state = np.where(back == 0, self.start, np.r_[0, after[:-1]])
                 below = mine
             else:
@@ -202,7 +227,9 @@ class Automaton:
             after[todo[root]] = self.next1[w[root]]
             if len(self.keys) and not root.all():
                 key = s * self.width + w
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                by = np.argsort(key)  # in order, neighbours in the table are met together
+                at = np.empty(len(key), np.int64)
+                at[by] = np.minimum(np.searchsorted(self.keys, key[by]), len(self.keys) - 1)
                 arc = (self.keys[at] == key) & ~root
                 weight[todo[arc]] += self.weights[at[arc]]
                 after[todo[arc]] = self.next[at[arc]]
@@ -237,19 +264,21 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(tokens.lengths))
 
 
-def _scored(order: int, mass: tuple[float, ...], kind: pa.DataType):
+def _scored(order: int, mass: tuple[float, ...], kind: pa.DataType, n: int, v: int):
     """(a block's texts, its answers) -> scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, texts = _read(left)
         tokens = BlockTokens(texts)
-        keys = np.concatenate([np.unique(k[k > 0]) for k in tokens.grams(order)])
-        keys.sort()
+        grams = [distinct(k) for k in tokens.grams(order)]
+        keys = np.concatenate([uniq for uniq, *_ in grams])
         answers = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist()))
-        totals = np.concatenate([_unpacked(x, np.uint64) for _, x in answers]).astype(np.float64)
-        v, n = (sum(right.column(c).to_pylist()) for c in ("v", "n"))
-        count_of = lambda k: totals[np.searchsorted(keys, k)]
-        auto = Automaton(tokens, order, count_of, n, v, mass)
+        counts = np.zeros(len(keys))
+        at = np.argsort(keys)
+        at = at[np.count_nonzero(keys == 0) :]  # n-grams that no shard was asked for come first
+        counts[at] = np.concatenate([_unpacked(x, np.uint64) for _, x in answers]) if answers else 0
+        totals = np.split(counts, np.cumsum([len(uniq) for uniq, *_ in grams])[:-1])
+        auto = Automaton(tokens, order, grams, totals, n, v, mass)
         per = lambda x: np.add.reduceat(x, tokens.starts) if len(tokens.starts) else x[:0]
         base = per(auto.unigram[tokens.flat])
         known = per((auto.count[tokens.flat] > 0).astype(np.int64))
@@ -270,11 +299,13 @@ def score_texts(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = (200.
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first().b
     blocks = max(1, math.ceil(size / block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("_ax_block"), F.col(id_col).alias("_ax_id"), (crc_bucket(id_col, hold_out) == 0).alias("_ax_held"), text.alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks)).alias("_ax_block"), F.col(id_col).alias("_ax_id"), (crc_bucket(id_col, hold_out) == 0).alias("_ax_held"), text.alias("text"))
     asked = rows.groupBy("_ax_block").applyInArrow(_asked(order, blocks), "shard int, _ax_block long, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary, v long, n long")
+    answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary")
+    words = rows.filter(~F.col("_ax_held")).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     schema = f"_ax_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, to_arrow_type(docs.schema[id_col].dataType)), schema)
+    return rows.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
 
 
 def score_result(docs: DataFrame) -> DataFrame:
