@@ -5,7 +5,8 @@ tokenizer drops white space, so its count is unchanged). Digests found in the ca
 the others are encoded once per distinct digest and appended to the cache.
 
 Defined results: a null text counts as empty (0 tokens); rows with null or repeated ids are counted one by
-one; an empty table gives no rows and leaves the cache as it is. Other columns are not read.
+one; an empty table gives no rows and leaves the cache as it is. Texts of one normalised content are encoded once, the text
+of the smallest id. A very long text is encoded whole. Other columns are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import SPACE, shared_dir, slices, text_or_empty
+from .common import SPACE, shared_dir, slices, text_key, text_or_empty, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -62,24 +63,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     cache_path = cache_path or shared_dir(spark)
     text = text_or_empty(text_col)
     normal = F.trim(F.regexp_replace(text, SPACE + "+", " "))
-    keyed = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest"))
+    lowest = F.lit(-(2**63))
+    keeper = F.coalesce(F.col(id_col).cast("long"), lowest) if dict(docs.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint") else F.xxhash64(F.col(id_col))
+    # one pass normalises and digests every text; from here on rows are known by id and text fingerprint
+    keyed = written(docs.select(F.col(id_col).alias("_ax_id"), keeper.alias("keeper"), text_key(text_col).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest")))
     cached = spark.createDataFrame([], CACHE_SCHEMA)
     if _exists(spark.sparkContext, cache_path):
         cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
     known = cached.filter(F.col("tokenizer") == version).select("digest").distinct()
-    lowest = F.lit(-(2**63))
-    keeper = F.coalesce(F.col(id_col).cast("long"), lowest) if dict(docs.dtypes)[id_col] in ("int", "bigint", "smallint", "tinyint") else F.xxhash64(F.col(id_col))
-    misses = keyed.groupBy("digest").agg(F.min(keeper).alias("keeper")).join(known, "digest", "left_anti")
-    texts = docs.select(keyed_digest(normal), keeper.alias("keeper"), text.alias("text"))
-    todo = texts.join(misses.hint("shuffle_hash"), ["digest", "keeper"], "left_semi").select("digest", "text")
+    one = keyed.groupBy("digest").agg(F.min("keeper").alias("keeper"))
+    misses = keyed.join(one.join(known, "digest", "left_anti"), ["digest", "keeper"]).select("digest", "keeper", "key")
+    texts = docs.select(keeper.alias("keeper"), text_key(text_col).alias("key"), text.alias("text"))
+    todo = texts.join(misses.distinct().hint("shuffle_hash"), ["keeper", "key"]).select("digest", "text")
     fresh = todo.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest", "left").select(id_col, "n_bytes", "n_tokens")
-
-
-def keyed_digest(normal):
-    return F.unhex(F.sha2(normal.cast("binary"), 256)).alias("digest")
+    return keyed.join(counts, "digest", "left").select(F.col("_ax_id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def counts_result(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
