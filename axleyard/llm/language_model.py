@@ -116,10 +116,10 @@ def _read(table: pa.Table):
 
 
 def _word_counts(batches):
-    """Texts -> (hash, count) of their words and end marks, summed over up to 8 MB of text."""
+    """Texts -> (hash, count) of their words and end marks, summed over up to 4 MB of text."""
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for a, b in slices([len(t) for t in texts], 8_000_000):
+        for a, b in slices([len(t) for t in texts], 4_000_000):
             words, n = np.unique(np.concatenate([np.r_[_WORDS.hashes(t.lower().split()), END] for t in texts[a:b]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
@@ -289,7 +289,7 @@ def _scored(order: int, mass: tuple[float, ...], kind: pa.DataType, n: int, v: i
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
     """One row per row of ``docs``: _ax_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     ``order`` is 1 to 3; ``mass`` are the Dirichlet weights of orders 2 and 3. Blocks and shards follow the
