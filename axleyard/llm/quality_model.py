@@ -122,7 +122,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return joined.select("_ax_host", "_ax_path", "n", "s", "parent", F.lit(_strength(joined, F.col("parent"))).alias("strength"), F.lit(mu).alias("mu"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_train_rows: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, max_train_rows: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", small_rows: int = 100_000) -> DataFrame:
     """One row per row of ``docs``: id, _ax_text, ``p_document``, ``p_path``, ``score`` and ``kept`` (score >= threshold)."""
     sample = labelled_sample(docs, labels, max_train_rows, id_col, text_col, label_col).collect()
     y = np.array([r.y for r in sample])
@@ -131,7 +131,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     else:
         model = (np.zeros(N_FEATURES), np.ones(N_FEATURES), np.r_[np.zeros(N_FEATURES), 3.0 if not len(y) or y.sum() else -3.0])
     scored = written(evidence(docs, model, host, path, id_col, text_col))
-    sites = site_posteriors(scored)
+    sites = written(site_posteriors(scored))
+    if sites.count() <= small_rows:  # rows of some hundred bytes; beyond, both sides are shuffled
+        sites = F.broadcast(sites)
     p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.log(c / (1 - c))
     j = scored.join(sites, ["_ax_host", "_ax_path"])
