@@ -47,7 +47,8 @@ def ingest_files(files: DataFrame, assets: DataFrame, ignored: DataFrame, telema
     odometers both run on from the table before this ingest. Repeated keys: the last file, then the last row, counts.
     """
     order = order or S.BULK_ORDER
-    r = cut(R.recorded(files, order))
+    files = cut(detect_format(files, order))
+    r = cut(R.recorded(files))
     tx, mobil, plain = (R.typed(r, n) for n in ("bp_transaction", "mobil", "bp"))
     known = with_stubs(assets, resolve.new_stub_assets_bp(tx, assets).withColumn("mobil_card_number", F.lit(None).cast("string")))
     known = with_stubs(known, resolve.new_stub_assets_mobil(mobil, known).withColumn("bp_card_number", F.lit(None).cast("string")))
@@ -87,6 +88,5 @@ def ingest_files(files: DataFrame, assets: DataFrame, ignored: DataFrame, telema
     usable = lambda n, ok: matched[n].withColumn("reject_reason", F.coalesce(F.when(~F.coalesce(ok, F.lit(False)), "bad_row"), unmatched)).select(*seen)
     parsed = cleaned.select(*seen).unionByName(ex.select(*seen)).unionByName(usable("idle", F.col("record_date").isNotNull() & (F.col("duration") > 0) & F.lower(F.coalesce("unit", F.lit(""))).isin("", "min"))).unionByName(usable("mileage", F.col("record_date").isNotNull() & (F.col("distance") > 0)))
     parsed = cut(parsed)
-    formats = detect_format(files, order).select("import_id", "format")
-    status = U.import_status(formats, parsed).join(U.import_summary(parsed, pending).select("import_id", "records_upserted", "rows_skipped"), "import_id", "left")
+    status = U.import_status(files.select("import_id", "format"), parsed).join(U.import_summary(parsed, pending).select("import_id", "records_upserted", "rows_skipped"), "import_id", "left")
     return Ingested(out, new_fuel, known, pending, status, U.reject_counts(parsed))

@@ -23,8 +23,11 @@ def _text(name: str) -> Column:
 
 
 def recorded(files: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Every row below a known header, of all formats: FILE_COLUMNS, format, pos, rec. Files of no known format give none."""
-    return rows_to_record(detect_format(files, order)).select(*_KEPT)
+    """Every row below a known header, of all formats: FILE_COLUMNS, format, pos, rec. Files of no known format give none.
+
+    ``files`` may come with format and header_pos already.
+    """
+    return rows_to_record(files if "header_pos" in files.columns else detect_format(files, order)).select(*_KEPT)
 
 
 def mileage(r: DataFrame) -> DataFrame:
