@@ -9,7 +9,9 @@ too. A block sends its distinct n-grams with its training counts to shards of th
 shard that it has n-grams of, so rows never outnumber n-grams; a shard adds the counts of all blocks up and answers
 each block with the totals of what it sent. The block builds the automaton of the n-grams that its own texts can meet
 and traverses them all in step. So no task, and not the driver, holds the corpus' model, and what is shuffled grows
-with the distinct n-grams per block. Two numbers alone, N and V, are counted before, by a plain grouping of words.
+with the distinct n-grams per block. Words have 64-bit keys; longer n-grams have as many bits as number the corpus' bytes
+and 22 more (63 at most), so that at every size up to 2 TB fewer than one in four million shares its key with another and
+has their counts added up. Two numbers alone, N and V, are counted before, by a plain grouping of words.
 
 Defined results: a null text is an empty one: it holds the end token only. Null ids hash as ''. Each row in
 gives one row out, repeated rows too (and each counts as training text). With no training text at all
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import MIX_A, WordHasher, crc_bucket, mixed, slices, text_or_empty
+from .common import MIX_A, MIX_B, WordHasher, crc_bucket, mixed, slices, text_or_empty
 
 #: Hashes of the end and begin marks: white space is in no word.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b"\t"))
 ALPHA = 0.1
+#: Bits of an n-gram's key beyond those that number the corpus' bytes.
+KEY_BITS = 22
 _WORDS = WordHasher()
 _SEGMENT = 512
 _MASK = (1 << 64) - 1
@@ -57,11 +61,13 @@ class BlockTokens:
         self.end, self.begin = self.flat[-2:]
         self.flat = self.flat[:-2]
 
-    def grams(self, order: int) -> list[np.ndarray]:
-        """For k = 1 to ``order``: the code tuple of the k-gram that ends at each position, as one number, and its 64-bit key.
+    def grams(self, order: int, bits: int = 63) -> list[np.ndarray]:
+        """For k = 1 to ``order``: the key of the k-gram that ends at each position.
 
+        Words have odd 64-bit keys; longer ones have ``bits`` (at most 63) leading bits, and zeros after them.
         Texts are preceded by a begin mark; k-grams that would reach before it are missing (key 0).
         """
+        one = np.uint64(1 << 64 - bits)
         n = len(self.flat)
         back = np.arange(n) - np.repeat(self.starts, self.lengths)
         out = []
@@ -73,8 +79,11 @@ class BlockTokens:
                 prior[d:] = self.words[self.flat[:-d]] if n > d else prior[d:]
                 prior[back == d - 1] = BEGIN
                 h = h + mixed(prior + np.uint64(int(MIX_A) * d & _MASK))
-            key = (mixed(h) & ~np.uint64(3)) | np.uint64(k)
-            out.append(np.where(back >= k - 2, key, np.uint64(0)) if k > 1 else key)
+            if k == 1:
+                out.append(mixed(h) | np.uint64(1))
+            else:
+                key = np.maximum(mixed(h + np.uint64(int(MIX_B) * k & _MASK)) & ~(one - np.uint64(1)), one)
+                out.append(np.where(back >= k - 2, key, np.uint64(0)))
         return out
 
 
@@ -89,22 +98,27 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], inverse, at[new]
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as single bytes; those of 255 and more follow in full."""
+    body = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint64).tobytes()
+    return len(counts).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    n, body = int.from_bytes(data[:8], "little"), zstandard.ZstdDecompressor().decompress(data[8:])
+    counts = np.frombuffer(body, np.uint8, n).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(body[n:], np.uint64)
+    return counts
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as their differences, byte by byte of all: high bytes are zeros."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    planes = _unpacked(data, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
@@ -124,7 +138,7 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def _asked(order: int, shards: int):
+def _asked(order: int, shards: int, bits: int):
     """A block -> one row for each shard it has n-grams of: their sorted distinct keys and their counts in its training texts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -133,15 +147,15 @@ def _asked(order: int, shards: int):
         tokens = BlockTokens(texts)
         train = np.repeat(~held, tokens.lengths)
         keys, counts = [], []
-        for key in tokens.grams(order):
+        for key in tokens.grams(order, bits):
             uniq, inverse, _ = distinct(key)
             n = np.bincount(inverse[train], minlength=len(uniq))
             keys.append(uniq[uniq > 0]), counts.append(n[uniq > 0])
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         at = np.argsort(keys)
-        keys, counts = keys[at], counts[at].astype(np.uint32)
+        keys, counts = keys[at], counts[at]
         cuts = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
-        rows = [(s, block, _packed_keys(keys[a:b]), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows = [(s, block, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
         return pa.table(dict(zip(("shard", "_ax_block", "keys", "counts"), zip(*rows))), pa.schema([("shard", pa.int32()), ("_ax_block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
@@ -154,12 +168,12 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 def _answered(table: pa.Table) -> pa.Table:
     """A shard -> one row for each block: totals in the order of the keys it sent."""
     keys = [_unpacked_keys(x) for x in table.column("keys").to_pylist()]
-    counts = [_unpacked(x, np.uint32) for x in table.column("counts").to_pylist()]
+    counts = [_unpacked_counts(x) for x in table.column("counts").to_pylist()]
     uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, keys)])
     return pa.table({
-        "_ax_block": table.column("_ax_block"), "shard": table.column("shard"), "totals": pa.array([_packed(totals[inverse[a:b]].astype(np.uint64)) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "_ax_block": table.column("_ax_block"), "shard": table.column("shard"), "totals": pa.array([_packed_counts(totals[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
     })
 
 
@@ -264,19 +278,19 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(tokens.lengths))
 
 
-def _scored(order: int, mass: tuple[float, ...], kind: pa.DataType, n: int, v: int):
+def _scored(order: int, mass: tuple[float, ...], bits: int, kind: pa.DataType, n: int, v: int):
     """(a block's texts, its answers) -> scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, texts = _read(left)
         tokens = BlockTokens(texts)
-        grams = [distinct(k) for k in tokens.grams(order)]
+        grams = [distinct(k) for k in tokens.grams(order, bits)]
         keys = np.concatenate([uniq for uniq, *_ in grams])
         answers = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist()))
         counts = np.zeros(len(keys))
         at = np.argsort(keys)
         at = at[np.count_nonzero(keys == 0) :]  # n-grams that no shard was asked for come first
-        counts[at] = np.concatenate([_unpacked(x, np.uint64) for _, x in answers]) if answers else 0
+        counts[at] = np.concatenate([_unpacked_counts(x) for _, x in answers]) if answers else 0
         totals = np.split(counts, np.cumsum([len(uniq) for uniq, *_ in grams])[:-1])
         auto = Automaton(tokens, order, grams, totals, n, v, mass)
         per = lambda x: np.add.reduceat(x, tokens.starts) if len(tokens.starts) else x[:0]
@@ -289,7 +303,7 @@ def _scored(order: int, mass: tuple[float, ...], kind: pa.DataType, n: int, v: i
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
     """One row per row of ``docs``: _ax_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     ``order`` is 1 to 3; ``mass`` are the Dirichlet weights of orders 2 and 3. Blocks and shards follow the
@@ -298,14 +312,15 @@ def score_texts(docs: DataFrame, order: int = 2, mass: tuple[float, ...] = (200.
     text = text_or_empty(text_col).cast("binary")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first().b
     blocks = max(1, math.ceil(size / block_bytes))
+    bits = min(63, max(1, size).bit_length() + KEY_BITS)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks)).alias("_ax_block"), F.col(id_col).alias("_ax_id"), (crc_bucket(id_col, hold_out) == 0).alias("_ax_held"), text.alias("text"))
-    asked = rows.groupBy("_ax_block").applyInArrow(_asked(order, blocks), "shard int, _ax_block long, keys binary, counts binary")
+    asked = rows.groupBy("_ax_block").applyInArrow(_asked(order, blocks, bits), "shard int, _ax_block long, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary")
     words = rows.filter(~F.col("_ax_held")).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     schema = f"_ax_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
+    return rows.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, bits, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
 
 
 def score_result(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,20 @@ def test_keys_are_packed():
         keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         packed = language_model._packed_keys(keys)
         assert (language_model._unpacked_keys(packed) == keys).all() and (n < 1000 or len(packed) < 7.5 * n)
+    for n in (0, 1, 5000):
+        counts = (rng.pareto(0.5, n) * 3).astype(np.int64)  # some far beyond a byte
+        packed = language_model._packed_counts(counts)
+        assert (language_model._unpacked_counts(packed) == counts).all()
+    assert (language_model._unpacked_counts(language_model._packed_counts(np.array([255, 254, 0, 256, 1 << 40]))) == [255, 254, 0, 256, 1 << 40]).all()
+
+
+def test_keys_of_ngrams_have_the_bits_asked_for():
+    tokens = language_model.BlockTokens([b"a b c a b", b"", b"c"])
+    full, short = tokens.grams(3), tokens.grams(3, 40)
+    assert (full[0] == short[0]).all() and (full[0] % 2 == 1).all()
+    for a, b in zip(full[1:], short[1:]):
+        assert (b % (1 << 24) == 0).all() and ((a == 0) == (b == 0)).all() and (b >> 24 == a >> 24).all()
+        assert len(set(a.tolist())) == len(set(b.tolist()))
 
 
 def test_rows_of_the_exchange(spark):
