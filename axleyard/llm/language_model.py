@@ -10,8 +10,8 @@ shard that it has n-grams of, so rows never outnumber n-grams; a shard adds the
 each block with the totals of what it sent. The block builds the automaton of the n-grams that its own texts can meet
 and traverses them all in step. So no task, and not the driver, holds the corpus' model, and what is shuffled grows
 with the distinct n-grams per block. Words have 64-bit keys; longer n-grams have as many bits as number the corpus' bytes
-and 22 more (63 at most), so that at every size up to 2 TB fewer than one in four million shares its key with another and
-has their counts added up. Two numbers alone, N and V, are counted before, by a plain grouping of words.
+and 18 more (63 at most), so that at every size up to 32 TB fewer than one in 250,000 shares its key with another and
+has their counts added up; past that, one in 80,000 at 100 TB. Two numbers alone, N and V, are counted before, by a plain grouping of words.
 
 Defined results: a null text is an empty one: it holds the end token only. Null ids hash as ''. Each row in
 gives one row out, repeated rows too (and each counts as training text). With no training text at all
@@ -37,7 +37,7 @@ from .common import MIX_A, MIX_B, WordHasher, crc_bucket, mixed, slices, text_or
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" ", b"\t"))
 ALPHA = 0.1
 #: Bits of an n-gram's key beyond those that number the corpus' bytes.
-KEY_BITS = 22
+KEY_BITS = 18
 _WORDS = WordHasher()
 _SEGMENT = 512
 _MASK = (1 << 64) - 1
@@ -122,8 +122,18 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def _compressed(batches):
+    """Texts travel to their block compressed, each by itself."""
+    pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
+    for batch in batches:
+        texts = pa.array([pack.compress(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=batch.schema.names)
+
+
 def _read(table: pa.Table):
     ids, held, texts = (table.column(c).to_pylist() for c in ("_ax_id", "_ax_held", "text"))
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(t) for t in texts]
     order = sorted(range(len(texts)), key=lambda i: (texts[i], held[i], str(ids[i])))  # any order of arrival gives the same block
     pick = lambda x: [x[i] for i in order]
     return pick(ids), np.array(pick(held), bool), pick(texts)
@@ -315,12 +325,13 @@ def score_texts(docs: DataFrame, order: int = 3, mass: tuple[float, ...] = (200.
     bits = min(63, max(1, size).bit_length() + KEY_BITS)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks)).alias("_ax_block"), F.col(id_col).alias("_ax_id"), (crc_bucket(id_col, hold_out) == 0).alias("_ax_held"), text.alias("text"))
-    asked = rows.groupBy("_ax_block").applyInArrow(_asked(order, blocks, bits), "shard int, _ax_block long, keys binary, counts binary")
+    packed = rows.mapInArrow(_compressed, f"_ax_block long, _ax_id {kind}, _ax_held boolean, text binary")
+    asked = packed.groupBy("_ax_block").applyInArrow(_asked(order, blocks, bits), "shard int, _ax_block long, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary")
     words = rows.filter(~F.col("_ax_held")).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     schema = f"_ax_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, bits, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
+    return packed.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, bits, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
 
 
 def score_result(docs: DataFrame) -> DataFrame:
