@@ -313,7 +313,7 @@ def _scored(order: int, mass: tuple[float, ...], bits: int, kind: pa.DataType, n
     return run
 
 
-def score_texts(docs: DataFrame, order: int = 3, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, mass: tuple[float, ...] = (200.0, 20.0), block_bytes: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text", hold_out: int = 10) -> DataFrame:
     """One row per row of ``docs``: _ax_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     ``order`` is 1 to 3; ``mass`` are the Dirichlet weights of orders 2 and 3. Blocks and shards follow the
