@@ -5,6 +5,8 @@ All windows lead with the asset, so an asset's rows meet once; an asset has at m
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,24 +65,27 @@ def longest_runs(days: DataFrame, missing: Column, name: str) -> DataFrame:
     return islands.groupBy("asset_id", "seq", "island").agg(F.count("*").alias("n")).groupBy("asset_id", "seq").agg(F.max("n").alias(name))
 
 
-def working_day(holidays: DataFrame):
-    """A function that keeps Monday to Friday days which are no holiday."""
+def working_day(holidays: DataFrame | None = None):
+    """A function that keeps Monday to Friday days which are no holiday; without a table of them, none of ``schemas.HOLIDAYS``."""
 
     def keep(days: DataFrame) -> DataFrame:
-        return days.filter(F.weekday("record_date") < 5).join(holidays.select(F.col("holiday_date").alias("record_date")).distinct(), "record_date", "left_anti")
+        weekdays = days.filter(F.weekday("record_date") < 5)
+        if holidays is None:
+            return weekdays.filter(~F.col("record_date").isin([date.fromisoformat(d) for d in S.HOLIDAYS]))
+        return weekdays.join(holidays.select(F.col("holiday_date").alias("record_date")).distinct(), "record_date", "left_anti")
 
     return keep
 
 
-def missing_weekday_runs(days: DataFrame, holidays: DataFrame) -> DataFrame:
+def missing_weekday_runs(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     return longest_runs(working_day(holidays)(days), F.col("has_row").isNull(), "max_missing_run")
 
 
-def missing_odometer_runs(days: DataFrame, holidays: DataFrame) -> DataFrame:
+def missing_odometer_runs(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     return longest_runs(working_day(holidays)(days), F.col("has_row").isNotNull() & F.col("odometer_km").isNull(), "max_odometer_run")
 
 
-def evaluate_intervals(purchases: DataFrame, telematics: DataFrame, holidays: DataFrame) -> DataFrame:
+def evaluate_intervals(purchases: DataFrame, telematics: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """Distance, idle hours, the first exclusion reason that holds, and ``included``. Litres are not carried forward yet."""
     iv = intervals_with_odometers(purchases, telematics)
     days = interval_days(iv, telematics)

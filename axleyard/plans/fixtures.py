@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import local_folder
+
 #: In order: each may read the ones before it. {events} and so on stand for the given tables.
 VIEWS: dict[str, str] = {
     "telematics": """
@@ -121,7 +122,7 @@ class Fleet:
         """A new folder in the shared checkpoint folder."""
         base = self.spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = f"file://{tempfile.mkdtemp(prefix='axleyard-')}"
+            base = f"file://{local_folder(self.spark)}"
         return f"{base.rstrip('/')}/axleyard-{uuid.uuid4().hex}"
 
     def _spread(self, rows: DataFrame) -> DataFrame:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A new temporary folder, for sessions that run on this machine alone; any other must set ``spark.checkpoint.dir``."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="axleyard-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``; only where that is unset (tests), in a temporary folder."""
+    """``df`` checkpointed in ``spark.checkpoint.dir``; only where that is unset and Spark is local, in a temporary folder."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axleyard-"))
+        spark.sparkContext.setCheckpointDir(local_folder(spark))
     return df.checkpoint()

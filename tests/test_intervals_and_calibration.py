@@ -1,9 +1,12 @@
 import datetime as dt
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from axleyard import tables
 from axleyard.operators import calibrate as K
 from axleyard.operators import intervals as I
 
@@ -106,3 +109,21 @@ def test_leave_one_out(spark):
             errors.sort()
             want = None if not errors else errors[len(errors) // 2] if len(errors) % 2 else (errors[len(errors) // 2 - 1] + errors[len(errors) // 2]) / 2
             assert got[a] == want if want is None else abs(got[a] - want) < 1e-9
+
+
+def test_working_days_without_a_table_of_holidays(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'2026-04-01', DATE'2026-04-07')) AS record_date")
+    assert sorted(str(r.record_date) for r in I.working_day()(days).collect()) == ["2026-04-01", "2026-04-02", "2026-04-07"]
+    none = spark.sql("SELECT DATE'2000-01-01' AS holiday_date").limit(0)
+    assert I.working_day(none)(days).count() == 5
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    def on(master):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            tables.local_folder(on(master))
+    for master in ("local", "local[4]", "local[*]"):
+        assert os.path.isdir(tables.local_folder(on(master)))
