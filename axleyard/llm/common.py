@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import local_folder
+
 #: White space between words: blank and \t \n \v \f \r. ``bytes.split()`` splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]"
 _U = np.uint64
@@ -17,12 +18,12 @@ MIX_A, MIX_B, MIX_C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D04
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), under a temporary one."""
+    """A new folder under ``spark.checkpoint.dir``; only where that is unset and Spark is local (tests), under a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not jdir.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axleyard-"))
+            spark.sparkContext.setCheckpointDir(local_folder(spark))
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get()
     return f"{base.rstrip('/')}/axleyard-{uuid.uuid4().hex}"
