@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, decontaminate, language_model, licenses, line_dedup, near_dedup, quality_model, quality_rules, token_counts, toxicity
+from . import bpe, collocations, decontaminate, language_model, licenses, line_dedup, near_dedup, quality_model, quality_rules, simhash, spelling, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_result(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_result(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_codec, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_near_dedup, op7_language_model, op8_toxicity, op9_token_counts, op10_decontamination, op11_collocations)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_codec, op3_license_scan, op4_line_dedup, op5_quality_rules, op6_near_dedup, op7_language_model, op8_toxicity, op9_token_counts, op10_decontamination, op11_collocations, op12_simhash, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
