@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalars as X
 from ..sources import records as R
-from ..sources.files import detect_format
+from ..sources.files import classify_unknown, detect_format
 from ..tables import cut
 from . import resolve
 from . import telematics as T
 from . import upsert as U
+from .odometers import odometers_in_order
+
+#: What a pending asset's source says of each feed.
+PENDING_SOURCES = {"exec_summary": "navman", "idle": "navman-idle", "mileage": "navman-mileage"}
+HOURS = ["operating_hours", "idle_hours", "total_engine_hours"]
+CELLS = [*HOURS, "odometer_km", "litres_consumed"]
+WAITING = ["import_id", "user_id", "asset_name", "asset_type", "registration", "source", "raw_data"]
+#: Ids of assets that an ingest makes have this bit, which no counted id reaches.
+MADE = 2**62
+
+
+@dataclass
+class Taken:
+    """What files bring: ``cells`` and ``bought`` by the keys of telematics and fuel, the assets known by the end and those ``made``, pending assets ``queued``, and what happened to each file and row."""
+
+    cells: DataFrame
+    bought: DataFrame
+    known: DataFrame
+    made: DataFrame
+    queued: DataFrame
+    status: DataFrame
+    rejects: DataFrame
 
 
 @dataclass
@@ -29,29 +52,53 @@ class Ingested:
     rejects: DataFrame
 
 
-def with_stubs(assets: DataFrame, stubs: DataFrame) -> DataFrame:
-    """``assets`` (asset_id, user_id, asset_name, asset_type, fuel_type, both cards, current_odometer) and new ones, whose ids go on from the highest."""
-    top = assets.agg(F.coalesce(F.max("asset_id"), F.lit(0)).alias("top")).first().top
-    # ids need only be new and fixed: stubs are written once, so a retry can't give others
-    fresh = cut(stubs.withColumn("asset_id", F.lit(top) + 1 + F.monotonically_increasing_id()))
+def made_id(feed: str, *key: Column) -> Column:
+    """The id of an asset made of a card: it follows from the card alone, so neither retries nor batches change it."""
+    return F.xxhash64(F.lit(feed), *key).bitwiseAND(F.lit(MADE - 1)).bitwiseOR(F.lit(MADE))
+
+
+def with_stubs(assets: DataFrame, stubs: DataFrame, asset_id: Column) -> DataFrame:
+    """``assets`` and the new ones ``stubs``, each born where its card first came."""
     none = lambda t: F.lit(None).cast(t)
     kinds = dict(assets.dtypes)
-    return assets.unionByName(fresh.select(*((F.col(c).cast(kinds[c]) if c in fresh.columns else none(kinds[c])).alias(c) for c in assets.columns)))
+    fresh = stubs.withColumn("asset_id", asset_id).withColumn("born", F.struct("first.received_at", "first.import_id"))
+    fresh = cut(fresh.select(*((F.col(c).cast(kinds[c]) if c in fresh.columns else none(kinds[c])).alias(c) for c in assets.columns)))
+    return assets.unionByName(fresh)
+
 
+def _cells(writes: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(asset_id, record_date, user_id and CELLS): of each cell the value that the last file and row wrote, as struct(value)."""
+    rows = None
+    for df, columns in writes:
+        at = [F.col(c) for c in ("received_at", "import_id", "pos")]
+        part = df.select("asset_id", "record_date", F.struct(*at, "user_id").alias("user"), *((F.struct(*at, F.col(c).cast("double").alias("value")) if c in columns else F.lit(None)).alias(c) for c in CELLS))
+        rows = part if rows is None else rows.unionByName(part)
+    last = lambda c: F.when(F.max(c).isNotNull(), F.struct(F.max(c)["value"].alias("value"))).alias(c)
+    return rows.groupBy("asset_id", "record_date").agg(F.max("user")["user_id"].alias("user_id"), *(last(c) for c in CELLS))
 
-def ingest_files(files: DataFrame, assets: DataFrame, ignored: DataFrame, telematics: DataFrame, fuel: DataFrame, order: list[str] | None = None) -> Ingested:
-    """All files of ``files`` (FILE_COLUMNS and raw_csv) at once, over the tables as they are.
 
-    Cards that no asset has become assets before fuel rows are matched; unseen names of telematics files wait as
-    pending assets and their rows are skipped, as in a later import they may not be. Mileage and executive-summary
-    odometers both run on from the table before this ingest. Repeated keys: the last file, then the last row, counts.
+def take_in(files: DataFrame, assets: DataFrame, ignored: DataFrame, pending: DataFrame | None, readings: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> Taken:
+    """What all files of ``files`` (FILE_COLUMNS and raw_csv) bring, over tables that it does not read.
+
+    As if the files were taken in one by one, in the order in which they came (received_at, then
+    import_id): a row meets the assets that its own file or an earlier one made of unseen cards; names and plain BP cards
+    unseen by then wait as pending assets (the first of each name stays) and their rows are skipped; a cell, or a
+    purchase, is what the last file wrote; odometers of both feeds run on from each other. ``pending`` has the assets
+    that wait already; ``readings`` gives (asset_id, record_date, odometer_km) of the table before, for the odometer steps it is handed.
     """
     order = order or S.BULK_ORDER
-    files = cut(detect_format(files, order))
+    category, header = classify_unknown(F.col("raw_csv"))
+    came = F.coalesce("received_at", F.timestamp_seconds(F.lit(0)))
+    files = detect_format(files.withColumn("received_at", came), order)
+    unknown = F.col("format") == "unknown"
+    files = cut(files.withColumns({"detected_category": F.when(unknown, category), "detected_headers": F.when(unknown, header)}))
     r = cut(R.recorded(files))
     tx, mobil, plain = (R.typed(r, n) for n in ("bp_transaction", "mobil", "bp"))
-    known = with_stubs(assets, resolve.new_stub_assets_bp(tx, assets).withColumn("mobil_card_number", F.lit(None).cast("string")))
-    known = with_stubs(known, resolve.new_stub_assets_mobil(mobil, known).withColumn("bp_card_number", F.lit(None).cast("string")))
+    kind = files.schema["import_id"].dataType.simpleString()
+    before = F.struct(F.lit("0001-01-01").cast("timestamp").alias("received_at"), F.lit(None).cast(kind).alias("import_id"))
+    old = assets.withColumn("asset_id", F.col("asset_id").cast("long")).withColumn("born", before)
+    known = with_stubs(old, resolve.new_stub_assets_bp(tx, old), made_id("bp", F.col("bp_card_number")))
+    known = with_stubs(known, resolve.new_stub_assets_mobil(mobil, known), made_id("mobil", F.col("user_id"), F.col("mobil_card_number")))
     fuel_rows = [
         resolve.clean_bp_transaction(resolve.join_by_card(tx, known)), resolve.clean_mobil(resolve.join_by_card(mobil, known, "mobil_card_number")), resolve.clean_bp(resolve.join_card_then_name(plain, known, ignored)),
     ]
@@ -62,31 +109,44 @@ def ingest_files(files: DataFrame, assets: DataFrame, ignored: DataFrame, telema
     cleaned = cut(cleaned)
     kept = cleaned.filter(F.col("reject_reason").isNull())
     bought = U.last_by_key(kept.withColumn("vehicle_id", F.col("asset_id")), ["vehicle_id", "purchase_date", "litres"], [F.desc("received_at"), F.desc("import_id"), F.desc("pos")])
-    new_fuel = U.upsert_fuel(fuel, bought.withColumn("batch_seq", F.lit(0)))
+    bought = cut(bought.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in S.FUEL_PURCHASES.split(", "))))
 
-    named = {n: R.typed(r, n) for n in ("exec_summary", "idle", "mileage")}
-    pending, skipped = None, []
+    named = {n: R.typed(r, n).withColumn("vehicle_name", X.js_trim(F.col("vehicle_name"))) for n in ("exec_summary", "idle", "mileage")}
+    unseen = resolve.unseen_cards(plain, known, ignored)
     for n, rows in named.items():
-        fresh = resolve.new_pending_assets(rows.withColumn("vehicle_name", X.js_trim(F.col("vehicle_name"))), known, ignored, n)
-        pending = fresh if pending is None else pending.unionByName(fresh)
-    pending = U.last_by_key(pending, ["user_id", "asset_name"], [F.asc("import_id"), F.asc("source")])
-    matched = {n: resolve.join_by_name(rows.withColumn("vehicle_name", X.js_trim(F.col("vehicle_name"))), known) for n, rows in named.items()}
-    came = files.select("import_id", "received_at").distinct()
-
-    ex = T.exec_odometer(T.clean_exec_summary(matched["exec_summary"]), telematics, known).join(came, "import_id")
-    hours = ["operating_hours", "idle_hours", "total_engine_hours", "odometer_km", "litres_consumed"]
-    ex_kept = ex.filter("reject_reason is null").withColumn("litres_consumed", F.lit(None).cast("double")).withColumn("at", F.struct("received_at", "import_id", "pos"))
-    out = U.upsert_telematics(telematics, ex_kept, hours, "at")
-    per_file = matched["idle"].filter("asset_id is not null")
-    daily = T.idle_plausibility(T.daily_idle(per_file)).filter("idle_hours is not null")
-    out = U.upsert_telematics(out, daily.join(known.select("asset_id", "user_id"), "asset_id").withColumn("pos", F.lit(0)), ["idle_hours"])
-    odo = T.running_odometer(T.daily_mileage(matched["mileage"].filter("asset_id is not null")).join(came, "import_id"), telematics, known)
-    out = U.upsert_telematics(out, odo, ["odometer_km", "litres_consumed"])
+        unseen = unseen.unionByName(resolve.unseen_names(rows, known, ignored, PENDING_SOURCES[n]))
+    unseen = cut(unseen)
+    queued = U.last_by_key(unseen, ["user_id", "asset_name"], [F.asc("received_at"), F.asc("import_id"), F.asc("pos")])
+    if pending is not None:
+        queued = queued.join(pending.select("user_id", "asset_name").distinct(), ["user_id", "asset_name"], "left_anti")
+    queued = cut(queued.select(*WAITING))
 
+    matched = {n: resolve.join_by_name(rows, known) for n, rows in named.items()}
+    arrived = matched["exec_summary"].select("import_id", "received_at").distinct()
+    ex = T.clean_exec_summary(matched["exec_summary"]).join(arrived, "import_id")
+    ex_kept = ex.filter("reject_reason is null")
+    per_file = ("import_id", "received_at", "user_id")
+    idle = T.daily_idle(matched["idle"].filter("asset_id is not null"), per_file)
+    daily = T.idle_plausibility(idle, per_file).filter("idle_hours is not null").withColumn("pos", F.lit(0))
+    mileage = T.daily_mileage(matched["mileage"].filter("asset_id is not null"), ("import_id", "received_at", "user_id")).withColumnRenamed("first_pos", "pos")
+    step = lambda df, feed: df.select("asset_id", "received_at", "import_id", "pos", F.lit(feed).alias("feed"), "record_date", "distance")
+    steps = cut(step(ex_kept, "exec").unionByName(step(mileage, "mileage")))
+    odo = odometers_in_order(steps, readings(steps), known)
+    users = ex_kept.select(*per_file, "asset_id", "pos", "record_date").unionByName(mileage.select(*per_file, "asset_id", "pos", "record_date"))
+    odo = odo.join(users, ["import_id", "asset_id", "pos", "record_date"]).withColumn("litres_consumed", F.lit(None).cast("double"))
+    cells = cut(_cells([(ex_kept, HOURS), (daily, ["idle_hours"]), (odo, ["odometer_km", "litres_consumed"])]))
     seen = ["import_id", "pos", "reject_reason"]
     unmatched = F.when(F.col("asset_id").isNull(), "no_asset")
     usable = lambda n, ok: matched[n].withColumn("reject_reason", F.coalesce(F.when(~F.coalesce(ok, F.lit(False)), "bad_row"), unmatched)).select(*seen)
     parsed = cleaned.select(*seen).unionByName(ex.select(*seen)).unionByName(usable("idle", F.col("record_date").isNotNull() & (F.col("duration") > 0) & F.lower(F.coalesce("unit", F.lit(""))).isin("", "min"))).unionByName(usable("mileage", F.col("record_date").isNotNull() & (F.col("distance") > 0)))
     parsed = cut(parsed)
-    status = U.import_status(files.select("import_id", "format"), parsed).join(U.import_summary(parsed, pending).select("import_id", "records_upserted", "rows_skipped"), "import_id", "left")
-    return Ingested(out, new_fuel, known, pending, status, U.reject_counts(parsed))
+    status = U.import_status(files.select("import_id", "format", "detected_category", "detected_headers"), parsed).join(U.import_summary(parsed, unseen), "import_id", "left")
+    made = known.filter(F.col("born.import_id").isNotNull()).drop("born")
+    return Taken(cells, bought, known.drop("born"), made, queued, cut(status), U.reject_counts(parsed))
+
+
+def ingest_files(files: DataFrame, assets: DataFrame, ignored: DataFrame, telematics: DataFrame, fuel: DataFrame, order: list[str] | None = None, pending: DataFrame | None = None) -> Ingested:
+    """The tables after taking in all files at once, see take_in."""
+    t = take_in(files, assets, ignored, pending, lambda steps: telematics, order)
+    waiting = t.queued if pending is None else pending.select(*WAITING).unionByName(t.queued)
+    return Ingested(U.upsert_cells(telematics, t.cells, CELLS), U.upsert_fuel(fuel, t.bought.withColumn("batch_seq", F.lit(0))), t.known, waiting, t.status, t.rejects)

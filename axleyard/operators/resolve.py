@@ -34,13 +34,25 @@ def one_per_key(assets: DataFrame, key: Column, name: str) -> DataFrame:
     return assets.withColumn(name, key).filter(F.col(name).isNotNull() & (F.col(name) != "")).groupBy("user_id", name).agg(F.max("asset_id").alias("asset_id"))
 
 
+def _matched(rows: DataFrame, assets: DataFrame, key: Column, name: str, out: str = "asset_id") -> DataFrame:
+    """``rows`` with ``out``: the asset of the account whose ``key`` is the row's ``name``.
+
+    Where assets have ``born`` (received_at, import_id), a row meets those alone that its file or an earlier one made.
+    """
+    if "born" not in assets.columns:
+        return rows.join(one_per_key(assets, key, name).withColumnRenamed("asset_id", out), ["user_id", name], "left")
+    same = assets.withColumn(name, key).filter(F.col(name) != "").groupBy("user_id", name).agg(F.collect_list(F.struct("born", "asset_id")).alias("_same"))
+    known = F.filter("_same", lambda a: a["born"] <= F.struct("received_at", "import_id"))
+    return rows.join(same, ["user_id", name], "left").withColumn(out, F.array_max(F.transform(known, lambda a: a["asset_id"]))).drop("_same")
+
+
 def join_by_name(rows: DataFrame, assets: DataFrame, name: str = "vehicle_name") -> DataFrame:
     """Exact, case-sensitive name within the account."""
-    return rows.join(one_per_key(assets, F.col("asset_name"), name), ["user_id", name], "left")
+    return _matched(rows, assets, F.col("asset_name"), name)
 
 
 def join_by_card(rows: DataFrame, assets: DataFrame, asset_card: str = "bp_card_number", card: str = "card") -> DataFrame:
-    return rows.join(one_per_key(assets, X.card(F.col(asset_card)), card), ["user_id", card], "left")
+    return _matched(rows, assets, X.card(F.col(asset_card)), card)
 
 
 def best_card_detail(rows: DataFrame) -> DataFrame:
@@ -53,12 +65,16 @@ def best_card_detail(rows: DataFrame) -> DataFrame:
 
 def join_card_then_name(rows: DataFrame, assets: DataFrame, ignored: DataFrame) -> DataFrame:
     """``asset_id``: by card; else by the card's best name unless that is ignored; else by the row's own name (both in any case)."""
-    by_name = one_per_key(assets, F.lower(X.js_trim(F.col("asset_name"))), "_name").withColumnRenamed("asset_id", "_a")
+    low = F.lower(X.js_trim(F.col("asset_name")))
     skip = ignored.select("user_id", F.lower(X.js_trim(F.col("asset_name"))).alias("_best"), F.lit(True).alias("_ignored")).distinct()
     best = best_card_detail(rows).select("import_id", "user_id", "card", F.lower("asset_name").alias("_best")).join(skip, ["user_id", "_best"], "left").filter("_ignored is null").drop("_ignored")
-    best = best.join(by_name.withColumnRenamed("_name", "_best"), ["user_id", "_best"]).select("import_id", "user_id", "card", F.col("_a").alias("_by_best"))
     own = rows.withColumn("_name", F.lower(X.bp_asset_name(F.col("description"), F.col("registration"), F.col("driver"), F.col("card"))))
-    j = join_by_card(own, assets).join(best, ["import_id", "user_id", "card"], "left").join(by_name, ["user_id", "_name"], "left")
+    if "born" in assets.columns:
+        named = _matched(own.join(best, ["import_id", "user_id", "card"], "left"), assets, low, "_best", "_by_best").drop("_best")
+    else:
+        best = best.join(one_per_key(assets, low, "_best"), ["user_id", "_best"]).select("import_id", "user_id", "card", F.col("asset_id").alias("_by_best"))
+        named = own.join(best, ["import_id", "user_id", "card"], "left")
+    j = join_by_card(_matched(named, assets, low, "_name", "_a"), assets)
     return j.withColumn("asset_id", F.when(F.col("card") != "", F.coalesce("asset_id", "_by_best", "_a"))).drop("_by_best", "_a", "_name")
 
 
@@ -82,22 +98,54 @@ def new_pending_bp(rows: DataFrame, assets: DataFrame, ignored: DataFrame) -> Da
     return fresh.select("import_id", "user_id", "asset_name", X.detect_asset_type(F.col("type_hint")).alias("asset_type"), F.lit(None).cast("string").alias("registration"), F.lit("bp").alias("source"), raw.alias("raw_data"))
 
 
+def _unborn(found: DataFrame, assets: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows of ``found`` (user_id, received_at, import_id and ``name``) whose account has no asset of that key yet."""
+    first = assets.withColumn(name, key).filter(F.col(name) != "").groupBy("user_id", name).agg(F.min("born").alias("_born"))
+    late = F.col("_born").isNull() | (F.col("_born") > F.struct("received_at", "import_id"))
+    return found.join(first, ["user_id", name], "left").filter(late).drop("_born")
+
+
+def unseen_names(rows: DataFrame, assets: DataFrame, ignored: DataFrame, source: str, name: str = "vehicle_name") -> DataFrame:
+    """Per import: the first row of each name that is no asset by then (``born``) and not ignored, as a pending asset."""
+    n = F.col(name)
+    first = rows.filter(F.coalesce(name, F.lit("")) != "").groupBy("import_id", "received_at", "user_id", name).agg(F.min_by(F.struct("pos", "registration", F.to_json("rec").alias("raw")), "pos").alias("f"))
+    fresh = _unborn(first, assets, F.col("asset_name"), name).join(ignored.select("user_id", X.js_trim(F.col("asset_name")).alias(name)).distinct(), ["user_id", name], "left_anti")
+    return fresh.select("import_id", "received_at", F.col("f.pos").alias("pos"), "user_id", n.alias("asset_name"), X.detect_asset_type(n).alias("asset_type"), F.nullif("f.registration", F.lit("")).alias("registration"), F.lit(source).alias("source"), F.col("f.raw").alias("raw_data"))
+
+
+def unseen_cards(rows: DataFrame, assets: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Per import of plain BP rows: cards without an asset by then (``born``), whose best name is neither an asset nor ignored, as pending assets."""
+    low = F.lower(X.js_trim(F.col("asset_name")))
+    came = rows.filter(F.col("card") != "").groupBy("import_id", "user_id", "card").agg(F.min("received_at").alias("received_at"), F.min("pos").alias("pos"))
+    best = best_card_detail(rows).join(came, ["import_id", "user_id", "card"]).withColumn("_low", F.lower("asset_name"))
+    fresh = _unborn(_unborn(best, assets, X.card(F.col("bp_card_number")), "card"), assets.withColumn("_low", low).drop("asset_name"), F.col("_low"), "_low")
+    fresh = fresh.join(ignored.select("user_id", low.alias("_low")).distinct(), ["user_id", "_low"], "left_anti")
+    raw = F.to_json(F.struct(F.col("card").alias("cardNumber"), F.col("type_hint").alias("typeHint")))
+    return fresh.select("import_id", "received_at", "pos", "user_id", "asset_name", X.detect_asset_type(F.col("type_hint")).alias("asset_type"), F.lit(None).cast("string").alias("registration"), F.lit("bp").alias("source"), raw.alias("raw_data"))
+
+
+def _arrival(rows: DataFrame) -> Column:
+    """Where a row stands among all: by its file's arrival where rows have it."""
+    return F.struct(*(c for c in ("received_at", "import_id", "pos") if c in rows.columns))
+
+
 def new_stub_assets_bp(rows: DataFrame, assets: DataFrame) -> DataFrame:
     """Assets to create for valid unseen cards. Cards are unique over all accounts: one that any account has is left alone."""
     ok = rows.filter(X.valid_card(F.col("card"))).join(assets.select(X.card(F.col("bp_card_number")).alias("card")).distinct(), "card", "left_anti")
-    first = ok.groupBy("card").agg(F.min_by(F.struct("user_id", "description", "driver"), F.struct("import_id", "pos")).alias("f"))
+    first = ok.groupBy("card").agg(F.min_by(F.struct("user_id", "description", "driver"), _arrival(ok)).alias("f"), F.min(_arrival(ok)).alias("first"))
     name = X.stub_asset_name_bp(F.col("f.description"), F.col("f.driver"), F.col("card"))
-    return first.select("f.user_id", name.alias("asset_name"), X.detect_asset_type(name).alias("asset_type"), F.lit("Diesel").alias("fuel_type"), F.col("card").alias("bp_card_number"))
+    return first.select("f.user_id", name.alias("asset_name"), X.detect_asset_type(name).alias("asset_type"), F.lit("Diesel").alias("fuel_type"), F.col("card").alias("bp_card_number"), "first")
 
 
 def new_stub_assets_mobil(rows: DataFrame, assets: DataFrame) -> DataFrame:
-    """As for BP but within the account, with the fuel type of the card's first known fuel."""
+    """As for BP but within the account, with the fuel type of the card's first known fuel in the file that makes the asset."""
     ok = rows.filter(X.valid_card(F.col("card"))).join(assets.select("user_id", X.card(F.col("mobil_card_number")).alias("card")).distinct(), ["user_id", "card"], "left_anti")
-    order = F.struct("import_id", "pos")
-    first = ok.groupBy("user_id", "card").agg(F.min_by("description", order).alias("description"), F.min(F.when(X.mobil_fuel_product(F.col("product")), F.struct("import_id", "pos", "product"))).alias("fuel"))
+    order = _arrival(ok)
+    first = ok.groupBy("user_id", "card").agg(F.min_by("description", order).alias("description"), F.min(F.when(X.mobil_fuel_product(F.col("product")), F.struct(order.alias("at"), "product"))).alias("fuel"), F.min(order).alias("first"))
     name = X.stub_asset_name_mobil(F.col("description"), F.col("card"))
-    kind = F.when(F.col("fuel").isNull(), "Diesel").otherwise(X.mobil_fuel_type(F.col("fuel.product")))
-    return first.select("user_id", name.alias("asset_name"), X.detect_asset_type(name).alias("asset_type"), kind.alias("fuel_type"), F.col("card").alias("mobil_card_number"))
+    known = F.col("fuel.at.import_id") == F.col("first.import_id")
+    kind = F.when(known, X.mobil_fuel_type(F.col("fuel.product"))).otherwise("Diesel")
+    return first.select("user_id", name.alias("asset_name"), X.detect_asset_type(name).alias("asset_type"), kind.alias("fuel_type"), F.col("card").alias("mobil_card_number"), "first")
 
 
 def _out_of_band(cost: Column, litres: Column) -> Column:
@@ -139,8 +187,13 @@ def clean_bp(rows: DataFrame) -> DataFrame:
 
 
 def dedup_fuel_rows(rows: DataFrame) -> DataFrame:
-    """Of kept rows with the same asset, day and litres the first stays; the others' reason is 'duplicate'."""
-    w = Window.partitionBy("asset_id", "purchase_date", "litres", F.col("reject_reason").isNull()).orderBy("import_id", "pos")
+    """Of a file's kept rows with the same asset, day and litres the first stays; the others' reason is 'duplicate'.
+
+    A later file with the same purchase is no duplicate: it overwrites the earlier row (see operators.upsert). Every
+    rejected row is a group of its own, so rows of broken files do not meet in one task.
+    """
+    alone = F.when(F.col("reject_reason").isNotNull(), F.col("pos"))
+    w = Window.partitionBy("import_id", "asset_id", "purchase_date", "litres", alone).orderBy("pos")
     again = F.col("reject_reason").isNull() & (F.row_number().over(w) > 1)
     return rows.withColumn("_again", again).withColumn("reject_reason", F.when(F.col("_again"), "duplicate").otherwise(F.col("reject_reason"))).drop("_again")
 

@@ -11,27 +11,27 @@ from ..functions import scalars as X
 DAY = ["asset_id", "record_date"]
 
 
-def daily_idle(events: DataFrame) -> DataFrame:
-    """Idle hours per asset and day from events (asset_id, record_date, duration, unit): minutes only, days above zero."""
+def daily_idle(events: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Idle hours per asset and day (and ``more`` columns) from events (asset_id, record_date, duration, unit): minutes only, days above zero."""
     unit = F.lower(X.js_trim(F.coalesce("unit", F.lit(""))))
     ok = events.filter(F.col("record_date").isNotNull() & F.col("duration").isNotNull() & unit.isin("", "min"))
-    return ok.groupBy(*DAY).agg(F.sum("duration").alias("idle_minutes")).filter("idle_minutes > 0").select(*DAY, (F.col("idle_minutes") / 60).alias("idle_hours"))
+    return ok.groupBy(*more, *DAY).agg(F.sum("duration").alias("idle_minutes")).filter("idle_minutes > 0").select(*more, *DAY, (F.col("idle_minutes") / 60).alias("idle_hours"))
 
 
-def idle_plausibility(daily: DataFrame) -> DataFrame:
+def idle_plausibility(daily: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Impossible days lose their hours; high ones are flagged."""
     h = F.col("idle_hours")
     flag = F.when(h > S.MAX_IDLE_HOURS, "impossible").when(h > S.HIGH_IDLE_HOURS, "high")
-    return daily.select(*DAY, F.when(h <= S.MAX_IDLE_HOURS, h).alias("idle_hours"), flag.alias("idle_flag"))
+    return daily.select(*more, *DAY, F.when(h <= S.MAX_IDLE_HOURS, h).alias("idle_hours"), flag.alias("idle_flag"))
 
 
-def daily_mileage(rows: DataFrame) -> DataFrame:
+def daily_mileage(rows: DataFrame, file: tuple[str, ...] = ("import_id", "user_id")) -> DataFrame:
     """Greatest distance per asset and day (exports overlap) and where it first appears; only days above zero.
 
     ``rows``: (import_id, user_id, asset_id, record_date, distance, pos).
     """
     ok = rows.filter(F.col("record_date").isNotNull() & F.col("distance").isNotNull())
-    return ok.groupBy("import_id", "user_id", *DAY).agg(F.max("distance").alias("distance"), F.min("pos").alias("first_pos")).filter("distance > 0")
+    return ok.groupBy(*file, *DAY).agg(F.max("distance").alias("distance"), F.min("pos").alias("first_pos")).filter("distance > 0")
 
 
 def latest_odometer(telematics: DataFrame, zero_is_missing: bool = False) -> DataFrame:

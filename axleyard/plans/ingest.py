@@ -12,7 +12,7 @@ from ..functions import scalars as X
 from ..operators import resolve
 from ..operators import telematics as T
 from ..operators import upsert as U
-from ..operators.ingest import ingest_files
+from ..operators.ingest import MADE, ingest_files
 from ..sources import files as Z
 from ..sources import records as R
 from ..streaming import jobs
@@ -188,7 +188,7 @@ def _(f: Fleet):
 _C1 = "c1 AS (SELECT c.*, a.asset_id FROM card_rows c LEFT JOIN (SELECT user_id, bp_card_number AS card, max(asset_id) AS asset_id FROM assets GROUP BY ALL) a ON a.user_id = c.user_id AND a.card = c.card)"
 _FUEL = "product IN ('NZ Diesel', 'NZ Ultimate Diesel', 'NZ Ultimate', 'NZ Premium Unleaded', 'NZ Unleaded')"
 _CLEAN = f"""{_C1}, c2 AS (SELECT *, CASE WHEN card = '' OR litres <= 0 THEN 'bad_key' WHEN cost IS NULL THEN 'no_cost' WHEN NOT {_FUEL} THEN 'not_fuel' WHEN cost / litres < 0.5e0 OR cost / litres > 6 THEN 'price_out_of_band' WHEN asset_id IS NULL THEN 'no_asset' END AS r FROM c1),
-  c3 AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY asset_id, purchase_date, litres, r IS NULL ORDER BY import_id, n) > 1 THEN 'duplicate' ELSE r END AS reject_reason FROM c2)"""
+  c3 AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY import_id, asset_id, purchase_date, litres, r IS NULL ORDER BY n) > 1 THEN 'duplicate' ELSE r END AS reject_reason FROM c2)"""
 
 
 def _cleaned(f: Fleet):
@@ -225,7 +225,7 @@ def _mobil(f: Fleet):
 
 @query("clean_mobil", f"""WITH m1 AS (SELECT c.*, a.asset_id, {_MOBIL} AS p, cost - CASE WHEN n % 3 <> 0 THEN tax ELSE 0 END AS c2 FROM card_rows c LEFT JOIN (SELECT user_id, mobil_card_number AS card, max(asset_id) AS asset_id FROM assets GROUP BY ALL) a ON a.user_id = c.user_id AND a.card = regexp_replace(c.card, '^BP', 'MB')),
   m2 AS (SELECT *, CASE WHEN card = '' OR litres <= 0 THEN 'bad_key' WHEN c2 IS NULL THEN 'no_cost' WHEN p IN ('Shop', 'Car Wash') THEN 'not_fuel' WHEN c2 / litres < 0.5e0 OR c2 / litres > 6 THEN 'price_out_of_band' WHEN asset_id IS NULL THEN 'no_asset' END AS r FROM m1)
-  SELECT import_id, n AS pos, c2 AS cost_nzd, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY asset_id, purchase_date, litres, r IS NULL ORDER BY import_id, n) > 1 THEN 'duplicate' ELSE r END AS reject_reason FROM m2""", "cost_nzd")
+  SELECT import_id, n AS pos, c2 AS cost_nzd, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY import_id, asset_id, purchase_date, litres, r IS NULL ORDER BY n) > 1 THEN 'duplicate' ELSE r END AS reject_reason FROM m2""", "cost_nzd")
 def _(f: Fleet):
     return resolve.clean_mobil(resolve.join_by_card(_mobil(f), f.assets, "mobil_card_number")).select("import_id", "pos", "cost_nzd", "reject_reason")
 
@@ -235,52 +235,101 @@ def _(f: Fleet):
     return R.typed(_recorded(f.mobil_files(_mobil(f))), "mobil").select("import_id", "pos", "card", "purchase_date", "litres", "total", "gst", "product", "description", "odometer")
 
 
-_FOLDER = f"""va AS MATERIALIZED (SELECT * FROM assets WHERE asset_id % 13 <> 0), cr AS MATERIALIZED (SELECT * FROM card_rows),
-  st AS MATERIALIZED (SELECT card, arg_min(user_id, (import_id, n)) AS user_id FROM cr WHERE card NOT IN ('', 'null') AND card NOT IN (SELECT bp_card_number FROM va) GROUP BY card),
-  ka AS MATERIALIZED (SELECT user_id, bp_card_number AS card, cast(max(asset_id) AS varchar) AS k FROM va GROUP BY ALL UNION ALL SELECT user_id, card, concat('new ', card) FROM st),
+#: Minutes after ten at which each kind of file comes in: plain card exports first, so that their cards are unseen.
+_CAME = {"bp": 0, "bp_transaction": 1, "mobil": 2, "mileage": 3, "idle": 4, "exec_summary": 5, "unknown": 6}
+_IGNORED = "SELECT user_id, concat('d', cast(asset_id AS string)) AS asset_name FROM assets WHERE asset_id % 3 = 0 UNION ALL SELECT user_id, concat(' V', cast(asset_id AS string)) FROM assets WHERE asset_id % 26 = 0"
+#: va: assets there are. j: card rows of all three feeds (kind f) with their asset, by number or as 'new' and its card. rows_: every parsed row.
+_FOLDER = f"""va AS MATERIALIZED (SELECT * FROM assets WHERE asset_id % 13 <> 0), cr AS MATERIALIZED (SELECT * FROM card_rows), ign AS MATERIALIZED (SELECT user_id, lower(trim(asset_name)) AS nm, trim(asset_name) AS exact FROM ({_IGNORED}) i),
+  st AS MATERIALIZED (SELECT card, arg_min(user_id, (import_id, n)) AS user_id, arg_min(CASE WHEN description NOT IN ('', 'JOHN SMITH') THEN trim(description) WHEN driver NOT IN ('', 'Mary Jones') THEN driver ELSE concat('Card ••••', right(card, 4)) END, (import_id, n)) AS name FROM cr WHERE card NOT IN ('', 'null') AND card NOT IN (SELECT bp_card_number FROM va) GROUP BY card),
+  kv AS MATERIALIZED (SELECT user_id, bp_card_number AS card, cast(max(asset_id) AS varchar) AS k FROM va GROUP BY ALL), ka AS MATERIALIZED (SELECT * FROM kv UNION ALL SELECT user_id, card, concat('new ', card) FROM st),
   km AS MATERIALIZED (SELECT user_id, mobil_card_number AS card, cast(max(asset_id) AS varchar) AS k FROM va WHERE mobil_card_number IS NOT NULL GROUP BY ALL),
   mr AS MATERIALIZED (SELECT *, regexp_replace(card, '^BP', 'MB') AS mc, {_MOBIL} AS p, cost - CASE WHEN n % 3 <> 0 THEN tax ELSE 0 END AS c2 FROM cr),
-  j AS (SELECT 1 AS f, c.import_id, n, purchase_date, litres, ka.k, CASE WHEN c.card = '' OR litres <= 0 THEN 'bad_key' WHEN cost IS NULL THEN 'no_cost' WHEN NOT {_FUEL} THEN 'not_fuel' WHEN cost / litres < 0.5e0 OR cost / litres > 6 THEN 'price_out_of_band' WHEN k IS NULL THEN 'no_asset' END AS r FROM cr c LEFT JOIN ka ON ka.user_id = c.user_id AND ka.card = c.card
-    UNION ALL SELECT 2, m.import_id, n, purchase_date, litres, coalesce(km.k, CASE WHEN m.card NOT IN ('', 'null') THEN concat('new ', cast(m.user_id AS varchar), mc) END) AS k2, CASE WHEN m.card = '' OR litres <= 0 THEN 'bad_key' WHEN c2 IS NULL THEN 'no_cost' WHEN p IN ('Shop', 'Car Wash') THEN 'not_fuel' WHEN c2 / litres < 0.5e0 OR c2 / litres > 6 THEN 'price_out_of_band' WHEN k2 IS NULL THEN 'no_asset' END FROM mr m LEFT JOIN km ON km.user_id = m.user_id AND km.card = m.mc),
-  rows_ AS (SELECT f, import_id, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY f, k, purchase_date, litres, r IS NULL ORDER BY import_id, n) > 1 THEN 'duplicate' ELSE r END AS r FROM j
+  j AS MATERIALIZED (SELECT 1 AS f, c.import_id, n, c.user_id, purchase_date, litres, cost AS c2, ka.k, CASE WHEN c.card = '' OR litres <= 0 THEN 'bad_key' WHEN cost IS NULL THEN 'no_cost' WHEN NOT {_FUEL} THEN 'not_fuel' WHEN cost / litres < 0.5e0 OR cost / litres > 6 THEN 'price_out_of_band' WHEN k IS NULL THEN 'no_asset' END AS r FROM cr c LEFT JOIN ka ON ka.user_id = c.user_id AND ka.card = c.card
+    UNION ALL SELECT 2, m.import_id, n, m.user_id, purchase_date, litres, c2, coalesce(km.k, CASE WHEN m.card NOT IN ('', 'null') THEN concat('new mobil ', mc) END) AS k2, CASE WHEN m.card = '' OR litres <= 0 THEN 'bad_key' WHEN c2 IS NULL THEN 'no_cost' WHEN p IN ('Shop', 'Car Wash') THEN 'not_fuel' WHEN c2 / litres < 0.5e0 OR c2 / litres > 6 THEN 'price_out_of_band' WHEN k2 IS NULL THEN 'no_asset' END FROM mr m LEFT JOIN km ON km.user_id = m.user_id AND km.card = m.mc
+    UNION ALL SELECT 7, c.import_id, n, c.user_id, purchase_date, litres, cost, kv.k, CASE WHEN c.card = '' THEN 'no_card' WHEN kv.k IS NULL THEN 'no_asset' WHEN NOT {_FUEL} THEN 'not_fuel' WHEN cost IS NOT NULL AND litres > 0 AND (cost / litres < 0.5e0 OR cost / litres > 6) THEN 'price_out_of_band' END FROM cr c LEFT JOIN kv ON kv.user_id = c.user_id AND kv.card = c.card),
+  jr AS MATERIALIZED (SELECT *, CASE WHEN r IS NULL AND f <> 7 AND row_number() OVER (PARTITION BY f, import_id, k, purchase_date, litres, r IS NULL ORDER BY n) > 1 THEN 'duplicate' ELSE r END AS r2 FROM j),
+  cardless AS MATERIALIZED (SELECT import_id, user_id, card, arg_min(CASE WHEN driver <> '' THEN driver ELSE card END, (CASE WHEN driver <> '' THEN 0 ELSE 1 END, n)) AS asset_name, min(n) AS n FROM cr WHERE card <> '' AND (user_id, card) NOT IN (SELECT user_id, bp_card_number FROM va) GROUP BY ALL),
+  unseen AS MATERIALIZED (SELECT 0 AS came, 7 AS f, import_id, c.user_id, asset_name, n, 'bp' AS source, card AS t FROM cardless c WHERE (user_id, lower(asset_name)) NOT IN (SELECT user_id, nm FROM ign)
+    UNION ALL SELECT 3, 3, asset_id, user_id, concat('V', cast(asset_id AS varchar)) AS v, 0, 'navman-mileage', '' FROM mileage_rows WHERE asset_id % 13 = 0 AND (user_id, v) NOT IN (SELECT user_id, exact FROM ign) GROUP BY ALL
+    UNION ALL SELECT 4, 4, asset_id * 100000 + year(record_date) % 1000 * 100 + month(record_date), user_id, concat('V', cast(asset_id AS varchar)) AS v, 0, 'navman-idle', '' FROM idle_rows WHERE asset_id % 13 = 0 AND (user_id, v) NOT IN (SELECT user_id, exact FROM ign) GROUP BY ALL),
+  rows_ AS (SELECT f, import_id, r2 AS r FROM jr
     UNION ALL SELECT 3, asset_id, CASE WHEN distance IS NULL OR distance <= 0 THEN 'bad_row' WHEN asset_id % 13 = 0 THEN 'no_asset' END FROM mileage_rows
     UNION ALL SELECT 4, asset_id * 100000 + year(record_date) % 1000 * 100 + month(record_date), CASE WHEN duration IS NULL OR duration <= 0 OR lower(trim(unit)) NOT IN ('', 'min') THEN 'bad_row' WHEN asset_id % 13 = 0 THEN 'no_asset' END FROM idle_rows
-    UNION ALL SELECT 5, (source_id // 10000 * 10 + user_id) * 100000 + date_diff('day', date '2000-01-01', record_date), CASE WHEN vehicle_name = '' OR total_minutes = 0 THEN 'bad_row' END FROM exec_rows),
-  per AS (SELECT f, import_id, count(*) FILTER (r IS NULL) AS ok, count(*) FILTER (r <> 'duplicate') AS bad FROM rows_ GROUP BY ALL)
-  SELECT import_id * 10 + f AS import_id, CASE f WHEN 1 THEN 'bp_transaction' WHEN 2 THEN 'mobil' WHEN 3 THEN 'mileage' WHEN 4 THEN 'idle' ELSE 'exec_summary' END AS format, CASE WHEN ok = 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN ok = 0 THEN 'No valid records to import' END AS error_message, ok AS records_upserted, bad AS rows_skipped FROM per
-  UNION ALL SELECT n_nationkey * 10 + 6, 'unknown', 'unrecognized', NULL, NULL, NULL FROM nation"""
+    UNION ALL SELECT 5, (source_id // 10000 * 10 + user_id) * 100000 + date_diff('day', date '2000-01-01', record_date), CASE WHEN vehicle_name = '' OR total_minutes = 0 THEN 'bad_row' END FROM exec_rows)"""
 
 
 def _folder(f: Fleet):
     """One folder of files of all formats, and what it is taken in over."""
     parts = [f.card_files(), f.mobil_files(_mobil(f)), f.mileage_files(), f.idle_files(), f.exec_files()]
     parts.append(f.table("nation").select(F.col("n_nationkey").alias("import_id"), F.lit(0).cast("long").alias("user_id"), F.concat_ws(",", "n_name", F.lit("x")).alias("raw_csv")))
+    parts.append(f.bp_files())
     files = None
-    for k, p in enumerate(parts, 1):
+    for k, (p, kind) in enumerate(zip(parts, ("bp_transaction", "mobil", "mileage", "idle", "exec_summary", "unknown", "bp")), 1):
         name = F.col("filename") if "filename" in p.columns else F.lit("report.csv")
-        p = p.select((F.col("import_id").cast("long") * 10 + k).alias("import_id"), F.col("user_id").cast("long").alias("user_id"), name.alias("filename"), F.lit("2024-06-30 12:00:00").cast("timestamp").alias("received_at"), "raw_csv")
+        p = p.select((F.col("import_id").cast("long") * 10 + k).alias("import_id"), F.col("user_id").cast("long").alias("user_id"), name.alias("filename"), F.lit(f"2024-06-30 10:{_CAME[kind]:02}:00").cast("timestamp").alias("received_at"), "raw_csv")
         files = p if files is None else files.unionByName(p)
     assets = f.assets.filter("asset_id % 13 <> 0").select("asset_id", "user_id", F.expr(_FEED).alias("asset_name"), "asset_type", "fuel_type", "bp_card_number", "mobil_card_number", "current_odometer")
-    return files, assets, f.ignored.limit(0), f.sql(_TARGET), f.fuel_purchases.limit(0)
+    return files, assets, f.sql(_IGNORED), f.sql(_TARGET), f.fuel_purchases.limit(0)
 
 
-@query("ingest_mixed_folder", f"WITH {_FOLDER}")
+@query("ingest_mixed_folder", f"""WITH {_FOLDER}, per AS (SELECT f, import_id, count(*) FILTER (r IS NULL) AS ok, count(*) FILTER (r <> 'duplicate') AS bad FROM rows_ GROUP BY ALL), q AS (SELECT f, import_id, count(*) AS pending_added FROM unseen GROUP BY ALL)
+  SELECT import_id * 10 + f AS import_id, CASE f WHEN 1 THEN 'bp_transaction' WHEN 2 THEN 'mobil' WHEN 3 THEN 'mileage' WHEN 4 THEN 'idle' WHEN 5 THEN 'exec_summary' ELSE 'bp' END AS format, CASE WHEN ok = 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN ok = 0 THEN 'No valid records to import' END AS error_message, ok AS records_upserted, bad AS rows_skipped, coalesce(pending_added, 0) AS pending_added, NULL AS detected_category, NULL AS detected_headers
+  FROM per LEFT JOIN q USING (f, import_id) UNION ALL SELECT n_nationkey * 10 + 6, 'unknown', 'unrecognized', NULL, NULL, NULL, NULL, 'unknown', concat(n_name, ',x') FROM nation""")
 def _(f: Fleet):
     """Status of every file of a folder of all formats, taken in at once; unseen cards become assets first."""
     return ingest_files(*_folder(f)).status
 
 
-_KEPT_EXEC = "SELECT source_id AS asset_id, record_date, total_minutes, coalesce(idle_minutes, 0) AS idle FROM exec_rows WHERE vehicle_name <> '' AND total_minutes <> 0"
+_KEPT_EXEC = "SELECT source_id AS asset_id, record_date, total_minutes, coalesce(idle_minutes, 0) AS idle, distance FROM exec_rows WHERE vehicle_name <> '' AND total_minutes <> 0"
 
 
 @query("ingest_mixed_telematics", f"""WITH ex AS MATERIALIZED ({_KEPT_EXEC}), idl AS MATERIALIZED (SELECT asset_id, record_date, sum(duration) / 60 AS h FROM idle_rows WHERE duration IS NOT NULL AND lower(trim(unit)) IN ('', 'min') AND asset_id % 13 <> 0 GROUP BY ALL HAVING sum(duration) > 0 AND sum(duration) / 60 <= 24),
-  mil AS MATERIALIZED (SELECT DISTINCT asset_id, record_date FROM mileage_rows WHERE distance > 0 AND asset_id % 13 <> 0)
-  SELECT asset_id, record_date, CASE WHEN ex.asset_id IS NOT NULL THEN (total_minutes - idle) / 60 ELSE t.operating_hours END AS operating_hours, CASE WHEN idl.asset_id IS NOT NULL THEN idl.h WHEN ex.asset_id IS NOT NULL THEN idle / 60 ELSE t.idle_hours END AS idle_hours,
-    CASE WHEN mil.asset_id IS NOT NULL OR ex.asset_id IS NOT NULL THEN NULL ELSE t.litres_consumed END AS litres_consumed
-  FROM telematics t FULL JOIN ex USING (asset_id, record_date) FULL JOIN idl USING (asset_id, record_date) FULL JOIN mil USING (asset_id, record_date)""", "operating_hours idle_hours litres_consumed")
+  own AS MATERIALIZED (SELECT asset_id, current_odometer AS own FROM assets), t AS MATERIALIZED ({_TARGET}), last_t AS MATERIALIZED (SELECT asset_id, max(record_date) AS d, max_by(odometer_km, record_date) AS v, max_by(odometer_km, record_date) FILTER (odometer_km <> 0) AS nz FROM t WHERE odometer_km IS NOT NULL GROUP BY ALL),
+  mil AS MATERIALIZED (SELECT m.asset_id, m.record_date, coalesce(nz, own, 0e0) + sum(distance) OVER (PARTITION BY m.asset_id ORDER BY first_pos ROWS UNBOUNDED PRECEDING) AS odo FROM ({MILEAGE}) m LEFT JOIN last_t USING (asset_id) LEFT JOIN own USING (asset_id) WHERE m.asset_id % 13 <> 0),
+  last_m AS MATERIALIZED (SELECT asset_id, max(record_date) AS d, max_by(odo, record_date) AS v FROM mil GROUP BY ALL),
+  base AS MATERIALIZED (SELECT o.asset_id, own, greatest(x.d, y.d) AS d, CASE WHEN y.d IS NOT NULL AND (x.d IS NULL OR y.d >= x.d) THEN y.v ELSE x.v END AS v FROM own o LEFT JOIN last_t x USING (asset_id) LEFT JOIN last_m y USING (asset_id)),
+  ex_odo AS MATERIALIZED (SELECT e.asset_id, e.record_date, CASE WHEN distance > 0 THEN coalesce(v, own) + distance * (1 + count(*) FILTER (d IS NULL OR e.record_date >= d) OVER (PARTITION BY e.asset_id ORDER BY e.record_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS odo FROM ex e JOIN base USING (asset_id))
+  SELECT asset_id, record_date, CASE WHEN ex.asset_id IS NOT NULL THEN (total_minutes - idle) / 60 ELSE t.operating_hours END AS operating_hours, CASE WHEN ex.asset_id IS NOT NULL THEN idle / 60 WHEN idl.asset_id IS NOT NULL THEN idl.h ELSE t.idle_hours END AS idle_hours,
+    CASE WHEN ex.asset_id IS NOT NULL THEN total_minutes / 60 ELSE t.total_engine_hours END AS total_engine_hours, CASE WHEN ex.asset_id IS NOT NULL THEN ex_odo.odo WHEN mil.asset_id IS NOT NULL THEN mil.odo ELSE t.odometer_km END AS odometer_km, CASE WHEN mil.asset_id IS NOT NULL OR ex.asset_id IS NOT NULL THEN NULL ELSE t.litres_consumed END AS litres_consumed
+  FROM t FULL JOIN ex USING (asset_id, record_date) FULL JOIN idl USING (asset_id, record_date) FULL JOIN mil USING (asset_id, record_date) LEFT JOIN ex_odo USING (asset_id, record_date)""", "operating_hours idle_hours total_engine_hours odometer_km litres_consumed")
 def _(f: Fleet):
-    """The telematics table after the same folder: each format writes its own columns."""
-    return ingest_files(*_folder(f)).telematics.select("asset_id", "record_date", "operating_hours", "idle_hours", "litres_consumed")
+    """The telematics table after the same folder: the last file counts for each cell, odometers of both feeds run on from each other."""
+    return ingest_files(*_folder(f)).telematics.select("asset_id", "record_date", "operating_hours", "idle_hours", "total_engine_hours", "odometer_km", "litres_consumed")
+
+
+def _vehicle():
+    """The number of an asset there was, or 'new' and the card of one that the folder made."""
+    new = F.coalesce(F.concat(F.lit("new "), F.col("bp_card_number")), F.concat(F.lit("new mobil "), F.col("mobil_card_number")))
+    return F.when(F.col("asset_id") < MADE, F.col("asset_id").cast("string")).otherwise(new).alias("vehicle")
+
+
+@query("ingest_mixed_fuel", f"""WITH {_FOLDER} SELECT user_id, k AS vehicle, purchase_date, litres, c2 AS cost_nzd, CASE f WHEN 1 THEN 'bp-transaction' WHEN 2 THEN 'mobil' ELSE 'BP CSV' END AS source FROM jr WHERE r2 IS NULL
+  QUALIFY row_number() OVER (PARTITION BY user_id, k, purchase_date, litres ORDER BY f % 7 DESC, import_id DESC, n DESC) = 1""", "litres cost_nzd")
+def _(f: Fleet):
+    """The purchases after the same folder: of the same asset, day and litres the last file's."""
+    got = ingest_files(*_folder(f))
+    names = got.assets.select(F.col("asset_id").alias("vehicle_id"), _vehicle())
+    return got.fuel.join(names, "vehicle_id").select("user_id", "vehicle", "purchase_date", "litres", "cost_nzd", "source")
+
+
+@query("ingest_mixed_assets", f"""WITH {_FOLDER}, new_mobil AS (SELECT m.user_id, mc AS card, CASE WHEN arg_min(description, (import_id, n)) LIKE 'T%' THEN arg_min(description, (import_id, n)) ELSE concat('Card ••••', right(mc, 4)) END AS name, arg_min(p, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) AS fuel, arg_min(import_id, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) = min(import_id) AS own_file
+    FROM mr m LEFT JOIN km ON km.user_id = m.user_id AND km.card = m.mc WHERE m.card NOT IN ('', 'null') AND km.k IS NULL GROUP BY m.user_id, mc)
+  SELECT user_id, cast(asset_id AS varchar) AS vehicle, concat('V', cast(asset_id AS varchar)) AS asset_name, fuel_type FROM va UNION ALL SELECT user_id, concat('new ', card), name, 'Diesel' FROM st UNION ALL SELECT user_id, concat('new mobil ', card), name, CASE WHEN own_file AND fuel = 'Unleaded 91' THEN 'Petrol' ELSE 'Diesel' END FROM new_mobil""")
+def _(f: Fleet):
+    """The assets after the same folder: those there were and one for each unseen card."""
+    got = ingest_files(*_folder(f)).assets
+    return got.select("user_id", _vehicle(), "asset_name", "fuel_type")
+
+
+@query("ingest_mixed_pending", f"WITH {_FOLDER} SELECT import_id * 10 + f AS import_id, user_id, asset_name, source FROM unseen QUALIFY row_number() OVER (PARTITION BY user_id, asset_name ORDER BY came, import_id, n) = 1")
+def _(f: Fleet):
+    """Names and plain cards that wait for review after the same folder: each as the first file had it."""
+    return ingest_files(*_folder(f)).pending.select("import_id", "user_id", "asset_name", "source")
+
+
+@query("ingest_mixed_rejects", f"WITH {_FOLDER} SELECT import_id * 10 + f AS import_id, r AS reject_reason, count(*) AS n_rows FROM rows_ WHERE r IS NOT NULL AND r <> 'duplicate' GROUP BY ALL")
+def _(f: Fleet):
+    return ingest_files(*_folder(f)).rejects
 
 
 _NAME = "trim(CASE WHEN description <> '' THEN description WHEN registration <> '' THEN registration WHEN driver <> '' THEN driver ELSE card END)"
@@ -300,11 +349,10 @@ def _(f: Fleet):
     return resolve.best_card_detail(_cr(f))
 
 
-_THREE = f"""cr AS MATERIALIZED (SELECT *, lower({_NAME}) AS own_nm FROM ({_CR}) c), {_BEST.replace("best AS (", "best AS MATERIALIZED (")}, bn AS MATERIALIZED (SELECT user_id, lower(trim(asset_name)) AS nm, max(asset_id) AS id FROM assets GROUP BY ALL), ig AS MATERIALIZED (SELECT DISTINCT user_id, lower(trim(asset_name)) AS nm FROM ignored),
-  bc AS MATERIALIZED (SELECT user_id, bp_card_number AS card, max(asset_id) AS id FROM assets GROUP BY ALL),
-  best_id AS MATERIALIZED (SELECT b.import_id, b.user_id, b.card, bn.id FROM (SELECT *, lower(asset_name) AS nm FROM best) b JOIN bn ON bn.user_id = b.user_id AND bn.nm = b.nm LEFT JOIN ig ON ig.user_id = b.user_id AND ig.nm = b.nm WHERE ig.nm IS NULL),
-  three AS (SELECT c.*, CASE WHEN c.card <> '' THEN coalesce(bc.id, b1.id, b2.id) END AS asset_id FROM cr c LEFT JOIN bc ON bc.user_id = c.user_id AND bc.card = c.card
-    LEFT JOIN best_id b1 ON b1.import_id = c.import_id AND b1.user_id = c.user_id AND b1.card = c.card LEFT JOIN bn b2 ON b2.user_id = c.user_id AND b2.nm = c.own_nm)"""
+_THREE = f"""nm AS (SELECT concat(user_id, '|', lower(trim(asset_name))) AS k, max(asset_id) AS id FROM assets GROUP BY ALL), bn AS (SELECT * FROM nm WHERE k NOT IN (SELECT concat(user_id, '|', lower(trim(asset_name))) FROM ignored)), bc AS (SELECT concat(user_id, '|', bp_card_number) AS k, max(asset_id) AS id FROM assets GROUP BY ALL),
+  own AS (SELECT *, lower({_NAME}) AS own_nm, CASE WHEN description <> '' THEN 4 WHEN registration <> '' THEN 3 WHEN driver <> '' THEN 2 ELSE 1 END AS name_rank FROM ({_CR}) c),
+  cr AS (SELECT *, first_value(own_nm) OVER (PARTITION BY import_id, user_id, card ORDER BY name_rank DESC, n) AS best_nm FROM own),
+  three AS (SELECT cr.*, CASE WHEN card <> '' THEN coalesce(bc.id, bn.id, nm.id) END AS asset_id FROM cr LEFT JOIN bc ON bc.k = concat(user_id, '|', card) LEFT JOIN bn ON bn.k = concat(user_id, '|', best_nm) LEFT JOIN nm ON nm.k = concat(user_id, '|', own_nm))"""
 
 
 @query("join_assets_card_then_name", f"WITH {_THREE} SELECT import_id, n AS pos, asset_id FROM three")
@@ -340,7 +388,7 @@ def _(f: Fleet):
 
 @query("new_stub_assets_mobil", f"""WITH m AS (SELECT *, regexp_replace(card, '^BP', 'MB') AS mc, {_MOBIL} AS p FROM card_rows WHERE card NOT IN ('', 'null')), o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.user_id = m.user_id AND a.mobil_card_number = m.mc))
   SELECT user_id, mc AS card, CASE WHEN arg_min(description, (import_id, n)) LIKE 'T%' THEN arg_min(description, (import_id, n)) ELSE concat('Card ••••', right(mc, 4)) END AS asset_name,
-    CASE WHEN arg_min(p, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) = 'Unleaded 91' THEN 'Petrol' ELSE 'Diesel' END AS fuel_type FROM o GROUP BY user_id, mc""")
+    CASE WHEN arg_min(p, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) = 'Unleaded 91' AND arg_min(import_id, (import_id, n)) FILTER (p NOT IN ('Shop', 'Car Wash')) = min(import_id) THEN 'Petrol' ELSE 'Diesel' END AS fuel_type FROM o GROUP BY user_id, mc""")
 def _(f: Fleet):
     return resolve.new_stub_assets_mobil(_mobil(f), f.assets).select("user_id", F.col("mobil_card_number").alias("card"), "asset_name", "fuel_type")
 
@@ -382,8 +430,9 @@ def _(f: Fleet):
 
     n = f.mileage_rows.select("asset_id").distinct().count()
     files = jobs.read_file_stream(spark, f"{path}/in/*", -(-n // 2)).withColumn("filename", F.concat("filename", F.md5("raw_csv")))
-    jobs.stream_ingest(files, assets, account, f"{path}/table", f"{path}/state").awaitTermination()
-    return jobs.telematics_table(spark, f"{path}/table").select("asset_id", "record_date", "odometer_km")
+    store = jobs.fleet_store(spark, f"{path}/tables", assets)
+    jobs.stream_ingest(files, store, account, f"{path}/state").awaitTermination()
+    return store.read("telematics", store.manifest()).select("asset_id", "record_date", "odometer_km")
 
 
 @query("stream_running_odometer", f"SELECT m.asset_id, record_date, coalesce(a.current_odometer, 0e0) + sum(distance) OVER (PARTITION BY m.asset_id ORDER BY import_id, first_pos ROWS UNBOUNDED PRECEDING) AS odometer_km FROM ({MILEAGE}) m LEFT JOIN assets a USING (asset_id)", "odometer_km")

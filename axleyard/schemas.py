@@ -4,6 +4,7 @@ from __future__ import annotations
 
 TELEMATICS = "user_id long, asset_id long, record_date date, operating_hours double, idle_hours double, total_engine_hours double, odometer_km double, litres_consumed double"
 FUEL_PURCHASES = "user_id long, vehicle_id long, purchase_date date, litres double, cost_nzd double, odometer_reading double, source string"
+ASSETS = "asset_id long, user_id long, asset_name string, asset_type string, fuel_type string, bp_card_number string, mobil_card_number string, current_odometer double"
 OEM_UPLOAD = "asset_name string, record_date date, total_engine_hours double, operating_hours double, idle_hours double, litres_consumed double, odometer_km double"
 PENDING_ASSETS = "user_id long, asset_name string, asset_type string, registration string, source string, raw_data string"
 CALIBRATION_INTERVALS = "asset_id long, interval_start_date date, interval_end_date date, distance_km double, litres double, idle_hours double, included boolean, exclusion_reason string"

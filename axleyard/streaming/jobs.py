@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import schemas as S
-from ..operators import telematics as T
 from ..operators import upsert as U
-from ..operators.ingest import ingest_files
-from ..operators.resolve import join_by_name
-from ..sources import records
+from ..operators.ingest import CELLS, take_in
+from ..sources.versioned import VersionedTables
 from ..tables import cut
 
 
@@ -25,59 +23,82 @@ def read_file_stream(spark: SparkSession, path: str, files_per_batch: int | None
     return s.select(F.url_decode("_metadata.file_name").alias("filename"), F.col("_metadata.file_modification_time").alias("received_at"), F.col("value").alias("raw_csv"))
 
 
-def mileage_rows(files: DataFrame) -> DataFrame:
-    """Parsed rows of mileage files: import_id, received_at, user_id, vehicle_name, record_date, distance, pos."""
-    r = records.typed(records.recorded(files.withColumn("import_id", F.col("filename"))), "mileage")
-    return r.select("import_id", "received_at", "user_id", "vehicle_name", "record_date", "distance", "pos")
+#: Tables that a stream of files keeps. readings: of each asset and month the last odometer, and the last that is not 0.
+STORE = {
+    "telematics": S.TELEMATICS, "readings": "asset_id long, record_date date, odometer_km double", "fuel": S.FUEL_PURCHASES, "assets": S.ASSETS, "pending": "import_id string, " + S.PENDING_ASSETS,
+    "status": "import_id string, format string, status string, error_message string, detected_category string, detected_headers string, records_upserted long, rows_skipped long, pending_added long", "rejects": "import_id string, reject_reason string, n_rows long",
+}
+STORE_KEYS = {"telematics": "asset_id", "readings": "asset_id", "fuel": "vehicle_id", "assets": "asset_id", "pending": "user_id", "status": "import_id", "rejects": "import_id"}
 
 
-def mileage_batch(files: DataFrame, assets: DataFrame, telematics: DataFrame) -> DataFrame:
-    """The telematics table after the mileage files of one batch: odometers run on from the table's latest."""
-    daily = T.daily_mileage(join_by_name(mileage_rows(files), assets).filter("asset_id is not null"))
-    came = files.select(F.col("filename").alias("import_id"), "received_at").distinct()
-    odo = T.running_odometer(daily.join(came, "import_id"), telematics, assets)
-    return U.upsert_telematics(telematics, odo, ["odometer_km", "litres_consumed"])
+def month(day: str) -> Column:
+    return F.date_format(day, "yyyy-MM")
 
 
-def telematics_table(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame:
-    """The telematics table kept by stream_ingest under ``table_path``: of each month the last version, or the last below ``before``."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    at = jvm.Path(f"{table_path}/month=*/v=*")
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
-    last: dict[str, int] = {}
-    for status in found:  # a few names a month
-        month, v = status.getPath().getParent().getName().split("=")[1], int(status.getPath().getName().split("=")[1])
-        if before is None or v < before:
-            last[month] = max(v, last.get(month, -1))
-    paths = [f"{table_path}/month={month}/v={v}" for month, v in sorted(last.items())]
-    return spark.read.schema(S.TELEMATICS).parquet(*paths) if paths else spark.createDataFrame([], S.TELEMATICS)
+def last_readings(telematics: DataFrame) -> DataFrame:
+    """Of each asset and month the last odometer, and the last that is not 0."""
+    row = F.struct("record_date", "odometer_km")
+    seen = telematics.filter("odometer_km IS NOT NULL").groupBy("asset_id", month("record_date").alias("month")).agg(F.max(row).alias("a"), F.max(F.when(F.col("odometer_km") != 0, row)).alias("b"))
+    both = seen.select("asset_id", F.explode(F.array_distinct(F.filter(F.array("a", "b"), lambda x: x.isNotNull()))).alias("r"))
+    return both.select("asset_id", "r.record_date", "r.odometer_km")
 
 
-def stream_ingest(files: DataFrame, assets: DataFrame, account: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str, rows: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = mileage_batch) -> StreamingQuery:
-    """Takes arriving files into a telematics table kept by month under ``table_path`` (read it with telematics_table).
+def fleet_store(spark: SparkSession, path: str, assets: DataFrame | None = None, telematics: DataFrame | None = None, fuel: DataFrame | None = None) -> VersionedTables:
+    """The tables under ``path``; where there are none yet they begin with ``assets``, ``telematics`` and ``fuel`` as version 0."""
+    store = VersionedTables(spark, path, STORE, STORE_KEYS)
+    if not store.versions():
+        begin = {}
+        if telematics is not None:
+            begin |= {"telematics": (telematics, month("record_date")), "readings": (last_readings(telematics), month("record_date"))}
+        if fuel is not None:
+            begin["fuel"] = (fuel, month("purchase_date"))
+        columns = [c.split()[0] for c in S.ASSETS.split(", ")]
+        kept = {} if assets is None else {"assets": assets.select(*(F.col(c) if c in assets.columns else F.lit(None).alias(c) for c in columns))}
+        store.commit(0, begin, kept)
+    return store
 
-    A batch writes a new version of the months that its files touch and of no other, from the versions before its
-    own, so one that runs again after a failure writes the same rows. ``account`` adds user_id to the files; ``rows``
-    gives the table after a batch: of mileage files, or of all formats (report_batch).
+
+def _months(rows: DataFrame, day: str) -> set[str]:
+    return {r[0] for r in rows.select(month(day)).distinct().collect()}  # a few for each batch
+
+
+def take_batch(files: DataFrame, store: VersionedTables, version: int, ignored: DataFrame) -> None:
+    """Takes a batch of files of all formats (FILE_COLUMNS, raw_csv) into ``store`` as ``version``.
+
+    Only the months that the batch has rows of are read and written, besides assets, pending assets and, for the odometers to
+    run on from, the last readings of other months.
     """
+    if version in store.versions():
+        return
+    old = store.manifest(version)
+    read: dict[str, list[str]] = {}
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        session = df.sparkSession
-        old = telematics_table(session, table_path, batch_id)
-        new = cut(rows(account(df), assets, old).withColumn("month", F.coalesce(F.date_format("record_date", "yyyy-MM"), F.lit("none"))))
-        plain = [c.split()[0] for c in S.TELEMATICS.split(", ")]
-        # months with a row that the table did not have as it is now
-        touched = new.select(*plain).exceptAll(old.select(*plain)).select(F.coalesce(F.date_format("record_date", "yyyy-MM"), F.lit("none")).alias("month")).distinct()
-        out = new.join(F.broadcast(touched), "month", "left_semi").withColumn("v", F.lit(batch_id))
-        out.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "v").parquet(table_path)
+    def readings(steps: DataFrame) -> DataFrame:
+        months = read["steps"] = _months(steps, "record_date")
+        return store.read("telematics", old, months).select("asset_id", "record_date", "odometer_km").unionByName(store.read("readings", old, but=months))
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    t = take_in(files, store.read("assets", old), ignored, store.read("pending", old), readings)
+    days, buys = _months(t.cells, "record_date"), _months(t.bought, "purchase_date")
+    telematics = cut(U.upsert_cells(store.read("telematics", old, days), t.cells, CELLS))
+    fuel = U.upsert_fuel(store.read("fuel", old, buys), t.bought.withColumn("batch_seq", F.lit(0)))
+    by = month("record_date")
+    note = {"read_bytes": {"telematics": store.bytes_of("telematics", old, days | read["steps"]), "fuel": store.bytes_of("fuel", old, buys)}, "months": {"telematics": sorted(days), "fuel": sorted(buys)}}
+    store.commit(version, {"telematics": (telematics, by), "readings": (last_readings(telematics), by), "fuel": (fuel, month("purchase_date"))}, {"assets": t.made, "pending": t.queued, "status": t.status, "rejects": t.rejects}, note)
 
 
-def report_batch(files: DataFrame, assets: DataFrame, telematics: DataFrame) -> DataFrame:
-    """The telematics table after one batch of files of all formats (fuel rows and pending assets are ingest_files' other results)."""
-    none = files.sparkSession.createDataFrame([], S.FUEL_PURCHASES)
-    return ingest_files(files.withColumn("import_id", F.col("filename")), assets, assets.select("user_id", "asset_name").limit(0), telematics, none).telematics
+def stream_ingest(files: DataFrame, store: VersionedTables, account: Callable[[DataFrame], DataFrame], checkpoint: str, ignored: DataFrame | None = None) -> StreamingQuery:
+    """Takes arriving files of all formats into ``store``, each batch as one version.
+
+    ``account`` adds user_id to the files. A batch that runs again after a failure starts from the version before its own, and
+    one that has been committed does nothing. As files arrive in order, the tables are those of one ingest of all files, however they are batched.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        own = VersionedTables(df.sparkSession, store.path, store.schemas, store.keys)
+        no = df.sparkSession.createDataFrame([], "user_id long, asset_name string")
+        take_batch(cut(account(df.withColumn("import_id", F.col("filename")))), own, batch_id + 1, no if ignored is None else ignored)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class OdometerState(StatefulProcessor):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from axleyard import schemas as S
 from axleyard.operators import costs, resolve, telematics, upsert, utilisation
 from axleyard.plans.fixtures import Fleet
-from axleyard.streaming import jobs
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
 ASSET = "asset_id long, is_on_road boolean, asset_type string, current_odometer double, current_value double, estimated_end_of_life_value double, expected_life_km double, expected_life_hours double, estimated_annual_repair_cost double, estimated_annual_km double, available_hours_per_week double, target_utilisation_percent double, service_cost_per_km double, service_cost_per_hour double"
@@ -78,23 +77,6 @@ def test_split_sums_to_litres(spark):
     assert bad.count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    assets = spark.createDataFrame([(5, 1, "V5", 100.0), (6, 1, "V6", None)], "asset_id long, user_id long, asset_name string, current_odometer double")
-    account = lambda df: df.withColumn("user_id", F.lit(1).cast("long"))
-    run = lambda: jobs.stream_ingest(jobs.read_file_stream(spark, f"file://{tmp_path}/in"), assets, account, f"file://{tmp_path}/table", f"file://{tmp_path}/state").awaitTermination()
-    (tmp_path / "in/a.csv").write_text("Vehicle,ActivityDate,ActualDistance\nV5,01/01/2024,10\nV5,02/01/2024,5\nV5,01/01/2024,8\nnobody,01/01/2024,3\n")
-    run()
-    (tmp_path / "in/b.csv").write_text("note\nVehicle,ActivityDate,ActualDistance\nV5,03/01/2024,7\nV6,03/01/2024,4\nV6,01/02/2024,2\n")
-    run()
-    got = {(r.asset_id, r.record_date.month * 100 + r.record_date.day if r.record_date.month > 1 else r.record_date.day): r.odometer_km for r in jobs.telematics_table(spark, f"file://{tmp_path}/table").collect()}
-    assert got == {(5, 1): 110.0, (5, 2): 115.0, (5, 3): 122.0, (6, 3): 4.0, (6, 201): 6.0}
-    (tmp_path / "in/c.csv").write_text("Vehicle,ActivityDate,ActualDistance\nV5,02/02/2024,1\n")
-    run()
-    assert {p.name: {q.name for q in p.iterdir()} for p in (tmp_path / "table").glob("month=*")} == {"month=2024-01": {"v=0", "v=1"}, "month=2024-02": {"v=1", "v=2"}}
-    assert jobs.telematics_table(spark, f"file://{tmp_path}/table").count() == 6
-
-
 def test_upserts_without_shuffling_the_target(spark):
     old = spark.createDataFrame([(1, a, D(d), 1.0, 2.0, 3.0, 4.0, 5.0) for a in range(5) for d in range(4)], S.TELEMATICS)
     new = spark.createDataFrame([(1, 2, D(1), 9.0, 1), (1, 9, D(1), 8.0, 1)], "user_id long, asset_id long, record_date date, odometer_km double, pos int")
