@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 #: White space that String.trim() of the feeds' origin removes; Spark's trim() only removes blanks.
-_SP = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_WHITE = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER_PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{_SP}+", ""), f"{_SP}+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def _prefix(c: Column) -> Column:
@@ -22,12 +22,12 @@ def _prefix(c: Column) -> Column:
 
 def parse_numeric(c: Column) -> Column:
     """Commas go, then the leading number; null where there is none."""
-    return _prefix(js_trim(F.regexp_replace(c, ",", "")))
+    return _prefix(js_trim(F.translate(c, ",", "")))
 
 
 def parse_currency(c: Column) -> Column:
     """As parse_numeric, and every $ goes."""
-    return _prefix(js_trim(F.regexp_replace(c, "[$,]", "")))
+    return _prefix(js_trim(F.translate(c, "$,", "")))
 
 
 def safe_num(c: Column) -> Column:

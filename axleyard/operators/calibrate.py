@@ -95,24 +95,52 @@ def eligible_intervals(merged: DataFrame, assets: DataFrame) -> DataFrame:
     return inc.join(a, "asset_id")
 
 
-def pooled_fit(intervals: DataFrame, rounds: int = S.POOLED_ROUNDS, tolerance: float = S.POOLED_TOLERANCE) -> tuple[DataFrame, DataFrame]:
+def asset_terms(intervals: DataFrame) -> DataFrame:
+    """Per asset, what a fit needs of its intervals: sums, and for the litres that a class rate leaves over, breakpoints.
+
+    Litres left over at rate r are max(0, litres - r * idle): intervals whose litres an idle hour exceed r count, the others
+    give 0. ``at`` has these breakpoints, descending, ``xy`` and ``xi`` the running sums of distance * litres and distance *
+    idle in that order, so any rate is a binary search.
+    """
+    x, y, idle = F.col("distance_km"), F.col("litres"), F.col("idle_hours")
+    at = F.when(idle > 0, y / idle).when(y > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    rows = intervals.select("user_id", "asset_id", "idle_class", x, y, idle, at.alias("at"))
+    w = Window.partitionBy("asset_id").orderBy(F.desc("at"), "distance_km", "litres").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("at"), "distance_km", "litres")).alias("k"), F.sum(x * y).over(w).alias("xy"), F.sum(x * idle).over(w).alias("xi"))
+    g = rows.groupBy("asset_id").agg(
+        F.first("user_id").alias("user_id"), F.first("idle_class").alias("idle_class"), F.array_sort(F.collect_list(F.struct("k", "at", "xy", "xi"))).alias("p"),
+        F.sum(x * x).alias("sxx"), F.sum(idle * y).alias("siy"), F.sum(idle * x).alias("six"), F.sum(idle * idle).alias("sii"),
+    )
+    return g.select("user_id", "asset_id", "idle_class", *(F.col(f"p.{c}").alias(c) for c in ("at", "xy", "xi")), "sxx", "siy", "six", "sii")
+
+
+def left_over(rate: Column) -> Column:
+    """The sum of distance * max(0, litres - rate * idle hours) of an asset, from its terms."""
+    n = F.size("at")
+    # the number of breakpoints above the rate, found by halving steps
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(24))))
+    above = F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step <= n) & (F.element_at("at", F.least(k + step, n)) > rate), k + step).otherwise(k))
+    return F.when(above > 0, F.element_at("xy", F.greatest(above, F.lit(1))) - rate * F.element_at("xi", F.greatest(above, F.lit(1)))).otherwise(0.0)
+
+
+def pooled_fit(intervals: DataFrame, rounds: int = S.POOLED_ROUNDS, tolerance: float = S.POOLED_TOLERANCE, small_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(asset rates: user_id, asset_id, idle_class, travel_rate; class rates: user_id, idle_class, class_rate).
 
-    Each round refits every asset's travel rate with the class rates held, then every class with the travel
-    rates held; only the class rates, a few numbers an account, are written between rounds. An account whose classes all moved less than ``tolerance`` stays as it is from then on. Classes
-    are summed over assets, not over intervals, so a class with most of the rows is no hot group.
+    Intervals are shuffled once, into a row per asset (see asset_terms). Each round refits every asset's travel rate with the
+    class rates held, then every class with the travel rates held: it reads those rows and exchanges one partial sum for each
+    account and class and task. Up to ``small_rows`` class rates are sent to the assets; beyond, assets are shuffled to them.
+    An account whose classes all moved less than ``tolerance`` stays as it is from then on.
     """
-    iv = cut(intervals.select("user_id", "asset_id", "idle_class", "distance_km", "litres", "idle_hours"))
+    terms = cut(asset_terms(intervals))
     priors = F.array(*(F.struct(F.lit(k).alias("idle_class"), F.lit(prior).alias("class_rate"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, (prior, low, high) in S.IDLE_CLASSES.items()))
-    rates = iv.select("user_id").distinct().select("user_id", F.inline(priors)).withColumn("used", F.col("class_rate")).withColumn("done", F.lit(False))
-    x, idle = F.col("distance_km"), F.col("idle_hours")
+    rates = cut(terms.select("user_id").distinct().select("user_id", F.inline(priors)).withColumn("used", F.col("class_rate")).withColumn("done", F.lit(False)))
+    few = rates.count() <= small_rows
 
     def travel_by(rate: str) -> DataFrame:
         """Every asset's travel rate with the class rates in ``rate`` held, beside the sums that the class rates need."""
-        known = iv.join(rates.select("user_id", "idle_class", rate), ["user_id", "idle_class"])
-        corrected = F.greatest(F.col("litres") - F.col(rate) * idle, F.lit(0.0))
-        g = known.groupBy("user_id", "asset_id", "idle_class").agg(F.sum(x * corrected).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(idle * F.col("litres")).alias("siy"), F.sum(idle * x).alias("six"), F.sum(idle * idle).alias("sii"))
-        return g.withColumn("travel_rate", F.greatest(slope(F.col("sxy"), F.col("sxx")), F.lit(0.0)))
+        known = rates.select("user_id", "idle_class", F.col(rate).alias("rate"))
+        g = terms.join(F.broadcast(known) if few else known, ["user_id", "idle_class"])
+        return g.select("user_id", "asset_id", "idle_class", "siy", "six", "sii", F.greatest(slope(left_over(F.col("rate")), F.col("sxx")), F.lit(0.0)).alias("travel_rate"))
 
     for _ in range(rounds):
         # classes that are done keep the rate they have, so what their assets give them is not looked at

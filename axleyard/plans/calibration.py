@@ -95,12 +95,12 @@ def _(f: Fleet):
 
 @query("missing_weekday_runs", f"WITH {_IV}, {_DAYS}, {_RUNS} SELECT asset_id, seq, cast(max_missing_run AS bigint) AS max_missing_run FROM mr")
 def _(f: Fleet):
-    return I.missing_weekday_runs(I.interval_days(I.build_intervals(f.fuel_purchases), f.telematics), f.holidays)
+    return I.missing_weekday_runs(f.fuel_purchases, f.telematics, f.holidays)
 
 
 @query("missing_odometer_runs", f"WITH {_IV}, {_DAYS}, {_RUNS} SELECT asset_id, seq, cast(max_odometer_run AS bigint) AS max_odometer_run FROM orun")
 def _(f: Fleet):
-    return I.missing_odometer_runs(I.interval_days(I.build_intervals(f.fuel_purchases), f.telematics), f.holidays)
+    return I.missing_odometer_runs(f.fuel_purchases, f.telematics, f.holidays)
 
 
 @query("evaluate_intervals", f"WITH {_EV} SELECT * FROM ev", "distance_km litres idle_hours")

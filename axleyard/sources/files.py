@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -55,11 +55,19 @@ def lines_of(raw: Column) -> Column:
     return F.split(raw, "\r?\n", -1)
 
 
+def _fields(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, ...) with ``fields``, each trimmed; lines without anything in them go.
+
+    The one-row inline keeps the optimiser from parsing a line again where the filter looks at its fields.
+    """
+    fields = F.transform(parse_csv_line(F.col("line")), X.js_trim)
+    return lines.select("*", F.inline(F.array(F.struct(fields.alias("fields"))))).filter(F.exists("fields", lambda f: f != ""))
+
+
 def split_lines(files: DataFrame, raw: str = "raw_csv") -> DataFrame:
-    """One row per line that holds something: ``pos``, ``line``, ``fields``."""
+    """One row per line that holds something: ``pos``, ``line``, ``fields`` (trimmed)."""
     cols = [c for c in files.columns if c != raw]
-    lines = files.select(*cols, F.posexplode(lines_of(F.col(raw))).alias("pos", "line")).filter(X.js_trim(F.col("line")) != "")
-    return lines.withColumn("fields", parse_csv_line(F.col("line"))).filter(F.exists("fields", lambda f: X.js_trim(f) != ""))
+    return _fields(files.select(*cols, F.posexplode(lines_of(F.col(raw))).alias("pos", "line")))
 
 
 def header_position(heads: Column, signature: list[str], limit: int) -> Column:
@@ -115,13 +123,41 @@ def rows_to_record(files: DataFrame, raw: str = "raw_csv") -> DataFrame:
     header = normalize_header(parse_csv_line(F.get(lines_of(F.col(raw)), F.col("header_pos"))))
     # coalesce: a plain comparison makes the optimiser test header_pos for null first, which detects the format twice
     below = F.col("pos") > F.coalesce("header_pos", F.lit(2**31 - 1))
-    body = split_lines(files.withColumn("header", header), raw).filter(below)
+    return _records(split_lines(files.withColumn("header", header), raw).filter(below))
+
+
+def _records(body: DataFrame) -> DataFrame:
+    """Rows (header, fields, ...) as ``rec``."""
     short = F.greatest(F.size("header") - F.size("fields"), F.lit(0))
     values = F.slice(F.concat("fields", F.array_repeat(F.lit(""), short)), F.lit(1), F.size("header"))
-    rec = F.map_filter(F.map_from_arrays("header", F.transform(values, X.js_trim)), lambda k, v: k != "")
+    rec = F.map_filter(F.map_from_arrays("header", values), lambda k, v: k != "")
     return body.withColumn("rec", rec).drop("header", "fields", "line")
 
 
+def read_report_rows(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of report files of any size under ``path``, as rows_to_record has them: filename, received_at, format, ``pos``, ``rec``.
+
+    A file is read by byte ranges (spark.sql.files.maxPartitionBytes), each by a task of its own; ``pos`` grows with the
+    place of a line in its file. Only the first lines of each file are looked at for its format and header, and these
+    travel to the ranges. Files of no known format give no rows.
+    """
+    at = F.col("_metadata.file_block_start")
+    # ranges start at multiples of 4 KB at least, and hold fewer lines than 2**31
+    place = F.shiftleft(F.shiftright(at, 12), 31).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(2**31 - 1)))
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.url_decode("_metadata.file_name").alias("filename"), F.col("_metadata.file_modification_time").alias("received_at"), at.alias("start"), place.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+    most = max(limit for _, limit in S.SIGNATURES.values())
+    # a few lines a file; a window that asks for the first few keeps no more than these in each task
+    first = Window.partitionBy("file").orderBy("pos")
+    heads = lines.filter("start = 0").select("file", "pos", "line").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    heads = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    heads = detect_format(heads.withColumn("raw_csv", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")), order).filter("format <> 'unknown'")
+    head = F.get("ls", F.col("header_pos"))
+    heads = heads.select("file", "format", head["pos"].alias("_from"), normalize_header(parse_csv_line(head["line"])).alias("header"))
+    body = lines.join(heads, "file").filter("pos > _from").select("filename", "received_at", "format", "pos", "header", "line")
+    return _records(_fields(body))
+
+
 def field(name: str) -> Column:
     return F.try_element_at(F.col("rec"), F.lit(name))
 

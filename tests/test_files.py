@@ -91,3 +91,25 @@ def test_factors(spark):
     df = spark.createDataFrame([("Electric", 0.0, "Crane"), (None, None, "Nothing"), ("Petrol", 2.0, None)], "f string, r double, t string")
     got = df.select(X.emission_factor(F.col("f")).alias("f"), X.default_idle_rate(F.col("r"), F.col("t")).alias("r")).collect()
     assert [(x.f, x.r) for x in got] == [(0.0, 4.5), (2.68, 3.0), (2.31, 2.0)]
+
+
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    head = "Card report\r\n\r\nTransaction Effective Date,Card Number,Litres,Customer Value ($),Product,\"Vehicle Description\"\r\n,,,,\r\n"
+    line = lambda k: f'{k % 28 + 1}/3/2024, C{k},{k / 4},"1,{k % 900 + 100}","NZ ""Diesel""",Käfer {k} €\r\n'
+    (tmp_path / "big one.csv").write_bytes(("﻿" + head + "".join(map(line, range(20_000)))).encode())
+    (tmp_path / "miles.csv").write_text("Vehicle,ActivityDate,ActualDistance\nV5,01/01/2024,10\n   \nV5,02/01/2024, 7 ")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    whole = Z.rows_to_record(Z.detect_format(Z.read_raw_files(spark, f"file://{tmp_path}").withColumn("import_id", F.lit(1))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = Z.read_report_rows(spark, f"file://{tmp_path}")
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+        place = lambda df: [(r.filename, r.format, tuple(sorted(r.rec.items()))) for r in df.orderBy("filename", "pos").select("filename", "format", "rec").collect()]
+        rows = place(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == place(whole) and len(rows) == 20_002
+    assert dict(rows[19_999][2])["Vehicle Description"] == "Käfer 19999 €" and dict(rows[5][2])["Product"] == 'NZ "Diesel"'

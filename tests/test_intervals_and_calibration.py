@@ -113,9 +113,64 @@ def test_leave_one_out(spark):
 
 def test_working_days_without_a_table_of_holidays(spark):
     days = spark.sql("SELECT explode(sequence(DATE'2026-04-01', DATE'2026-04-07')) AS record_date")
-    assert sorted(str(r.record_date) for r in I.working_day()(days).collect()) == ["2026-04-01", "2026-04-02", "2026-04-07"]
+    on = lambda w: [str(r.record_date) for r in days.filter(w.on(F.unix_date("record_date"))).orderBy("record_date").collect()]
+    assert on(I.WorkingDays()) == ["2026-04-01", "2026-04-02", "2026-04-07"]
     none = spark.sql("SELECT DATE'2000-01-01' AS holiday_date").limit(0)
-    assert I.working_day(none)(days).count() == 5
+    assert len(on(I.WorkingDays(none))) == 5
+
+
+def longest(days):
+    """By walking: of sorted day numbers, the longest run of those at most three apart."""
+    best = run = 0
+    last = None
+    for d in days:
+        run = run + 1 if last is not None and d - last <= 3 else 1
+        best, last = max(best, run), d
+    return best or None
+
+
+def test_facts_of_intervals_equal_walking_day_by_day(spark):
+    rng = random.Random(11)
+    fills, tel, holidays = [], [], sorted({D(rng.randrange(-5, 400)) for _ in range(40)} | {D(d) for d in range(100, 112)})
+    for a in range(25):
+        fills += [(a, D(rng.randrange(0, 380)), float(rng.randrange(1, 60)), 1.0) for _ in range(rng.randrange(1, 9))]
+        dense = rng.random()
+        tel += [(a, D(d), rng.choice([None, 10.0 * d]), rng.choice([None, 0.5, 2.0])) for d in range(-10, 400) if rng.random() < dense]
+    p = spark.createDataFrame(fills, "vehicle_id long, purchase_date date, litres double, cost_nzd double")
+    got = {(r.asset_id, r.seq): r for r in I.interval_facts(p, spark.createDataFrame(tel, TEL), spark.createDataFrame([(h,) for h in holidays], "holiday_date date")).collect()}
+    at, n = {(a, d): (o, i) for a, d, o, i in tel}, 0
+    for a in range(25):
+        own = sorted(f[1:3] for f in fills if f[0] == a)
+        for k in range(1, len(own)):
+            n += 1
+            start, end, r = own[k - 1][0], own[k][0], got[a, k + 1]
+            days = [start + dt.timedelta(x) for x in range((end - start).days)]
+            work = [d for d in days if d.weekday() < 5 and d not in holidays]
+            number = lambda d: d.toordinal()
+            assert (r.start_date, r.end_date, r.litres) == (start, end, own[k][1])
+            assert r.max_missing_run == longest([number(d) for d in work if (a, d) not in at]), (a, k, start, end)
+            assert r.max_odometer_run == longest([number(d) for d in work if (a, d) in at and at[a, d][0] is None])
+            assert abs(r.idle_hours - sum(at[a, d][1] or 0.0 for d in days if (a, d) in at)) < 1e-9
+            near = [at.get((a, start + dt.timedelta(x)), (None, None))[0] for x in range(4)]
+            assert r.start_odo == next((o for o in near if o is not None), None)
+            near = [at.get((a, end - dt.timedelta(x)), (None, None))[0] for x in range(4)]
+            assert r.end_odo == next((o for o in near if o is not None), None)
+    assert n == len(got) > 60
+
+
+def test_litres_left_over_by_binary_search(spark):
+    rng = random.Random(4)
+    rows = [(1, a, "c", float(rng.randrange(0, 50)), rng.choice([0.0, -3.0, rng.random() * 40]), rng.choice([0.0, rng.random() * 9])) for a in range(30) for _ in range(rng.randrange(1, 40))]
+    terms = K.asset_terms(spark.createDataFrame(rows, "user_id int, asset_id int, idle_class string, distance_km double, litres double, idle_hours double"))
+    for rate in (0.0, 0.7, 3.3, 50.0):
+        for r in terms.select("asset_id", K.left_over(F.lit(rate)).alias("got")).collect():
+            assert abs(r.got - sum(x * max(0.0, y - rate * i) for _, a, _, x, y, i in rows if a == r.asset_id)) < 1e-9
+
+
+def test_rounds_do_not_shuffle_intervals(spark):
+    rows = spark.createDataFrame([(1, 1, "standard_truck", 5.0, 2.0, 1.0)], "user_id int, asset_id int, idle_class string, distance_km double, litres double, idle_hours double")
+    text = K.pooled_fit(rows)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "distance_km" not in text
 
 
 def test_no_machine_local_folder_on_a_cluster():

@@ -5,7 +5,8 @@ import pytest
 from axleyard.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FILES = {"read_raw_files", "read_oem_csv", "export_daily_csv", "stream_ingest", "stream_running_odometer"}
+#: Read files, or scan the odometers of a mixed folder in order.
+FILES = {"ingest_mixed_folder", "ingest_mixed_telematics", "ingest_mixed_fuel", "ingest_mixed_assets", "ingest_mixed_pending", "ingest_mixed_rejects", "read_raw_files", "read_oem_csv", "export_daily_csv", "stream_ingest", "stream_running_odometer"}
 
 
 def plan(df):
@@ -16,7 +17,7 @@ def plan(df):
 def test_no_products_and_no_python(spark, name):
     text = plan(registry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "Python" not in text and "InPandas" not in text and "InArrow" not in text
-    assert "BroadcastNestedLoopJoin" not in text or name in ("ruc_rate", "cost_per_km_report")  # a short table of weight bands
+    assert "BroadcastNestedLoopJoin" not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark):
@@ -34,3 +35,16 @@ def test_windows_of_an_asset_share_one_exchange(spark):
     tel = fills.selectExpr("vehicle_id asset_id", "purchase_date record_date", "litres odometer_km")
     text = plan(intervals_with_odometers(fills, tel))
     assert text.count("Exchange hashpartitioning(asset_id") <= 1 and f is not None
+
+
+def test_intervals_exchange_reports_once_and_no_days(spark):
+    from axleyard.operators import intervals as I
+    from axleyard.plans.fixtures import Fleet
+
+    f = Fleet(spark, SF)
+    fills = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id vehicle_id", "cast(ts as date) purchase_date", "value litres", "value cost_nzd")
+    tel = fills.selectExpr("vehicle_id asset_id", "purchase_date record_date", "litres odometer_km", "cost_nzd idle_hours")
+    text = plan(I.merge_orphaned_litres(I.evaluate_intervals(fills, tel, f.holidays)))
+    assert "Generate" not in text and "Join" not in text
+    # fills are numbered by vehicle before they meet the reports
+    assert text.count("Exchange hashpartitioning(") <= 2
