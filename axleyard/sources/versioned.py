@@ -70,7 +70,7 @@ class VersionedTables:
                 found[d[5:]] = {"v": version, "files": {f"{name}/v={version}/{d}/{x.getPath().getName()}": x.getLen() for x in fs.listStatus(p) if x.getPath().getName()[0] not in "._"}}
         if found:
             key = F.col(self.keys[name])
-            for r in self.spark.read.parquet(folder).groupBy(F.col("part").cast("string").alias("part")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect():  # a row for each partition
+            for r in self.spark.read.schema(f"{self.schemas[name]}, part string").parquet(folder).groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect():  # a row for each partition
                 found[r.part] |= {"rows": r.n, "min": str(r.lo), "max": str(r.hi)}
         return found
 

@@ -182,3 +182,40 @@ def test_no_machine_local_folder_on_a_cluster():
             tables.local_folder(on(master))
     for master in ("local", "local[4]", "local[*]"):
         assert os.path.isdir(tables.local_folder(on(master)))
+
+
+def test_recalibration_by_batch_equals_a_full_run(spark, tmp_path):
+    from axleyard.streaming import calibration as C
+
+    rng = random.Random(8)
+    fills = [(a, D(d), float(rng.randrange(20, 60)), 1.0) for a in range(12) for d in range(0, 160, 9 + a % 4)]
+    tel = [(a, D(d), 50.0 * d + a, 1.0) for a in range(12) for d in range(170)]
+    assets = spark.createDataFrame([(a, 0.3 if a % 2 else None) for a in range(12)], "asset_id long, travel_rate_lpk double")
+    none = spark.createDataFrame([], "holiday_date date")
+    F_, T_ = "vehicle_id long, purchase_date date, litres double, cost_nzd double", TEL
+    store = C.calibration_store(spark, f"file://{tmp_path}/c")
+    late = lambda r: r[0] in (3, 7) and r[1] > D(80)
+    now_f, now_t = [f for f in fills if not late(f)], [t for t in tel if not late(t)]
+    ids = lambda x: spark.createDataFrame([(a,) for a in x], "asset_id long")
+    C.recalibrate(store, 0, ids(range(12)), spark.createDataFrame(now_f, F_), spark.createDataFrame(now_t, T_), assets, none)
+    first = store.manifest()
+    # late rows of two assets, one of them in the middle of what there was
+    fills.append((7, D(40), 33.0, 1.0))
+    p, t = spark.createDataFrame(fills, F_), spark.createDataFrame(tel, T_)
+    C.recalibrate(store, 1, ids([3, 7]), p, t, assets, none)
+    m = store.manifest()
+    moved = {part for part, x in m["tables"]["rates"].items() if x["v"] == 1}
+    assert m["assets"] == 2 and moved == set(m["parts"]) and len(moved) <= 2 and first["tables"]["rates"].keys() == m["tables"]["rates"].keys()
+    merged = I.merge_orphaned_litres(I.evaluate_intervals(p, t, none))
+    rows = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    assert rows(store.read("rates", m)) == rows(K.calibrate_assets(merged, assets))
+    named = merged.withColumnsRenamed({"start_date": "interval_start_date", "end_date": "interval_end_date"})
+    assert rows(store.read("intervals", m)) == rows(named)
+    # the audit keeps the interval that the late fill split
+    kept = {(r.asset_id, r.interval_start_date, r.interval_end_date) for r in store.read("audit", m).collect()}
+    now = {(r.asset_id, r.start_date, r.end_date) for r in merged.collect()}
+    gone = kept - now
+    assert now <= kept and [a for a, s, e in gone] == [7] and all(s < D(40) < e for _, s, e in gone)
+    before = store.manifest()
+    C.recalibrate(store, 1, ids(range(12)), p.limit(0), t, assets, none)
+    assert store.manifest() == before
