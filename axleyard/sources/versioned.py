@@ -59,7 +59,7 @@ class VersionedTables:
 
     def _write(self, name: str, version: int, rows: DataFrame, part) -> dict:
         """Writes ``rows`` as partitions of a version; what the manifest says of them."""
-        columns = [c.split()[0] for c in self.schemas[name].split(", ")]
+        columns = [F.col(c).cast(kind).alias(c) for c, kind in (x.split() for x in self.schemas[name].split(", "))]
         folder = f"{self.path}/{name}/v={version}"
         # rebalance: partitions of many rows spread over files of the advised size
         rows.select(*columns, part.alias("part")).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(folder)
