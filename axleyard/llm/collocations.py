@@ -1,11 +1,13 @@
 """Phrase collocation mining (operator 11): count streams in prefix and in suffix order, merged in lockstep.
 
 1. Words are counted per language. A fixed-size bitmap of the words with ``least`` occurrences tells tasks which
-   positions can belong to a phrase; a second one, of hashed word pairs, cuts the runs of such words where a
-   pair is too rare. Bits that collide only let more through: counts are of the words themselves, and every
-   phrase with ``least`` occurrences consists of words and pairs with as many, so none is lost.
-2. Phrases of 2 to ``longest`` words inside the runs are counted; those with ``least`` occurrences and the words
-   form one stream of counts.
+   positions can belong to a phrase: a phrase with that many consists of words with as many. Bits that collide only
+   let more through; counts are of the words themselves.
+2. Pairs are counted at such positions. Where both pairs of three words have a fifth of ``least`` occurrences, triples are
+   counted by a hash, which bounds their counts from above; where all triples of a phrase may have ``least``, phrases of 3 to
+   ``longest`` words are counted. Both steps go by bitmaps of fixed size. (Pairs much rarer than ``least`` still let
+   triples through, since near that count the number of pairs grows far faster than the text does.)
+   Phrases with ``least`` occurrences and the words form one stream of counts.
 3. The stream is sorted twice, by words from the front (prefix order) and from the back (suffix order). In
    either order a phrase follows its own beginnings (ends), so one pass with a stack of at most ``longest`` open
    entries reads all orders in lockstep: what is open when a phrase comes are its left (right) parts, and what it
@@ -47,7 +49,7 @@ class _Hasher(dict):
         return value
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[_END] = 0
         return np.fromiter(map(self.__getitem__, words), _U, len(words))
@@ -58,7 +60,7 @@ _HASHER = _Hasher()
 
 def _slices(batches, most: int = 1_000_000):
     """Batches (lang, text) -> (lang, words with _END between pieces): about ``most`` bytes each, cut between pieces."""
-    for batch in batches:
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by: dict[str, list[bytes]] = {}
         for lang, text in zip(langs, texts):
@@ -84,7 +86,13 @@ def _counted(counts: dict[str, Counter], name: str):
     return out
 
 
-def _word_counts(limit: int = 300_000):
+def _sliced(batch: pa.RecordBatch, rows: int = 50_000):
+    """Small batches: Spark holds each whole, outside its heap."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def _word_counts(limit: int = 200_000):
     """(lang, text) -> (lang, word, c); the empty word counts all words of the language."""
 
     def run(batches):
@@ -94,8 +102,8 @@ def _word_counts(limit: int = 300_000):
             own.update(words)
             own[b""] += len(words) - own.pop(_END, 0)
             if sum(map(len, counts.values())) > limit:
-                yield _counted(counts, "word")
-        yield _counted(counts, "word")
+                yield from _sliced(_counted(counts, "word"))
+        yield from _sliced(_counted(counts, "word"))
 
     return run
 
@@ -109,62 +117,97 @@ def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
-def _pairs_of(lang: str, words: list[bytes], bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each word and the next one, in one piece, may both be frequent; their keys where so."""
+def _keys(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a key for each word, whether it is one)."""
     h = _HASHER.hashes(words)
-    key = h ^ _lang_hash(lang)
-    ok = (h != 0) & _has(bitmap, key)
-    both = ok[:-1] & ok[1:]
-    return both, mixed(key[:-1][both] * MIX_A + key[1:][both])
+    return h ^ _lang_hash(lang), h != 0
+
+
+def _pairs(lang: str, words: list[bytes], bitmap: np.ndarray) -> np.ndarray:
+    """Where two words in a row, in one piece, may both be frequent."""
+    key, ok = _keys(lang, words)
+    ok &= _has(bitmap, key)
+    return ok[:-1] & ok[1:]
 
 
-def _pair_counts(frequent, limit: int = 2_000_000):
-    """(lang, text) -> (key, c): hashed pairs of words that may be frequent."""
+def _grams(lang: str, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where ``size`` words in a row are in one piece, and a key of 40 bits of each."""
+    key, ok = _keys(lang, words)
+    n = max(len(words) - size + 1, 0)
+    ok, out, all_ = ok[:n].copy(), key[:n].copy(), ok
+    for j in range(1, size):
+        ok &= all_[j : j + n]
+        out *= MIX_A
+        out += key[j : j + n]
+    at = np.flatnonzero(ok)
+    return at, mixed(out[at]) >> _U(24)
 
-    def summed(keys, counts):
-        key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        return key, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
-    def out(key, count):
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], names=["key", "c"])
+def _pair_counts(frequent, limit: int = 400_000):
+    """(lang, text) -> (lang, phrase, c): pairs of words that may be frequent."""
 
     def run(batches):
         bitmap = np.frombuffer(frequent.value, _U)
-        keys, counts, held = [], [], 0
+        counts: dict[str, Counter] = {}
+        for lang, words in _slices(batches):
+            own = counts.setdefault(lang, Counter())
+            own.update([words[i] + b" " + words[i + 1] for i in np.flatnonzero(_pairs(lang, words, bitmap)).tolist()])
+            if sum(map(len, counts.values())) > limit:
+                yield from _sliced(_counted(counts, "phrase"))
+        yield from _sliced(_counted(counts, "phrase"))
+
+    return run
+
+
+def _pair_keys(batches):
+    """Pairs (lang, phrase) -> (key)."""
+    for batch in batches:
+        keys = [_grams(lang, phrase.split(b" "), 2)[1] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, _U)]).view(np.int64))], names=["key"])
+
+
+def _triple_counts(pairs, limit: int = 1_000_000):
+    """(lang, text) -> (key, c): hashed triples both of whose pairs may be frequent."""
+
+    def out(keys):
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        keys.clear()
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], names=["key", "c"])
+
+    def run(batches):
+        bitmap, keys = np.frombuffer(pairs.value, _U), []
         for lang, words in _slices(batches):
-            key, count = np.unique(_pairs_of(lang, words, bitmap)[1], return_counts=True)
-            keys.append(key), counts.append(count)
-            held += len(key)
-            if held > limit:
-                key, count = summed(keys, counts)
-                if len(key) > limit // 2:
-                    yield out(key, count)
-                    keys, counts, held = [], [], 0
-                else:
-                    keys, counts, held = [key], [count], len(key)
+            two = np.zeros(len(words), bool)
+            at, key = _grams(lang, words, 2)
+            two[at] = _has(bitmap, key)
+            at, key = _grams(lang, words, 3)
+            keys.append(key[two[at] & two[at + 1]])
+            if sum(map(len, keys)) > limit:
+                yield from _sliced(out(keys))
         if keys:
-            yield out(*summed(keys, counts))
+            yield from _sliced(out(keys))
 
     return run
 
 
-def _phrase_counts(frequent, pairs, longest: int, limit: int = 300_000):
-    """(lang, text) -> (lang, phrase, c): phrases of 2 to ``longest`` words all of whose words and pairs may be frequent."""
+def _long_counts(triples, longest: int, limit: int = 200_000):
+    """(lang, text) -> (lang, phrase, c): phrases of 3 to ``longest`` words all of whose triples may be frequent."""
 
     def run(batches):
-        one, two = (np.frombuffer(b.value, _U) for b in (frequent, pairs))
+        bitmap = np.frombuffer(triples.value, _U)
         counts: dict[str, Counter] = {}
         for lang, words in _slices(batches):
-            both, key = _pairs_of(lang, words, one)
-            both[both] = _has(two, key)
-            here, own = both, counts.setdefault(lang, Counter())
-            for k in range(2, longest + 1):
-                if k > 2:
-                    here = here[:-1] & both[k - 2 :]
+            all_ = np.zeros(len(words), bool)
+            at, key = _grams(lang, words, 3)
+            all_[at] = _has(bitmap, key)
+            here, own = all_, counts.setdefault(lang, Counter())
+            for k in range(3, longest + 1):
+                if k > 3:
+                    here = here[:-1] & all_[k - 3 :]
                 own.update([b" ".join(words[i : i + k]) for i in np.flatnonzero(here).tolist()])
             if sum(map(len, counts.values())) > limit:
-                yield _counted(counts, "phrase")
-        yield _counted(counts, "phrase")
+                yield from _sliced(_counted(counts, "phrase"))
+        yield from _sliced(_counted(counts, "phrase"))
 
     return run
 
@@ -255,13 +298,18 @@ def phrase_counts(docs: DataFrame, keep: Scratch, least: int = 100, longest: int
     words = keep.written(words.filter((F.col("f") >= least) | (F.col("word") == "")))
     key = F.xxhash64("word").bitwiseXOR(F.xxhash64("lang")).alias("key")
     frequent = bitmap_of(words.filter("word <> ''").select(key), bits)
-    paired = texts.mapInArrow(_pair_counts(frequent), "key long, c long").groupBy("key").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    pairs = bitmap_of(paired.select("key"), bits)
-    phrased = texts.mapInArrow(_phrase_counts(frequent, pairs, longest), "lang string, phrase binary, c long")
-    phrases = phrased.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    phrases = keep.written(phrases)
-    frequent.destroy(), pairs.destroy()
-    return words, phrases
+    kind = "lang string, phrase binary, c long"
+    # tasks have summed what they could: no second sum before the exchange, which would only hold memory
+    short = texts.mapInArrow(_pair_counts(frequent), kind).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    short = keep.written(short.filter(F.col("f") >= max(least // 5, 1)))
+    pairs = bitmap_of(short.select("lang", "phrase").mapInArrow(_pair_keys, "key long"), bits)
+    counted = texts.mapInArrow(_triple_counts(pairs), "key long, c int").repartition("key").groupBy("key").agg(F.sum("c").alias("f"))
+    triples = bitmap_of(counted.filter(F.col("f") >= least).select("key"), bits)
+    long = texts.mapInArrow(_long_counts(triples, longest), kind).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    phrases = keep.written(short.unionByName(long).filter(F.col("f") >= least))
+    for sent in (frequent, pairs, triples):
+        sent.destroy()
+    return words, phrases.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def collocations(
