@@ -383,8 +383,9 @@ def near_duplicates(
 
 
 def near_result(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, on 2-word shingles."""
-    return near_duplicates(docs, width=2).select(F.col("_ax_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    """doc_id, n_shingles, component_id, kept (the id is the component's), on 2-word shingles."""
+    kept = F.col("_ax_id").eqNullSafe(F.col("component_id"))
+    return near_duplicates(docs, width=2).select(F.col("_ax_id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:

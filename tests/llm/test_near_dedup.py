@@ -141,3 +141,10 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     base = [f"q{i}" for i in range(60)]
     docs = frame(spark, [(None, " ".join(base)), (None, " ".join([*base, "end"])), (5, " ".join(x + "z" for x in base)), (5, " ".join([*(x + "z" for x in base), "end"])), (None, None)])
     assert sorted(str(r.doc_id) for r in near_dedup.keep_one_of_each(docs).collect()) == ["5", "None", "None"]
+
+
+def test_kept_means_the_id_is_the_components(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text + " more"), (2, text + " more"), (3, "something else"), (None, text)]
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup.near_result(frame(spark, rows)).collect())
+    assert got == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
