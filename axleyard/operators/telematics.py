@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import scalars as X
+from .scan import running_sum
 
 DAY = ["asset_id", "record_date"]
 
@@ -44,15 +45,19 @@ def latest_engine_hours(telematics: DataFrame) -> DataFrame:
     return telematics.filter(F.col("total_engine_hours").isNotNull()).groupBy("asset_id").agg(F.max_by("total_engine_hours", "record_date").alias("total_engine_hours"))
 
 
-def running_odometer(mileage: DataFrame, telematics: DataFrame, assets: DataFrame) -> DataFrame:
+def running_odometer(mileage: DataFrame, telematics: DataFrame, assets: DataFrame, range_rows: int | None = None) -> DataFrame:
     """Cumulative odometer per asset in the order in which days appear in the files, from its latest reading.
 
     ``mileage``: daily_mileage with received_at; imports of an asset apply in the order they came. A latest
-    reading of 0 is missing; then the asset's own odometer, then 0, is the base.
+    reading of 0 is missing; then the asset's own odometer, then 0, is the base. With ``range_rows`` an asset's rows are
+    spread over tasks of about as many (for assets that many exports repeat); without it they are one window.
     """
     base = F.coalesce(F.nullif("_latest", F.lit(0.0)), F.col("current_odometer"), F.lit(0.0))
     j = mileage.join(latest_odometer(telematics, True).select("asset_id", F.col("odometer_km").alias("_latest")), "asset_id", "left")
     j = j.join(assets.select("asset_id", "current_odometer"), "asset_id", "left")
+    if range_rows:
+        j = running_sum(running_sum(j.withColumn("_one", F.lit(1)), "asset_id", ["received_at", "import_id", "first_pos"], "distance", "_km", range_rows), "asset_id", ["received_at", "import_id", "first_pos"], "_one", "_n", range_rows)
+        return j.select("import_id", "user_id", *DAY, (base + F.col("_km")).alias("odometer_km"), F.lit(None).cast("double").alias("litres_consumed"), F.col("_n").cast("int").alias("pos"))
     w = Window.partitionBy("asset_id").orderBy("received_at", "import_id", "first_pos").rowsBetween(Window.unboundedPreceding, 0)
     order = Window.partitionBy("asset_id").orderBy("received_at", "import_id", "first_pos")
     return j.select("import_id", "user_id", *DAY, (base + F.sum("distance").over(w)).alias("odometer_km"), F.lit(None).cast("double").alias("litres_consumed"), F.row_number().over(order).alias("pos"))

@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from axleyard import schemas as S
-from axleyard.operators import costs, resolve, telematics, upsert, utilisation
+from axleyard.operators import costs, resolve, scan, telematics, upsert, utilisation
 from axleyard.plans.fixtures import Fleet
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
@@ -62,6 +63,23 @@ def test_running_odometer_in_file_order(spark):
     assets = spark.createDataFrame([(5, 70.0), (6, None)], "asset_id int, current_odometer double")
     got = {(r.asset_id, r.record_date): r.odometer_km for r in telematics.running_odometer(m, tel, assets).collect()}
     assert got == {(5, D(1)): 110.0, (5, D(0)): 115.0, (5, D(2)): 116.0, (6, D(0)): 2.0}
+    rows = lambda n: sorted(map(tuple, telematics.running_odometer(m, tel, assets, n).collect()))
+    assert rows(1) == rows(None)
+
+
+def test_running_sums_spread_over_tasks(spark):
+    rng = random.Random(1)
+    rows = [(1 if k % 3 else k % 17 + 2, k % 5, rng.randrange(10**6), float(rng.randrange(100))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "asset_id int, a int, b int, km double").dropDuplicates(["asset_id", "a", "b"])
+    own = scan.running_sum(df, "asset_id", ["a", "b"], "km", "run", range_rows=100)
+    want, run = {}, {}
+    for r in sorted(df.collect()):
+        want[r.asset_id, r.a, r.b] = run[r.asset_id] = run.get(r.asset_id, 0.0) + r.km
+    assert {(r.asset_id, r.a, r.b): r.run for r in own.collect()} == want
+    # two thirds of the rows are one asset's, yet no window holds more than a range
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" in plan and own.columns == [*df.columns, "run"]
+    assert scan.running_sum(df.limit(0), "asset_id", ["a", "b"], "km", "run").count() == 0
 
 
 def test_utilisation_statuses(spark):
