@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -216,3 +217,20 @@ def test_every_word_is_in_a_window():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         s = toxicity.windows_of(n)
         assert {w for a in s for w in range(a, min(n, a + toxicity.WINDOW))} == set(range(n))
+
+
+def test_the_order_of_words_decides():
+    """Two words that are as frequent in either class: only their order tells the classes apart."""
+
+    def planted(seed, n):
+        r, texts, y = random.Random(seed), [], []
+        for k in range(n):
+            words = [f"w{r.randrange(60)}" for _ in range(r.randrange(20, 60))]
+            a = r.randrange(len(words) - 2)
+            words[a : a + 2] = ["kill", "time"] if k % 3 == 0 else ["time", "kill"]
+            texts.append(" ".join(words).encode()), y.append(int(k % 3 == 0))
+        return texts, np.array(y)
+
+    held, z = planted(2, 300)
+    scores = toxicity.train(*planted(1, 900)).scores(held)
+    assert ((scores >= 0.5) == z).mean() > 0.97
