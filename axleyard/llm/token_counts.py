@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import SPACE, shared_dir, slices, text_key, text_or_empty, written
+from .common import SPACE, crc_bucket, shared_dir, slices, text_key, text_or_empty, written
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -81,6 +81,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     return keyed.join(counts, "digest", "left").select(F.col("_ax_id").alias(id_col), "n_bytes", "n_tokens")
 
 
-def counts_result(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row."""
-    return count_tokens(docs, tokenizer_path).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+def counts_result(docs: DataFrame, tokenizer_path: str, limit: int = 2048, parts: int = 2) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row.
+
+    The rows are counted in ``parts`` by a hash of their ids, as batches that come in one after another: each part meets the
+    cache that those before it filled, and encodes only what they lack.
+    """
+    cache, out = shared_dir(docs.sparkSession), None
+    for k in range(parts):
+        own = docs.filter(crc_bucket("doc_id", parts) == k)
+        rows = count_tokens(own, tokenizer_path, cache)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

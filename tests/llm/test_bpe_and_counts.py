@@ -61,3 +61,15 @@ def test_cached_count_is_used(spark, tmp_path):
     other = f"file://{tmp_path}/other"
     spark.createDataFrame([(stored.tokenizer, bytes(stored.digest), 77)], token_counts.CACHE_SCHEMA).write.parquet(other)
     assert token_counts.count_tokens(docs, PATH, other).first().n_tokens == 77
+
+
+def test_parts_of_a_query_meet_what_earlier_ones_stored(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_counts, "shared_dir", lambda _: f"file://{tmp_path}/cache")
+    rows = [(i, f"text number {i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = sorted(map(tuple, token_counts.counts_result(docs, PATH, parts=1).collect()))
+    monkeypatch.setattr(token_counts, "shared_dir", lambda _: f"file://{tmp_path}/cache4")
+    assert sorted(map(tuple, token_counts.counts_result(docs, PATH, parts=4).collect())) == once and len(once) == 60
+    stored = spark.read.parquet(f"file://{tmp_path}/cache4")
+    # every part holds most texts, yet each was encoded and stored once
+    assert stored.count() == stored.select("digest").distinct().count() == 7
