@@ -48,7 +48,7 @@ def parse_csv_line(line: Column) -> Column:
 
 
 def normalize_header(fields: Column) -> Column:
-    return F.transform(fields, lambda h: X.js_trim(F.regexp_replace(h, r"^\uFEFF", "")))
+    return F.transform(fields, X.js_trim)  # a byte order mark is white space there
 
 
 def lines_of(raw: Column) -> Column:
@@ -129,8 +129,9 @@ def rows_to_record(files: DataFrame, raw: str = "raw_csv") -> DataFrame:
 def _records(body: DataFrame) -> DataFrame:
     """Rows (header, fields, ...) as ``rec``."""
     short = F.greatest(F.size("header") - F.size("fields"), F.lit(0))
-    values = F.slice(F.concat("fields", F.array_repeat(F.lit(""), short)), F.lit(1), F.size("header"))
-    rec = F.map_filter(F.map_from_arrays("header", values), lambda k, v: k != "")
+    padded = F.slice(F.concat("fields", F.array_repeat(F.lit(""), short)), F.lit(1), F.size("header"))
+    whole = F.map_from_arrays("header", F.when(F.size("fields") == F.size("header"), F.col("fields")).otherwise(padded))
+    rec = F.when(F.array_contains("header", F.lit("")), F.map_filter(whole, lambda k, v: k != "")).otherwise(whole)
     return body.withColumn("rec", rec).drop("header", "fields", "line")
 
 
