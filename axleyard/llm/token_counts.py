@@ -52,15 +52,13 @@ def _count(tokenizer_path: str, slice_bytes: int = 2_000_000):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_bytes`` and ``n_tokens``.
+def _keyed(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str, text_col: str) -> DataFrame:
+    """(_ax_id, keeper, key, n_bytes, digest) of each row; by then the cache holds the counts of all their digests.
 
-    ``cache_path`` holds the counts between runs; without it a new cache is begun in the shared folder.
     Texts move once, and only to pick one row for each distinct digest that the cache lacks.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    cache_path = cache_path or shared_dir(spark)
     text = text_or_empty(text_col)
     normal = F.trim(F.regexp_replace(text, SPACE + "+", " "))
     lowest = F.lit(-(2**63))
@@ -77,8 +75,27 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     todo = texts.join(misses.distinct().hint("shuffle_hash"), ["keeper", "key"]).select("digest", "text")
     fresh = todo.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest", "left").select(F.col("_ax_id").alias(id_col), "n_bytes", "n_tokens")
+    return keyed
+
+
+def _counts(spark, tokenizer_path: str, cache_path: str) -> DataFrame:
+    """(digest, n_tokens) as the cache is now.
+
+    Its files are named one by one: two reads of one folder at different times would count as the same in a plan.
+    """
+    files = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).inputFiles()
+    held = spark.read.schema(CACHE_SCHEMA).parquet(*files) if files else spark.createDataFrame([], CACHE_SCHEMA)
+    return held.filter(F.col("tokenizer") == tokenizer_digest(tokenizer_path)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id, ``n_bytes`` and ``n_tokens``.
+
+    ``cache_path`` holds the counts between runs; without it a new cache is begun in the shared folder.
+    """
+    cache_path = cache_path or shared_dir(docs.sparkSession)
+    keyed = _keyed(docs, tokenizer_path, cache_path, id_col, text_col)
+    return keyed.join(_counts(docs.sparkSession, tokenizer_path, cache_path), "digest", "left").select(F.col("_ax_id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def counts_result(docs: DataFrame, tokenizer_path: str, limit: int = 2048, parts: int = 2) -> DataFrame:
@@ -87,9 +104,9 @@ def counts_result(docs: DataFrame, tokenizer_path: str, limit: int = 2048, parts
     The rows are counted in ``parts`` by a hash of their ids, as batches that come in one after another: each part meets the
     cache that those before it filled, and encodes only what they lack.
     """
-    cache, out = shared_dir(docs.sparkSession), None
+    cache, keyed = shared_dir(docs.sparkSession), None
     for k in range(parts):
-        own = docs.filter(crc_bucket("doc_id", parts) == k)
-        rows = count_tokens(own, tokenizer_path, cache)
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        own = _keyed(docs.filter(crc_bucket("doc_id", parts) == k), tokenizer_path, cache, "doc_id", "text")
+        keyed = own if keyed is None else keyed.unionByName(own)
+    out = keyed.join(_counts(docs.sparkSession, tokenizer_path, cache), "digest", "left")
+    return out.select(F.col("_ax_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -51,6 +51,8 @@ def test_counts_and_cache(spark, awkward, nothing, sample, tmp_path):
     assert token_counts.count_tokens(nothing, PATH, cache).count() == 0
     r = token_counts.counts_result(sample, PATH).collect()
     assert all(x.over_limit == (x.n_tokens > 2048) for x in r) and len(r) == sample.count()
+    texts = {x.doc_id: x.text for x in sample.collect()}
+    assert [x.n_tokens for x in r] == [e[0] for e in expected([texts[x.doc_id] for x in r])]
 
 
 def test_cached_count_is_used(spark, tmp_path):
@@ -71,5 +73,6 @@ def test_parts_of_a_query_meet_what_earlier_ones_stored(spark, monkeypatch, tmp_
     monkeypatch.setattr(token_counts, "shared_dir", lambda _: f"file://{tmp_path}/cache4")
     assert sorted(map(tuple, token_counts.counts_result(docs, PATH, parts=4).collect())) == once and len(once) == 60
     stored = spark.read.parquet(f"file://{tmp_path}/cache4")
+    assert not [r for r in once if r[2] is None]
     # every part holds most texts, yet each was encoded and stored once
     assert stored.count() == stored.select("digest").distinct().count() == 7
