@@ -346,3 +346,17 @@ def _ranked(both: DataFrame, keep: Scratch, share: int, top: int, salts: int) ->
     out = keep.written(out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
     keep.clear(but=out)
     return out
+
+
+#: The same rows in DuckDB, from all phrases of all documents.
+SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+  g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(ws) >= k),
+  f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100), n AS MATERIALIZED (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+  c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+  longer AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, array_to_string(ws[1:k - 1], ' ') AS phrase, a FROM c UNION ALL SELECT lang, array_to_string(ws[2:k], ' '), a FROM c) x GROUP BY ALL),
+  cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n.n, (1000::hugeint * c.a * n.n) // (x.a::hugeint * y.a) AS score FROM c, range(1, 5) t(j), f x, f y, n
+    WHERE j < c.k AND n.lang = c.lang AND x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:c.k], ' ')),
+  best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score FROM best LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR m < a
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""

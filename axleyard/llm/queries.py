@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.sql(), "op4_line_dedup": line_dedup.SQL}
+    return {"op3_license_scan": licenses.sql(), "op4_line_dedup": line_dedup.SQL, "op11_collocations": collocations.SQL}

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import xxhash
 from pyspark.sql import functions as F
 
@@ -68,6 +69,9 @@ def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang").collect()]
     want = brute(rows)
     assert want and got(op11_collocations(spark, sf)) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert sorted(con.sql(f"SELECT lang, rank, phrase, a, l, r, n, score FROM ({collocations.SQL})").fetchall()) == want
 
 
 def test_awkward_and_empty_tables(spark, awkward, nothing):
