@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -113,3 +114,18 @@ def test_large_files_are_read_by_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert rows == place(whole) and len(rows) == 20_002
     assert dict(rows[19_999][2])["Vehicle Description"] == "Käfer 19999 €" and dict(rows[5][2])["Product"] == 'NZ "Diesel"'
+
+
+def test_lines_of_any_quotes_equal_a_scan(spark):
+    lines = ["".join(t) for n in range(7) for t in itertools.product('a,"', repeat=n)] + ['"' + '""' * 100_000 + ',x",y', '"\r,￿"￾,z']
+    rows = spark.createDataFrame([(t,) for t in lines], "line string").select("line", Z.parse_csv_line(F.col("line")).alias("f")).collect()
+    for r in rows:
+        assert r.f == plain_split(r.line), r.line[:20]
+
+
+def test_numbers_behind_white_space_and_commas(spark):
+    cases = {"1,234.5x": 1234.5, "﻿ \t7": 7.0, " ,+.5e1 ": 5.0, "x1": None, "": None, "1 2": 1.0, "-3.": -3.0, "$4": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.parse_numeric(F.col("t")).alias("n"), X.parse_currency(F.concat(F.lit("$ "), "t")).alias("c")).collect()
+    for r in rows:
+        assert r.n == cases[r.t]
+        assert r.c == (4.0 if r.t == "$4" else cases[r.t])

@@ -48,3 +48,15 @@ def test_intervals_exchange_reports_once_and_no_days(spark):
     assert "Generate" not in text and "Join" not in text
     # fills are numbered by vehicle before they meet the reports
     assert text.count("Exchange hashpartitioning(") <= 2
+
+
+def test_card_files_meet_one_exchange_and_one_detection(spark):
+    text = plan(registry.queries()["rows_to_record"](spark, SF))
+    assert text.count("Exchange ") == 1
+    assert text.count("array_except([Transaction Date") == 1
+
+
+def test_ingest_steps_are_columns(spark):
+    """What an ingest stores of each row is read back by column."""
+    text = plan(registry.queries()["ingest_mixed_rejects"](spark, SF))
+    assert "ReadSchema: struct<import_id:bigint,reject_reason:string>" in text and "ExistingRDD" not in text
