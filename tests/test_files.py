@@ -129,3 +129,15 @@ def test_numbers_behind_white_space_and_commas(spark):
     for r in rows:
         assert r.n == cases[r.t]
         assert r.c == (4.0 if r.t == "$4" else cases[r.t])
+
+
+def test_reports_are_one_file_each_and_found_in_folders(spark, tmp_path):
+    from axleyard.plans.ingest import _delivered
+
+    files = spark.createDataFrame([(i, f"a,b\r\n{i},2\r\n") for i in range(40)], "import_id long, raw_csv string").repartition(3, "import_id")
+    _delivered(files, f"file://{tmp_path}/in")
+    made = [p for p in (tmp_path / "in").rglob("*") if p.is_file() and p.name != "_SUCCESS"]
+    assert len(made) == 40 and not any(p.name.endswith(".crc") for p in made)
+    assert len({p.parent for p in made}) == 40
+    got = Z.read_raw_files(spark, f"file://{tmp_path}/in")
+    assert got.columns == ["filename", "received_at", "raw_csv"] and sorted(r.raw_csv.split()[1] for r in got.collect()) == sorted(f"{i},2" for i in range(40))
