@@ -60,3 +60,9 @@ def test_ingest_steps_are_columns(spark):
     """What an ingest stores of each row is read back by column."""
     text = plan(registry.queries()["ingest_mixed_rejects"](spark, SF))
     assert "ReadSchema: struct<import_id:bigint,reject_reason:string>" in text and "ExistingRDD" not in text
+
+
+def test_card_matching_reads_one_exchange_of_the_rows(spark):
+    text = plan(registry.queries()["clean_bp"](spark, SF))
+    rows = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "l_suppkey" in line]
+    assert rows and all("REPARTITION_BY_NUM" in line for line in rows)
