@@ -11,7 +11,8 @@ each block with the totals of what it sent. The block builds the automaton of th
 and traverses them all in step. So no task, and not the driver, holds the corpus' model, and what is shuffled grows
 with the distinct n-grams per block. Words have 64-bit keys; longer n-grams have as many bits as number the corpus' bytes
 and 18 more (63 at most), so that at every size up to 32 TB fewer than one in 250,000 shares its key with another and
-has their counts added up; past that, one in 80,000 at 100 TB. Two numbers alone, N and V, are counted before, by a plain grouping of words.
+has their counts added up; past that, one in 80,000 at 100 TB. Two numbers alone, N and V, are of the whole corpus: each shard
+sums up its own words, and the sums of all shards are sent to the blocks with the answers.
 
 Defined results: a null text is an empty one: it holds the end token only. Null ids hash as ''. Each row in
 gives one row out, repeated rows too (and each counts as training text). With no training text at all
@@ -87,6 +88,17 @@ class BlockTokens:
         return out
 
 
+def distinct_grams(tokens: BlockTokens, grams: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``distinct`` gives for each of ``grams``. Words are numbered already, so only different ones are sorted again."""
+    at = np.full(len(tokens.words), -1)
+    at[tokens.flat] = np.arange(len(tokens.flat))
+    used = at[at >= 0]
+    uniq, inverse, first = distinct(grams[0][used])
+    place = np.empty(len(at), np.int64)
+    place[tokens.flat[used]] = inverse
+    return [(uniq, place[tokens.flat], used[first]), *map(distinct, grams[1:])]
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys, the place of each key among them, a position of each)."""
     at = np.argsort(keys)
@@ -139,15 +151,6 @@ def _read(table: pa.Table):
     return pick(ids), np.array(pick(held), bool), pick(texts)
 
 
-def _word_counts(batches):
-    """Texts -> (hash, count) of their words and end marks, summed over up to 4 MB of text."""
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in slices([len(t) for t in texts], 4_000_000):
-            words, n = np.unique(np.concatenate([np.r_[_WORDS.hashes(t.lower().split()), END] for t in texts[a:b]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-
 def _asked(order: int, shards: int, bits: int):
     """A block -> one row for each shard it has n-grams of: their sorted distinct keys and their counts in its training texts."""
 
@@ -157,12 +160,11 @@ def _asked(order: int, shards: int, bits: int):
         tokens = BlockTokens(texts)
         train = np.repeat(~held, tokens.lengths)
         keys, counts = [], []
-        for key in tokens.grams(order, bits):
-            uniq, inverse, _ = distinct(key)
+        for uniq, inverse, _ in distinct_grams(tokens, tokens.grams(order, bits)):
             n = np.bincount(inverse[train], minlength=len(uniq))
             keys.append(uniq[uniq > 0]), counts.append(n[uniq > 0])
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        at = np.argsort(keys)
+        at = np.argsort(keys, kind="stable")  # merges sorted runs
         keys, counts = keys[at], counts[at]
         cuts = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
         rows = [(s, block, _packed_keys(keys[a:b]), _packed_counts(counts[a:b])) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
@@ -176,17 +178,25 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """A shard -> one row for each block: totals in the order of the keys it sent."""
+    """A shard -> one row for each block: totals in the order of the keys it sent. The first row has the shard's training tokens and how many distinct words they are."""
     keys = [_unpacked_keys(x) for x in table.column("keys").to_pylist()]
     counts = [_unpacked_counts(x) for x in table.column("counts").to_pylist()]
     uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, keys)])
+    words = totals[uniq & np.uint64(1) == 1]
+    once = lambda x: pa.array([int(x)] + [0] * (len(keys) - 1), pa.int64())
     return pa.table({
-        "_ax_block": table.column("_ax_block"), "shard": table.column("shard"), "totals": pa.array([_packed_counts(totals[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+        "_ax_block": table.column("_ax_block"), "shard": table.column("shard"), "totals": pa.array([_packed_counts(totals[inverse[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()), "n": once(words.sum()), "v": once(np.count_nonzero(words)),
     })
 
 
+def _sums(batches):
+    """Answers -> their n and v. Whole rows are read, so that the plan reads the answers' one exchange here too."""
+    for batch in batches:
+        yield batch.select(["n", "v"])
+
+
 class Automaton:
     """States are contexts; arcs are sorted (state, word) numbers; state 0 is the empty context."""
 
@@ -288,19 +298,20 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(tokens.lengths))
 
 
-def _scored(order: int, mass: tuple[float, ...], bits: int, kind: pa.DataType, n: int, v: int):
-    """(a block's texts, its answers) -> scores."""
+def _scored(order: int, mass: tuple[float, ...], bits: int, kind: pa.DataType):
+    """(a block's texts, its answers with the corpus' sums) -> scores."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, texts = _read(left)
+        n, v = (right.column(c)[0].as_py() for c in ("all_n", "all_v"))  # each block has an end token, so an answer
         tokens = BlockTokens(texts)
-        grams = [distinct(k) for k in tokens.grams(order, bits)]
+        grams = distinct_grams(tokens, tokens.grams(order, bits))
         keys = np.concatenate([uniq for uniq, *_ in grams])
         answers = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist()))
         counts = np.zeros(len(keys))
-        at = np.argsort(keys)
+        at = np.argsort(keys, kind="stable")  # merges sorted runs
         at = at[np.count_nonzero(keys == 0) :]  # n-grams that no shard was asked for come first
-        counts[at] = np.concatenate([_unpacked_counts(x) for _, x in answers]) if answers else 0
+        counts[at] = np.concatenate([_unpacked_counts(x) for _, x in answers])
         totals = np.split(counts, np.cumsum([len(uniq) for uniq, *_ in grams])[:-1])
         auto = Automaton(tokens, order, grams, totals, n, v, mass)
         per = lambda x: np.add.reduceat(x, tokens.starts) if len(tokens.starts) else x[:0]
@@ -327,11 +338,11 @@ def score_texts(docs: DataFrame, order: int = 3, mass: tuple[float, ...] = (200.
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(blocks)).alias("_ax_block"), F.col(id_col).alias("_ax_id"), (crc_bucket(id_col, hold_out) == 0).alias("_ax_held"), text.alias("text"))
     packed = rows.mapInArrow(_compressed, f"_ax_block long, _ax_id {kind}, _ax_held boolean, text binary")
     asked = packed.groupBy("_ax_block").applyInArrow(_asked(order, blocks, bits), "shard int, _ax_block long, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary")
-    words = rows.filter(~F.col("_ax_held")).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    sums = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    answers = asked.groupBy("shard").applyInArrow(_answered, "_ax_block long, shard int, totals binary, n long, v long").repartition("_ax_block")
+    sums = answers.mapInArrow(_sums, "n long, v long").agg(F.sum("n").alias("all_n"), F.sum("v").alias("all_v"))
+    told = answers.crossJoin(F.broadcast(sums))
     schema = f"_ax_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("_ax_block").cogroup(answers.groupBy("_ax_block")).applyInArrow(_scored(order, mass, bits, to_arrow_type(docs.schema[id_col].dataType), sums.n, sums.v), schema)
+    return packed.groupBy("_ax_block").cogroup(told.groupBy("_ax_block")).applyInArrow(_scored(order, mass, bits, to_arrow_type(docs.schema[id_col].dataType)), schema)
 
 
 def score_result(docs: DataFrame) -> DataFrame:

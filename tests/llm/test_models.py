@@ -4,6 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import functions as F
 
 from axleyard.llm import language_model, quality_model, toxicity
@@ -74,6 +77,25 @@ def test_rows_of_the_exchange(spark):
     assert blocks > 4
 
 
+def test_shards_sum_up_the_words(spark, sample):
+    docs = [(r.doc_id, (r.text or "").encode()) for r in sample.limit(40).collect()]
+    train = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 10 for w in [*t.lower().split(), b" "])
+    blocks = [[d for d in docs if d[0] % 3 == b] for b in range(3)]
+    pack = zstandard.ZstdCompressor().compress
+    tables = [pa.table({"_ax_block": [b] * len(x), "_ax_id": [i for i, _ in x], "_ax_held": [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in x], "text": [pack(t) for _, t in x]}) for b, x in enumerate(blocks)]
+    asked = pa.concat_tables([language_model._asked(3, 5, 40)(t) for t in tables])
+    answers = [language_model._answered(asked.filter(pa.compute.equal(asked["shard"], s))) for s in range(5)]
+    assert sum(sum(a["n"].to_pylist()) for a in answers) == sum(train.values())
+    assert sum(sum(a["v"].to_pylist()) for a in answers) == len(train)
+
+
+def test_texts_and_answers_are_exchanged_once(spark):
+    df = language_model.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), block_bytes=600_000)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2 and plan.count("_answered") == 1
+
+
 def test_model_beats_base(sample):
     r = [x for x in language_model.score_result(sample).collect() if x.held_out]
     assert r and sum(x.score for x in r) > sum(x.base_score for x in r)
