@@ -276,7 +276,8 @@ def in_order(stream: DataFrame, keep: Scratch, range_rows: int = 100_000) -> Dat
     # a few rows for each range: its first entry's beginnings
     first = placed.groupBy("pid").agg(F.min(F.struct("lang", "words")).alias("s")).select("pid", "s.lang", "s.words")
     starts = first.filter(F.size("words") > 1).select("pid", "lang", F.explode(F.expr("transform(sequence(1, size(words) - 1), i -> slice(words, 1, i))")).alias("words"))
-    carried = stream.join(starts, ["lang", "words"]).select("pid", "lang", "words", "f", F.lit(True).alias("carried"))
+    # told, as the stream compresses so well that it seems small enough to be sent whole
+    carried = stream.join(F.broadcast(starts), ["lang", "words"]).select("pid", "lang", "words", "f", F.lit(True).alias("carried"))
     both = placed.select("pid", "lang", "words", "f", F.lit(False).alias("carried")).unionByName(carried)
     # the beginnings of a range's first entry lie before the range, so no entry is in it twice
     rows = both.repartition(ranges, "pid").sortWithinPartitions("pid", "lang", "words")

@@ -7,6 +7,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from axleyard.llm import collocations
+from axleyard.llm.collocations import in_order
+from axleyard.llm.common import Scratch
 from axleyard.llm.queries import op11_collocations
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -96,3 +98,14 @@ def test_scores_are_exact(spark):
     a, n, l, r = 123_456_789_012, 9_999_999_999_999_999, 123_456_789_013, 223_456_789_011
     x = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
     assert x.select(collocations._score(*(F.col(c) for c in "anlr"))).first()[0] == 1000 * a * n // (l * r)
+
+
+def test_ranges_send_their_beginnings_and_not_the_stream(spark):
+    """However small its files are, the stream of counts is not sent whole through the driver."""
+    keep = Scratch(spark)
+    rows = [("x", [f"w{i % 50}", f"w{i % 7}"][: 1 + i % 2], i) for i in range(700)]
+    one, two = (keep.written(spark.createDataFrame(part, "lang string, words array<string>, f long")) for part in (rows[:350], rows[350:]))
+    text = in_order(one.unionByName(two), keep, 50)._jdf.queryExecution().executedPlan().toString()
+    before, sent = text.split("BroadcastExchange")
+    assert "Generate explode" in sent.split("Scan")[0] and "Union" in before and "Generate explode" not in before
+    keep.clear()
