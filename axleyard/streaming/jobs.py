@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from .. import schemas as S
 from ..operators import upsert as U
-from ..operators.ingest import CELLS, take_in
+from ..operators.ingest import CELLS, Taken
 from ..sources.versioned import VersionedTables
 from ..tables import cut
 
@@ -77,10 +77,10 @@ def take_batch(files: DataFrame, store: VersionedTables, version: int, ignored:
         months = read["steps"] = _months(steps, "record_date")
         return store.read("telematics", old, months).select("asset_id", "record_date", "odometer_km").unionByName(store.read("readings", old, but=months))
 
-    t = take_in(files, store.read("assets", old), ignored, store.read("pending", old), readings)
+    t = Taken(files, store.read("assets", old), ignored, store.read("pending", old), readings)
     days, buys = _months(t.cells, "record_date"), _months(t.bought, "purchase_date")
     telematics = cut(U.upsert_cells(store.read("telematics", old, days), t.cells, CELLS))
-    fuel = U.upsert_fuel(store.read("fuel", old, buys), t.bought.withColumn("batch_seq", F.lit(0)))
+    fuel = U.upsert_fuel(store.read("fuel", old, buys), t.bought)
     by = month("record_date")
     note = {"read_bytes": {"telematics": store.bytes_of("telematics", old, days | read["steps"]), "fuel": store.bytes_of("fuel", old, buys)}, "months": {"telematics": sorted(days), "fuel": sorted(buys)}}
     store.commit(version, {"telematics": (telematics, by), "readings": (last_readings(telematics), by), "fuel": (fuel, month("purchase_date"))}, {"assets": t.made, "pending": t.queued, "status": t.status, "rejects": t.rejects}, note)

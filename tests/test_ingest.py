@@ -164,3 +164,17 @@ def test_rejects_do_not_meet_in_one_group(spark):
     text = df._jdf.queryExecution().optimizedPlan().toString()
     # the window's keys end with a rejected row's own position
     assert "isnotnull(reject_reason" in text and text.count("Window [") == 1 and df.filter("reject_reason = 'bad_key'").count() == 4
+
+
+def test_each_table_needs_its_own_steps_alone(spark, world, monkeypatch):
+    """Assets need rows of the two formats that make them; what is asked for twice is stored once."""
+    from axleyard.operators import ingest
+
+    files, assets, ignored, old = world
+    seen, store = [], ingest.stored
+    monkeypatch.setattr(ingest, "stored", lambda df, *by: seen.append(df.columns) or store(df, *by))
+    i = ingest_files(spark.createDataFrame(files, FILE), assets, ignored, old, spark.createDataFrame([], S.FUEL_PURCHASES), S.MAIL_ORDER)
+    assert i.assets.filter("bp_card_number = 'C9'").count() == 1
+    assert not any("reject_reason" in c or "vehicle_name" in c for c in seen) and sum("card" in c for c in seen) == 2
+    n = len(seen)
+    assert i.assets.count() and len(seen) == n

@@ -79,3 +79,21 @@ def test_files_are_made_by_more_tasks_of_larger_tables(spark, monkeypatch):
     rows = f.table("lineitem").count()
     assert f._tasks("lineitem") == -(-rows // 500) > f._tasks("supplier")
     assert f.card_rows.rdd.getNumPartitions() == f._tasks("lineitem")
+
+
+def test_a_folder_deals_card_rows_once(spark):
+    """Files of all three card formats are made in one pass over the rows, by compiled code."""
+    from axleyard.plans import ingest
+
+    text = plan(ingest._folder(fixtures.Fleet(spark, SF))[0])
+    assert text.count("lineitem.parquet") == 1 and "collect_list(struct(n, concat_ws" not in text
+
+
+def test_fuel_of_an_ingest_is_read_by_column(spark):
+    assert "ExistingRDD" not in plan(registry.queries()["ingest_mixed_fuel"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["rows_to_record", "read_mobil"])
+def test_typed_rows_make_no_map(spark, name):
+    text = plan(registry.queries()[name](spark, SF))
+    assert "map_from_arrays" not in text and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
